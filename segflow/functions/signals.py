@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from segflow.functions.binding import let
+
 ZERO = 0.0
 TARGET_DB = -23.0
 PEAK_LIMIT = 0.99
@@ -61,13 +63,17 @@ def normalised(x: Column | str, target_db: float | Column = TARGET_DB) -> Column
     """Bring the RMS level to ``target_db``; an all-zero signal is left alone."""
     x = _col(x)
     gain = F.pow(F.lit(10.0), (_num(target_db) - level_db(x)) / 20.0)
-    return F.when(energy(x) == 0, x).otherwise(scaled(x, gain))
+    return F.when(energy(x) == 0, x).otherwise(let(gain, lambda g: scaled(x, g)))
 
 
 def peak_limited(x: Column | str, limit: float = PEAK_LIMIT) -> Column:
     x = _col(x)
-    top = peak(x)
-    return F.when(top > limit, F.transform(x, lambda v: v / top * F.lit(limit))).otherwise(x)
+
+    def guard(x: Column) -> Column:
+        shrink = lambda top: F.when(top > limit, F.transform(x, lambda v: v / top * F.lit(limit))).otherwise(x)
+        return let(peak(x), shrink)
+
+    return let(x, guard)
 
 
 def active_ratio(x: Column | str, frame: int = 400) -> Column:
@@ -79,8 +85,8 @@ def active_ratio(x: Column | str, frame: int = 400) -> Column:
         lambda i: energy(F.slice(x, i * frame + 1, F.lit(frame))) / F.lit(frame),
     )
     at = F.least(n - 1, F.floor(F.lit(0.95) * n).cast("int"))
-    floor = F.greatest(F.lit(0.01) * F.get(F.array_sort(powers), at), F.lit(1e-10))
-    active = F.size(F.filter(powers, lambda m: m > floor))
+    floor = lambda m: F.greatest(F.lit(0.01) * F.get(F.array_sort(m), at), F.lit(1e-10))
+    active = let(powers, lambda m: let(floor(m), lambda low: F.size(F.filter(m, lambda v: v > low))))
     return F.when(n > 0, active / n).otherwise(F.lit(ZERO))
 
 
@@ -117,7 +123,7 @@ def mixed(signal: Column | str, noise: Column | str, snr_db: Column | float) ->
     signal, noise = _col(signal), _col(noise)
     loud, hum = power(signal), power(noise)
     scale = F.sqrt(loud / F.pow(F.lit(10.0), _num(snr_db) / 10.0) / hum)
-    blend = F.zip_with(signal, noise, lambda s, v: s + v * scale)
+    blend = let(scale, lambda g: F.zip_with(signal, noise, lambda s, v: s + v * g))
     return F.when((loud < MIN_POWER) | (hum < MIN_POWER), signal).otherwise(blend)
 
 
@@ -182,7 +188,7 @@ def in_region(p: Column | str, roi_s: tuple[float, float] | None, hop_s: float =
 
 def prepared(p: Column | str, k: int = 5, roi_s: tuple[float, float] | None = (0.5, 2.5), hop_s: float = FRAME_S) -> Column:
     """Smooth over the whole window first, then keep the region of interest."""
-    return in_region(smoothed(p, k), roi_s, hop_s)
+    return let(smoothed(p, k), lambda q: in_region(q, roi_s, hop_s))
 
 
 def first_peak(p: Column | str) -> Column:

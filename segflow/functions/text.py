@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from segflow.functions.binding import let
+
 # Display time of a caption line, in seconds.
 BASE_S, PER_WORD_S, MIN_S, MAX_S = 2.0, 0.2, 2.0, 6.0
 # Fixed value: words kept from a finished line to find replayed words.
@@ -75,12 +77,16 @@ def formatted(text: Column | str, numbers: bool = True, years: bool = False, com
 def overlap(previous: Column | str, new: Column | str, limit: int = OVERLAP_WORDS) -> Column:
     """Largest k for which the last k words before equal the first k words after, ignoring case."""
     lower = lambda words: F.transform(F.coalesce(_col(words), F.array().cast("array<string>")), lambda w: F.lower(w))
-    before, after = lower(previous), lower(new)
-    most = F.least(F.size(before), F.size(after), F.lit(limit))
-    fits = lambda k: (k <= most) & (
-        F.slice(before, F.greatest(F.size(before) - k, F.lit(0)) + 1, k) == F.slice(after, F.lit(1), k)
-    )
-    return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.lit(limit)), fits)), F.lit(0))
+
+    def longest(both: Column) -> Column:
+        before, after = both["before"], both["after"]
+        most = F.least(F.size(before), F.size(after), F.lit(limit))
+        fits = lambda k: (k <= most) & (
+            F.slice(before, F.greatest(F.size(before) - k, F.lit(0)) + 1, k) == F.slice(after, F.lit(1), k)
+        )
+        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.lit(limit)), fits)), F.lit(0))
+
+    return let(F.struct(lower(previous).alias("before"), lower(new).alias("after")), longest)
 
 
 def last_words(words: Column | str, n: int = OVERLAP_WORDS) -> Column:
@@ -111,11 +117,14 @@ def caption_chunks(text: Column | str, width: int, max_lines: int = 2) -> Column
     """Chunks of at most ``max_lines`` wrapped lines, joined by line breaks."""
     if max_lines < 1:
         raise ValueError("max_lines must be positive")
-    lines = caption_lines(text, width)
-    count = F.ceil(F.size(lines) / F.lit(max_lines)).cast("int")
-    chunk = lambda i: F.array_join(F.slice(lines, i * max_lines + 1, F.lit(max_lines)), "\n")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), chunk)
-    return F.when(count > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    def cut(lines: Column) -> Column:
+        count = F.ceil(F.size(lines) / F.lit(max_lines)).cast("int")
+        chunk = lambda i: F.array_join(F.slice(lines, i * max_lines + 1, F.lit(max_lines)), "\n")
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), chunk)
+        return F.when(count > 0, chunks).otherwise(F.array().cast("array<string>"))
+
+    return let(caption_lines(text, width), cut)
 
 
 def display_seconds(text: Column | str) -> Column:
@@ -138,7 +147,7 @@ def token_words(tokens: Column | str, times: Column | str, logps: Column | str,
     )
     usable = logps.isNotNull() & (F.size(logps) == n)
 
-    def word(start: Column, k: Column) -> Column:
+    def word(starts: Column, start: Column, k: Column) -> Column:
         stop = F.coalesce(F.get(starts, k + 1), n)
         pieces = F.array_join(F.slice(tokens, start + 1, stop - start), "")
         chances = F.slice(logps, start + 1, stop - start)
@@ -150,7 +159,8 @@ def token_words(tokens: Column | str, times: Column | str, logps: Column | str,
             F.when(usable, F.exp(mean)).alias("confidence"),
         )
 
-    words = F.filter(F.transform(starts, word), lambda w: w["text"] != "")
+    pick = lambda at: F.transform(at, lambda start, k: word(at, start, k))
+    words = F.filter(let(starts, pick), lambda w: w["text"] != "")
     fits = (n > 0) & (F.size(times) == n)
     if text is not None:
         expected = F.size(split_words(text))

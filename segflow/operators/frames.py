@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segflow.functions import signals
-from segflow.operators.ordered import Ordered, lag, ordered, total
+from segflow.operators.ordered import Ordered, head, lag, ordered, total
 from segflow.operators.spacing import mark_spaced
 
 #: Frames per cell; a cell and its neighbours' edges are what one window task sorts.
@@ -134,8 +134,6 @@ def window_frames(
 
 def newest_due(df: DataFrame, keys: Sequence[str], order: str, limit: int = 8) -> DataFrame:
     """Catch-up rule: of the windows due together keep the newest ``limit``."""
-    from segflow.operators.ordered import head
-
     return head(df, keys, [F.col(order).desc()], limit)
 
 

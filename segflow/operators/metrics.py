@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflow.functions import signals
 from segflow.operators.match import best_threshold
-from segflow.operators.ordered import ordered, percentiles, total
+from segflow.operators.ordered import lag as previous
+from segflow.operators.ordered import last, number, ordered, peak, percentiles, total
 
 # Collars, threshold grids and evidence edges of the reports.
 COLLARS_S = (0.1, 0.2, 0.5)
@@ -220,36 +222,35 @@ def full_report(windows: DataFrame, window_s: float = 3.0, roi_s: tuple[float, f
 
     The peaks are kept (memory, then disk) for the passes that follow.
     """
-    from pyspark import StorageLevel
-
     peaks = windows.select("has", "t_true", "t_pred", "score", "kind").persist(StorageLevel.MEMORY_AND_DISK)
-    long = lambda df, metric, key, value: df.select(
-        F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value")
-    )
+    def long(df: DataFrame, key: Column, **values: Column) -> DataFrame:
+        cells = [
+            F.struct(F.lit(m).alias("metric"), key.cast("string").alias("key"), v.cast("double").alias("value"))
+            for m, v in values.items()
+        ]
+        return df.select(F.inline(F.array(*cells)))
+
     none = F.lit("")
     size = peaks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("has").cast("double")).alias("frac"))
-    parts = [long(size, "windows", none, F.col("n")), long(size, "frac_change", none, F.col("frac"))]
+    parts = [long(size, none, windows=F.col("n"), frac_change=F.col("frac"))]
     ranks = ranking_metrics(peaks, "score", "has")
-    parts += [long(ranks, "average_precision", none, F.col("average_precision")), long(ranks, "auroc", none, F.col("auroc"))]
-    best = best_threshold(event_sweep(peaks), ["collar"])
+    parts.append(long(ranks, none, average_precision=F.col("average_precision"), auroc=F.col("auroc")))
+    best = best_threshold(event_sweep(peaks), ["collar"]).persist(StorageLevel.MEMORY_AND_DISK)
     name = F.concat((F.col("collar") * 1000).cast("int").cast("string"), F.lit("ms"))
-    for column in ("threshold", "precision", "recall", "f1", "tp", "fp", "fn"):
-        parts.append(long(best, f"event_{column}", name, F.col(column)))
-    lags = lag_report(peaks)
-    for column in ("median_ms", "mae_ms", "p10_ms", "p90_ms", "within_100ms", "within_200ms"):
-        parts.append(long(lags, f"lag_{column}", none, F.col(column)))
+    event = ("threshold", "precision", "recall", "f1", "tp", "fp", "fn")
+    parts.append(long(best, name, **{f"event_{c}": F.col(c) for c in event}))
+    lag = ("median_ms", "mae_ms", "p10_ms", "p90_ms", "within_100ms", "within_200ms")
+    parts.append(long(lag_report(peaks), none, **{f"lag_{c}": F.col(c) for c in lag}))
     # the threshold of the 200 ms collar drives what follows: one row, so the join is a scalar
     chosen = best.where(F.col("collar") == 0.2).select(F.col("threshold").alias("__thr"))
     judged = peaks.crossJoin(F.broadcast(chosen))
     span = F.concat(F.format_string("%.2f", "lo"), F.lit("-"), F.format_string("%.2f", "hi"), F.lit("s"))
     evidence = recall_by_evidence(judged, F.col("__thr"), 0.2, window_s)
-    parts += [long(evidence, "evidence_n", span, F.col("n")), long(evidence, "evidence_recall", span, F.col("recall"))]
+    parts.append(long(evidence, span, evidence_n=F.col("n"), evidence_recall=F.col("recall")))
     kinds = rates_by_kind(judged, F.col("__thr"))
-    parts += [
-        long(kinds, "fire_rate", F.col("kind"), F.col("fire_rate")),
-        long(kinds, "mean_score", F.col("kind"), F.col("mean_score")),
-        long(kinds.where(F.col("kind").isin("nochange", "fake")), "fa_per_min", F.col("kind"), per_minute(F.col("fire_rate"), window_s, roi_s)),
-    ]
+    parts.append(long(kinds, F.col("kind"), fire_rate=F.col("fire_rate"), mean_score=F.col("mean_score")))
+    quiet = kinds.where(F.col("kind").isin("nochange", "fake"))
+    parts.append(long(quiet, F.col("kind"), fa_per_min=per_minute(F.col("fire_rate"), window_s, roi_s)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -317,21 +318,15 @@ def best_and_stop(history: DataFrame, metric: str, step: str, patience: int, tot
 
     The steps after the stop are not considered for the best one.
     """
-    from segflow.operators.ordered import lag, number, peak
-
     rows = ordered(history, by, [step]).scan(__top=peak(metric), __at=number())
-    rows = rows.scan(__best=lag("__top"))
+    rows = rows.scan(__best=previous("__top"))
     better = F.col("__best").isNull() | (F.col(metric) > F.col("__best"))
-    from segflow.operators.ordered import last
-
     rows = rows.columns(__won=F.when(better, F.col("__at"))).scan(__last=last("__won"))
     rows = rows.columns(bad_evals=F.col("__at") - F.col("__last"))
     limit = (total_steps if isinstance(total_steps, Column) else F.lit(total_steps)) * F.lit(0.4)
     stop = (F.col(step) >= limit) & (F.col("bad_evals") >= patience)
     rows = rows.columns(__stop=stop.cast("long"))
-    from segflow.operators.ordered import total as running
-
-    rows = rows.scan(__stops=running("__stop"))
+    rows = rows.scan(__stops=total("__stop"))
     seen = rows.where((F.col("__stops") == 0) | ((F.col("__stops") == 1) & stop)).rows()
     return seen.groupBy(*by).agg(
         F.max_by(step, F.when(F.col("bad_evals") == 0, F.col(step))).alias("best_step"),

@@ -16,7 +16,6 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -349,9 +348,13 @@ def percentiles(
     """
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = ordered(counted, keys, [value]).scan(__upto=total("__n")).rows()
-    sizes = ranked.groupBy(*keys).agg(F.sum("__n").alias("__all"))
-    joined = ranked.join(sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))
+    rows = ordered(counted, keys, [value]).scan(__upto=total("__n"))
+    if not rows.split:
+        # every group fits one window task and is already there
+        joined = rows.df.withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
+    else:
+        sizes = rows.df.groupBy(*keys).agg(F.sum("__n").alias("__all"))
+        joined = rows.df.join(sizes, keys) if keys else rows.df.crossJoin(F.broadcast(sizes))
     aggregates = []
     for name, share in shares.items():
         place = (F.col("__all") - 1) * F.lit(share)

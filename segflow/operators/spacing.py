@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segflow.operators.ordered import Kernel, Ordered, lag, ordered, peak
+from segflow.operators.ordered import Kernel, Ordered, lag, ordered, peak, total
 
 #: rule name -> (is ``x`` far enough from the last kept ``s``?)
 RULES: dict[str, Callable[[float, float, float], bool]] = {
@@ -191,8 +191,6 @@ def throttle(rows: Ordered, position: str, text: str, interval: float = 0.25) ->
 def gap_islands(rows: Ordered, position: str, gap: Column | float, name: str = "island") -> Ordered:
     """Number runs of rows whose distance from the previous row is below ``gap``."""
     cut = F.col(position) - F.col("__before") >= gap
-    from segflow.operators.ordered import total
-
     rows = rows.scan(__before=lag(position)).columns(__cut=F.coalesce(cut, F.lit(True)).cast("long"))
     rows = rows.scan(**{name: total("__cut")})
     return rows.with_df(rows.df.drop("__before", "__cut"))
