@@ -19,6 +19,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from segflow.session import group_limit, stable
 
@@ -212,7 +214,8 @@ class Ordered:
         else:
             df = df.withColumn(_ENTER, F.lit(None).cast("binary"))
         df = df.select(*self.df.columns, _FIRST, _ENTER)
-        return self.with_df(df.mapInArrow(_replay(kernel), schema))
+        types = {n: _arrow_type(t) for n, t in kernel.outputs.items()}
+        return self.with_df(df.mapInArrow(_replay(kernel, types), schema))
 
     def _enter_states(self, kernel: Kernel) -> DataFrame:
         """State in which each later block of a spanning key is entered."""
@@ -268,7 +271,11 @@ class Kernel:
         raise NotImplementedError
 
 
-def _replay(kernel: Kernel):
+def _arrow_type(ddl: str) -> pa.DataType:
+    return to_arrow_type(StructType.fromDDL(f"v {ddl}")["v"].dataType)
+
+
+def _replay(kernel: Kernel, types: dict[str, pa.DataType]):
     def replay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = kernel.start()
         for batch in batches:
@@ -286,24 +293,14 @@ def _replay(kernel: Kernel):
             keep = [i for i, n in enumerate(batch.schema.names) if n not in (_FIRST, _ENTER)]
             arrays = [batch.column(i) for i in keep]
             names = [batch.schema.names[i] for i in keep]
-            for name, kind in kernel.outputs.items():
-                arrays.append(pa.array(outputs[name], _ARROW[kind]))
+            for name, kind in types.items():
+                arrays.append(pa.array(outputs[name], kind))
                 names.append(name)
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return replay
 
 
-_ARROW = {
-    "boolean": pa.bool_(),
-    "long": pa.int64(),
-    "bigint": pa.int64(),
-    "double": pa.float64(),
-    "string": pa.string(),
-    "array<bigint>": pa.list_(pa.int64()),
-}
-
-
 def ordered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None
 ) -> Ordered:
