@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("metric_queries", "frame_queries")
+_MODULES = ("metric_queries", "frame_queries", "pool_queries")
 
 
 def all_queries():
