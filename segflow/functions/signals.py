@@ -78,7 +78,10 @@ def peak_limited(x: Column | str, limit: float = PEAK_LIMIT) -> Column:
 
 def active_ratio(x: Column | str, frame: int = 400) -> Column:
     """Share of whole frames whose power exceeds 1 % of the 95th-order frame power."""
-    x = _col(x)
+    return let(_col(x), lambda x: _active_ratio(x, frame))
+
+
+def _active_ratio(x: Column, frame: int) -> Column:
     n = F.floor(F.size(x) / F.lit(frame)).cast("int")
     powers = F.transform(
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
@@ -92,7 +95,10 @@ def active_ratio(x: Column | str, frame: int = 400) -> Column:
 
 def faded(x: Column | str, n: Column | int, out: bool) -> Column:
     """Linear ramp over the first (``out=False``) or last ``n`` samples, ends included."""
-    x = _col(x)
+    return let(_col(x), lambda x: _faded(x, n, out))
+
+
+def _faded(x: Column, n: Column | int, out: bool) -> Column:
     size = F.size(x)
     n = F.least(_num(n).cast("int"), size)
     if out:
@@ -112,10 +118,8 @@ def faded(x: Column | str, n: Column | int, out: bool) -> Column:
 
 def tiled(x: Column | str, n: Column | int) -> Column:
     """First ``n`` samples of the signal repeated end to end."""
-    x = _col(x)
-    size = F.size(x)
     steps = F.sequence(F.lit(0), _num(n).cast("int") - 1)
-    return F.when(size > 0, F.transform(steps, lambda i: F.get(x, i % size)))
+    return let(_col(x), lambda x: F.when(F.size(x) > 0, F.transform(steps, lambda i: F.get(x, i % F.size(x)))))
 
 
 def mixed(signal: Column | str, noise: Column | str, snr_db: Column | float) -> Column:
@@ -129,10 +133,14 @@ def mixed(signal: Column | str, noise: Column | str, snr_db: Column | float) ->
 
 def placed(x: Column | str, start: Column | int, n: Column | int) -> Column:
     """Signal written into ``n`` zeros from index ``start``; what does not fit is cut."""
-    x, start = _col(x), _num(start).cast("int")
+    start = _num(start).cast("int")
     steps = F.sequence(F.lit(0), _num(n).cast("int") - 1)
-    inside = lambda i: (i >= start) & (i < start + F.size(x))
-    return F.transform(steps, lambda i: F.when(inside(i), F.get(x, i - start)).otherwise(F.lit(ZERO)))
+
+    def place(x: Column) -> Column:
+        inside = lambda i: (i >= start) & (i < start + F.size(x))
+        return F.transform(steps, lambda i: F.when(inside(i), F.get(x, i - start)).otherwise(F.lit(ZERO)))
+
+    return let(_col(x), place)
 
 
 def summed(a: Column | str, b: Column | str) -> Column:
@@ -154,9 +162,10 @@ def fitted(x: Column | str, n: Column | int) -> Column:
 
 def smoothed(p: Column | str, k: int = 5) -> Column:
     """Centred mean of ``k`` frames; the edge values are repeated outwards."""
-    p = _col(p)
-    if k <= 1:
-        return p
+    return _col(p) if k <= 1 else let(_col(p), lambda p: _smoothed(p, k))
+
+
+def _smoothed(p: Column, k: int) -> Column:
     half, top = k // 2, F.size(p) - 1
     at = lambda i: F.get(p, F.greatest(F.least(i, top), F.lit(0)))
 
@@ -211,7 +220,10 @@ def trusted_peaks(
     right: int,
 ) -> Column:
     """Indexes inside the trusted band that reach the threshold and their ±radius maximum."""
-    p = _col(p)
+    return let(_col(p), lambda p: _trusted_peaks(p, threshold, radius, left, right))
+
+
+def _trusted_peaks(p: Column, threshold: float, radius: int, left: int, right: int) -> Column:
     n = F.size(p)
     low, high = max(left, radius), F.least(n - right, n - radius)
     band = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i >= low) & (i < high))
@@ -222,7 +234,10 @@ def trusted_peaks(
 
 def edge_peaks(p: Column | str, threshold: float, radius: int) -> Column:
     """Indexes that reach the threshold and the maximum of ±radius, clipped at the edges."""
-    p = _col(p)
+    return let(_col(p), lambda p: _edge_peaks(p, threshold, radius))
+
+
+def _edge_peaks(p: Column, threshold: float, radius: int) -> Column:
     n = F.size(p)
     around = lambda i: F.array_max(
         F.slice(p, F.greatest(i - radius, F.lit(0)) + 1, F.least(i + radius + 1, n) - F.greatest(i - radius, F.lit(0)))

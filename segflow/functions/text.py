@@ -31,7 +31,7 @@ def decimals(text: Column | str, compat: bool = False) -> Column:
     """``3 point 1 4`` becomes ``3.14``.  ``compat`` also drops the space after the number."""
     text = F.regexp_replace(
         _col(text),
-        r"(?iU)(?<!\d\s{1,9}point\s{1,9})\b(\d+)\s+point\s+(?=\d+\b)",
+        r"(?iU)\b(?=\d)(?<!\d\s{1,9}point\s{1,9})(\d+)\s+point\s+(?=\d+\b)",
         "$1" + _POINT,
     )
     text = F.regexp_replace(text, rf"(?U)({_POINT}|(?!^)\G)(\d+)\s+(?=\d+\b)", "$1$2")
@@ -43,7 +43,7 @@ def decimals(text: Column | str, compat: bool = False) -> Column:
 def thousands(text: Column | str, compat: bool = False) -> Column:
     """Commas in runs of four or more digits.  ``compat`` also cuts fraction digits."""
     guard = "" if compat else r"(?<!\.\d{0,60})"
-    return F.regexp_replace(_col(text), guard + r"(?U)(\d)(?=(?:\d{3})+(?!\d))", "$1,")
+    return F.regexp_replace(_col(text), rf"(?U)(?=\d{{4}}){guard}(\d)(?=(?:\d{{3}})+(?!\d))", "$1,")
 
 
 def digit_pairs(text: Column | str) -> Column:
