@@ -75,3 +75,23 @@ def small_enough(df: DataFrame, limit: int | None = None) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
     limit = broadcast_limit(df.sparkSession) if limit is None else limit
     return df.limit(limit + 1).count() <= limit
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per session, wherever the driver was started."""
+    import hashlib
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_segflow_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    sources = sorted(package.rglob("*.py"))
+    digest = hashlib.sha256(b"".join(p.read_bytes() for p in sources)).hexdigest()[:12]
+    archive = Path(tempfile.mkdtemp(prefix="segflow-")) / f"segflow-{digest}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sources:
+            out.write(path, str(Path("segflow") / path.relative_to(package)))
+    context.addPyFile(str(archive))
+    context._segflow_shipped = True
