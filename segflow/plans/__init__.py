@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("metric_queries", "frame_queries", "pool_queries", "text_queries", "signal_queries", "line_queries", "stream_queries")
+_MODULES = ("metric_queries", "frame_queries", "pool_queries", "text_queries", "signal_queries", "line_queries", "stream_queries", "source_queries")
 
 
 def all_queries():
