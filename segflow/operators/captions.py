@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from segflow.functions import text as text_functions
 from segflow.operators.lines import DECODE_LAG_S, SETTLE_S
-from segflow.operators.ordered import Kernel, lag, last, ordered, total
+from segflow.operators.ordered import Kernel, Ordered, lag, last, ordered, total
 
 CHANGE, UPDATE = 0, 1
 #: seconds of word-count history kept beyond lag and settle
@@ -184,8 +184,8 @@ def caption_rows(
         F.col("__prev.w").alias("memory"),
         F.coalesce(F.col("__prev.c"), F.lit(0.0)).alias("begun_s"),
     )
-    # an utterance is bounded by the endpointing rule; rows stream through, none are gathered
-    return ordered(parts, [key, "utterance"], order, limit=1 << 62).fold(Captioner(decode_lag, settle)).rows()
+    # an utterance is bounded by the endpointing rule; its rows stream through, none are gathered
+    return Ordered(parts, (key, "utterance"), tuple(order)).fold(Captioner(decode_lag, settle)).rows()
 
 
 def caption_lines(rows: DataFrame, key: str = "stream_id") -> DataFrame:

@@ -16,8 +16,9 @@ LENGTH_EDGES = (0.0, 2.0, 3.0, 3.5, 5.0, 10.0, 15.0, 30.0)
 
 def straddling(members: DataFrame, id_column: str, split: str = "split") -> DataFrame:
     """Ids that occur in more than one split; empty when the splits are disjoint."""
-    seen = members.select(id_column, split).distinct()
-    return seen.groupBy(id_column).agg(F.count(F.lit(1)).alias("splits")).where("splits > 1")
+    # one shuffle: the set of split names of an id is tiny and merges map-side
+    names = F.size(F.collect_set(split)).cast("long").alias("splits")
+    return members.groupBy(id_column).agg(names).where("splits > 1")
 
 
 def pool_summary(clips: DataFrame, by: Sequence[str], speaker: str, length: str) -> DataFrame:

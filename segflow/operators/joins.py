@@ -12,7 +12,7 @@ from segflow.session import small_enough
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Broadcast ``small`` when its row count is within the limit, else an ordinary join.
+    """Broadcast ``small`` when its rows and bytes are within the limits, else an ordinary join.
 
     The ordinary join is a shuffle that adaptive execution splits at skewed keys.
     """

@@ -197,3 +197,27 @@ def chunk_windows(chunks: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
     joined = parts.join(whole, list(keys)).where((F.col("window_no") + 1) * size <= F.col("__all"))
     return joined.drop("__upto", "__from", "__all")
+
+
+def audio_windows(
+    chunks: DataFrame, keys: Sequence[str], order: Sequence[str], samples: str, window: int, hop: int, out: str = "wave"
+) -> DataFrame:
+    """Full sample windows over chunk arrays: ``window_no``, ``start`` and the samples.
+
+    Samples stay in arrays: each chunk is cut into one slice per window it touches, and a
+    window joins its few slices.
+    """
+    sized = chunks.withColumn("__n", F.size(samples)).where(F.col("__n") > 0)
+    rows = ordered(sized.select(*keys, *order, samples, "__n"), keys, order).scan(__upto=total("__n")).rows()
+    first = F.col("__upto") - F.col("__n")
+    low = F.greatest(F.ceil((first - window + 1) / F.lit(hop)), F.lit(0))
+    parts = rows.withColumn("window_no", F.explode(F.sequence(low, F.floor((F.col("__upto") - 1) / F.lit(hop)))))
+    begin = F.col("window_no") * hop
+    parts = parts.withColumns(
+        {"__from": F.greatest(begin - first, F.lit(0)), "__to": F.least(begin + window - first, F.col("__n"))}
+    ).where(F.col("__to") > F.col("__from"))
+    piece = F.slice(samples, (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from")).cast("int"))
+    pieces = parts.select(*keys, "window_no", first.alias("__first"), piece.alias("__x"))
+    packed = pieces.groupBy(*keys, "window_no").agg(F.array_sort(F.collect_list(F.struct("__first", "__x"))).alias("__ps"))
+    joined = packed.select(*keys, "window_no", (F.col("window_no") * hop).alias("start"), F.flatten(F.col("__ps.__x")).alias(out))
+    return joined.where(F.size(out) == window)

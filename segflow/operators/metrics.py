@@ -52,21 +52,37 @@ def within(collar: Column | float) -> Column:
     return F.round(F.abs(F.col("t_pred") - F.coalesce(F.col("t_true"), F.lit(0.0))), 9) <= collar
 
 
-def event_counts(windows: DataFrame, grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """TP, FP, FN for every (collar, threshold) of ``grid``.
+def _passed(value: Column, limits: Sequence[float], above: bool) -> Column:
+    """How many of the limits a value passes; limits are compared one by one, so ties are exact."""
+    tests = [(value >= F.lit(float(v))) if above else (value <= F.lit(float(v))) for v in limits]
+    return sum((t.cast("int") for t in tests[1:]), tests[0].cast("int"))
 
-    Windows are first reduced to counts per (has, distance to truth, score) so the grid
-    multiplies distinct outcomes and not windows.
+
+def event_counts(windows: DataFrame, collars: Sequence[float], thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """TP, FP, FN for every (collar, threshold).
+
+    A window counts for the thresholds up to its score and the collars from its distance
+    on, so it is reduced to two small integers and counted map-side; only those counts
+    meet the grid.
     """
+    collars, thresholds = sorted(collars), sorted(thresholds)
     apart = F.round(F.abs(F.col("t_pred") - F.coalesce(F.col("t_true"), F.lit(0.0))), 9)
-    counted = windows.groupBy(*by, "has", "score", apart.alias("apart")).agg(F.count(F.lit(1)).alias("n"))
-    fired = F.col("score") >= F.col("threshold")
-    hit = fired & F.col("has") & (F.col("apart") <= F.col("collar"))
+    counted = windows.groupBy(
+        *by, "has", _passed(F.col("score"), thresholds, True).alias("level"), _passed(apart, collars, False).alias("near")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    cells = F.array(
+        *[
+            F.struct(F.lit(float(c)).alias("collar"), F.lit(float(t)).alias("threshold"), F.lit(i).alias("ci"), F.lit(j).alias("ti"))
+            for i, c in enumerate(collars)
+            for j, t in enumerate(thresholds)
+        ]
+    )
+    rows = counted.select("*", F.inline(cells))
+    fired = F.col("level") > F.col("ti")
+    hit = fired & F.col("has") & (F.col("near") >= len(collars) - F.col("ci"))
     n = lambda test: F.sum(F.when(test, F.col("n")).otherwise(F.lit(0)))
-    return (
-        counted.crossJoin(F.broadcast(grid))
-        .groupBy(*by, "collar", "threshold")
-        .agg(n(hit).alias("tp"), n(fired & ~hit).alias("fp"), n(F.col("has") & ~hit).alias("fn"))
+    return rows.groupBy(*by, "collar", "threshold").agg(
+        n(hit).alias("tp"), n(fired & ~hit).alias("fp"), n(F.col("has") & ~hit).alias("fn")
     )
 
 
@@ -83,18 +99,10 @@ def floored_scores(counts: DataFrame) -> DataFrame:
     return df.withColumn("f1", 2 * p * r / F.greatest(p + r, F.lit(1e-9)))
 
 
-def grid_of(spark, collars: Sequence[float] = COLLARS_S, thresholds: Sequence[float] = EVENT_GRID) -> DataFrame:
-    """Fixed grid of collars and thresholds (a few hundred rows, safe to broadcast)."""
-    cells = F.array(
-        *[F.struct(F.lit(float(c)).alias("collar"), F.lit(float(t)).alias("threshold")) for c in collars for t in thresholds]
-    )
-    return spark.range(1).select(F.inline(cells))
-
-
 def event_sweep(
     windows: DataFrame, collars: Sequence[float] = COLLARS_S, thresholds: Sequence[float] = EVENT_GRID, by: Sequence[str] = ()
 ) -> DataFrame:
-    return floored_scores(event_counts(windows, grid_of(windows.sparkSession, collars, thresholds), by))
+    return floored_scores(event_counts(windows, collars, thresholds, by))
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -190,23 +198,24 @@ def budget_threshold(
     roi_s: tuple[float, float] | None = ROI_S,
 ) -> DataFrame:
     """Lowest threshold whose no-change alarms fit the budget, with its event scores."""
-    spark = windows.sparkSession
+    thresholds = sorted(thresholds)
     apart = F.round(F.abs(F.col("t_pred") - F.coalesce(F.col("t_true"), F.lit(0.0))), 9)
-    counted = windows.groupBy("kind", "has", (apart <= collar).alias("near"), "score").agg(F.count(F.lit(1)).alias("n"))
-    fired = F.col("score") >= F.col("threshold")
+    level = _passed(F.col("score"), thresholds, True).alias("level")
+    still = (F.col("kind") == "nochange").alias("still")
+    counted = windows.groupBy(still, "has", (apart <= collar).alias("near"), level).agg(F.count(F.lit(1)).alias("n"))
+    cells = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(j).alias("ti")) for j, t in enumerate(thresholds)])
+    fired = F.col("level") > F.col("ti")
     hit = fired & F.col("has") & F.col("near")
-    still = F.col("kind") == "nochange"
     n = lambda test: F.sum(F.when(test, F.col("n")).otherwise(F.lit(0)))
-    grid = grid_of(spark, [collar], thresholds)
     points = (
-        counted.crossJoin(F.broadcast(grid))
+        counted.select("*", F.inline(cells))
         .groupBy("threshold")
         .agg(
             n(hit).alias("tp"),
             n(fired & ~hit).alias("fp"),
             n(F.col("has") & ~hit).alias("fn"),
-            n(still & fired).alias("alarms"),
-            n(still).alias("quiet"),
+            n(F.col("still") & fired).alias("alarms"),
+            n(F.col("still")).alias("quiet"),
         )
     )
     rate = F.when(F.col("quiet") > 0, F.col("alarms") / F.col("quiet")).otherwise(F.lit(0.0))

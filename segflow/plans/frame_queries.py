@@ -165,7 +165,8 @@ _GAP = 6 * HOUR_US
     f"WITH {I.STREAM}, s AS ({_keep_sql(f'x[1] - a[-1] >= {_GAP}', 'stream', 'stream_id', 'at_us', 'at_us, event_id')}) SELECT stream_id, kept AS at_us FROM s",
 )
 def offline_gap(t: Tables) -> DataFrame:
-    return spaced(I.stream(t), ["stream_id"], ["at_us", "event_id"], "at_us", _GAP, "offline").select("stream_id", "at_us")
+    rows = I.stream(t).select("stream_id", "at_us", "event_id")
+    return spaced(rows, ["stream_id"], ["at_us", "event_id"], "at_us", _GAP, "offline").select("stream_id", "at_us")
 
 
 @query(
@@ -174,7 +175,7 @@ def offline_gap(t: Tables) -> DataFrame:
 )
 def harness_gap(t: Tables) -> DataFrame:
     """One-sided rule in an emission order that is not the time order."""
-    rows = I.stream(t).withColumn("batch", F.floor(F.col("at_us") / F.lit(4 * HOUR_US)))
+    rows = I.stream(t).select("stream_id", "at_us", "score", "event_id", F.floor(F.col("at_us") / F.lit(4 * HOUR_US)).alias("batch"))
     return spaced(rows, ["stream_id"], ["batch", "score", "event_id"], "at_us", _GAP, "harness").select("stream_id", "at_us")
 
 
@@ -184,7 +185,7 @@ def harness_gap(t: Tables) -> DataFrame:
 )
 def live_gap(t: Tables) -> DataFrame:
     """Two-sided rule against the last kept position, in emission order."""
-    rows = I.stream(t).withColumn("batch", F.floor(F.col("at_us") / F.lit(12 * HOUR_US)))
+    rows = I.stream(t).select("stream_id", "at_us", "score", "event_id", F.floor(F.col("at_us") / F.lit(12 * HOUR_US)).alias("batch"))
     return spaced(rows, ["stream_id"], ["batch", "score", "event_id"], "at_us", _GAP, "live").select("stream_id", "at_us")
 
 

@@ -74,7 +74,8 @@ _RULES = (12 * HOUR_US, 6 * HOUR_US, 40 * HOUR_US)
 
 
 def endpointed(t: Tables):
-    rows = I.stream(t).withColumn("spoken", F.col("event_type").isin("click", "view", "purchase"))
+    spoken = F.col("event_type").isin("click", "view", "purchase").alias("spoken")
+    rows = I.stream(t).select("stream_id", "at_us", "event_id", spoken)
     return lines.endpointed(ordered(rows, ["stream_id"], ["at_us", "event_id"]), "at_us", "spoken", *_RULES)
 
 
@@ -123,7 +124,8 @@ SELECT stream_id, l[2 * i + 1] AS at_us, ['click', 'view', 'error', 'purchase',
 )
 def partial_throttle(t: Tables) -> DataFrame:
     """Redraws: the text differs from the last one shown and enough time has passed."""
-    rows = throttle(ordered(I.stream(t), ["stream_id"], ["at_us", "event_id"]), "at_us", "event_type", 12 * HOUR_US)
+    texts = I.stream(t).select("stream_id", "at_us", "event_id", "event_type")
+    rows = throttle(ordered(texts, ["stream_id"], ["at_us", "event_id"]), "at_us", "event_type", 12 * HOUR_US)
     return rows.where(F.col("kept")).rows().select("stream_id", "at_us", "event_type")
 
 

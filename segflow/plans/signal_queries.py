@@ -130,3 +130,18 @@ def bank_lookup(t: Tables) -> DataFrame:
     bank = embedded(t).where("vec_id < 16").select(F.col("vec_id").alias("rir"), F.get("x", F.lit(0)).alias("h"))
     rows = t.embeddings.select("vec_id", F.when(F.col("vec_id") % 3 == 0, -1).otherwise(F.col("vec_id") % 16).alias("rir"))
     return join_small(rows, bank, ["rir"], "left").select("vec_id", F.col("h").isNotNull().alias("wet"), F.coalesce("h", F.lit(0.0)).alias("first"))
+
+
+@query(
+    "f1_audio_windows",
+    f"""WITH {_EMB}, s AS (SELECT vec_id % 10 AS stream_id, flatten(list(x ORDER BY vec_id)) AS w FROM e GROUP BY 1)
+SELECT stream_id, i AS window_no, i * 40 AS "start", round(list_sum(list_transform(w[40 * i + 1:40 * i + 160], lambda v: v * v)), 6) AS energy, round(w[40 * i + 1], 6) AS first, round(w[40 * i + 160], 6) AS last
+FROM s, unnest(range(0, (len(w) - 160) // 40 + 1)) u(i)""",
+)
+def audio_windows(t: Tables) -> DataFrame:
+    """Overlapping sample windows over a stream of chunk arrays (here: embeddings in id order)."""
+    chunks = embedded(t).withColumn("stream_id", F.col("vec_id") % 10)
+    found = lines.audio_windows(chunks, ["stream_id"], ["vec_id"], "x", 160, 40)
+    return found.select(
+        "stream_id", "window_no", "start", s.energy("wave").alias("energy"), F.get("wave", F.lit(0)).alias("first"), F.get("wave", F.lit(159)).alias("last")
+    )

@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest ordered group (rows of one key) that a plain window may hold in one task.
 GROUP_ROWS = "spark.segflow.groupRows"
 #: Largest table (rows) that may be broadcast when its size is not bounded by construction.
 BROADCAST_ROWS = "spark.segflow.broadcastRows"
+#: The same in estimated bytes.
+BROADCAST_BYTES = "spark.segflow.broadcastBytes"
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -71,10 +75,31 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, limit: int | None = None) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
-    limit = broadcast_limit(df.sparkSession) if limit is None else limit
-    return df.limit(limit + 1).count() <= limit
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Estimated bytes of one value."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            each = F.transform(column, lambda v: _width(v, inner))
+            return F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda a, v: a + v), F.lit(0).cast("long"))
+        return F.greatest(F.size(column), F.lit(0)).cast("long") * 8
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(0).cast("long"))
+    if isinstance(kind, T.MapType):
+        return F.octet_length(F.to_json(column)).cast("long")
+    return F.lit(16).cast("long")
+
+
+def small_enough(df: DataFrame) -> bool:
+    """True when ``df`` may be broadcast: both its rows and its bytes are within the limits."""
+    spark = df.sparkSession
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
+    if size["rows"] > broadcast_limit(spark):
+        return False
+    return (size["bytes"] or 0) <= int(spark.conf.get(BROADCAST_BYTES, str(128 << 20)))
 
 
 def ship_package(spark: SparkSession) -> None:
