@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,17 +112,27 @@ class Endpoints(Kernel):
     def summary(self, columns):
         ts, spoken = columns[self.at], columns[self.text]
         memo: dict[int, tuple] = {}
+        n, (rule1, rule2, rule3) = len(ts), self.rules
+        # next row, from a row on, after a silence of each rule; and next spoken row
+        long_, short, talk = [n] * (n + 1), [n] * (n + 1), [n] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            silence = ts[i] - ts[i - 1] if i else 0
+            long_[i] = i if silence >= rule1 else long_[i + 1]
+            short[i] = i if silence >= rule2 else short[i + 1]
+            talk[i] = i if spoken[i] else talk[i + 1]
+
+        def after(i: int) -> int:
+            aged = bisect.bisect_left(ts, True, lo=i + 1, key=lambda t: t - ts[i] >= rule3)
+            said = talk[i]
+            return min(aged, long_[i + 1], short[said + 1] if said < n else n)
 
         def leave(i: int) -> tuple:
             path, at = [], i
             while at not in memo:
                 path.append(at)
-                state, nxt = (ts[at], ts[at], bool(spoken[at])), at + 1
-                while nxt < len(ts) and not self.opens(ts[nxt], state):
-                    state = (state[0], ts[nxt], state[2] or bool(spoken[nxt]))
-                    nxt += 1
-                if nxt == len(ts):
-                    memo[at] = state
+                nxt = after(at)
+                if nxt == n:
+                    memo[at] = (ts[at], ts[-1], talk[at] < n)
                     break
                 at = nxt
             for p in path:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,18 +51,18 @@ class Spaced(Kernel):
         return {"kept": kept}, state
 
     def summary(self, columns):
-        xs, gap, far = columns[self.position], self.gap, self.far
+        xs = np.asarray(columns[self.position])
+        gap, far = self.gap, self.far
+        jump = _Jumps(xs, gap, far, self.two_sided)
         exits: dict[int, float] = {}
 
         def exit_from(i: int) -> float:
             path, at = [], i
             while at not in exits:
                 path.append(at)
-                nxt = at + 1
-                while nxt < len(xs) and not far(xs[nxt], xs[at], gap):
-                    nxt += 1
-                if nxt == len(xs):
-                    exits[at] = xs[at]
+                nxt = jump.after(at)
+                if nxt is None:
+                    exits[at] = xs[at].item()
                     break
                 at = nxt
             for p in path:
@@ -68,29 +70,70 @@ class Spaced(Kernel):
             return exits[i]
 
         top = columns[self.ceiling][0] if self.ceiling else None
-        reach = xs[0] if top is None else top  # no earlier position lies above this
+        reach = xs[0].item() if top is None else top  # no earlier position lies above this
         low = high = None
-        table = []
-        for i, x in enumerate(xs):
+        table: list[tuple] = []
+        for i, x in enumerate(xs.tolist()):
             if high is None or x > high or (self.two_sided and x < low):
                 high = x if high is None else max(high, x)
                 low = x if low is None else min(low, x)
-                table.append((x, exit_from(i)))
+                leave = exit_from(i)
+                if table and not self.two_sided and table[-1][1] == leave:
+                    table[-1] = (x, leave)  # same way out: the farther position stands for both
+                else:
+                    table.append((x, leave))
                 if self.two_sided and high - low >= 2 * gap:
                     break
-                if far(high, reach, gap) and high > reach:
+                if not self.two_sided and far(high, reach, gap) and high > reach:
                     break
-        return table
+        return exit_from(0), table
 
     def follow(self, state, summary):
+        first, table = summary
         if state is None:
-            return summary[0][1]
-        for x, leave in summary:
+            return first
+        if not self.two_sided:
+            # positions ascend, so the first far one is found by halving
+            at = bisect.bisect_left(table, True, key=lambda e: self.far(e[0], state, self.gap))
+            return table[at][1] if at < len(table) else state
+        for x, leave in table:
             if self.far(x, state, self.gap):
                 return leave
         return state
 
 
+class _Jumps:
+    """Next row far enough from a given one; whole stretches are skipped by their extremes."""
+
+    STRETCH = 512
+
+    def __init__(self, xs: np.ndarray, gap: float, far, two_sided: bool):
+        self.xs, self.gap, self.far, self.two_sided = xs, gap, far, two_sided
+        starts = np.arange(0, len(xs), self.STRETCH)
+        self.tops = np.maximum.reduceat(xs, starts)
+        self.bottoms = np.minimum.reduceat(xs, starts)
+
+    def after(self, i: int) -> int | None:
+        x, size = self.xs[i], self.STRETCH
+        block = (i + 1) // size
+        found = self._within(i + 1, min((block + 1) * size, len(self.xs)), x)
+        if found is not None:
+            return found
+        rest = self.far(self.tops[block + 1 :], x, self.gap)
+        if self.two_sided:
+            rest = rest | self.far(self.bottoms[block + 1 :], x, self.gap)
+        hit = np.argmax(rest) if rest.size else 0
+        if not rest.size or not rest[hit]:
+            return None
+        begin = (block + 1 + int(hit)) * size
+        return self._within(begin, min(begin + size, len(self.xs)), x)
+
+    def _within(self, low: int, high: int, x) -> int | None:
+        tests = self.far(self.xs[low:high], x, self.gap)
+        at = int(np.argmax(tests)) if tests.size else 0
+        return low + at if tests.size and tests[at] else None
+
+
 def mark_spaced(
     rows: Ordered, position: str, gap: float, rule: str = "offline", in_time_order: bool = True
 ) -> Ordered:
@@ -158,16 +201,22 @@ class Throttled(Kernel):
                 if len(seen - {""}) >= 2:
                     break
         memo: dict[int, tuple] = {}
+        # end of the run of equal texts that a row belongs to
+        ends = [len(ts)] * len(ts)
+        for i in range(len(ts) - 2, -1, -1):
+            ends[i] = ends[i + 1] if texts[i] == texts[i + 1] else i + 1
+
+        def after(i: int) -> int:
+            at = bisect.bisect_left(ts, True, lo=i + 1, key=lambda t: t - ts[i] >= self.interval)
+            return ends[at] if at < len(ts) and texts[at] == texts[i] else at
 
         def leave(i: int) -> tuple:
             path, at = [], i
             while at not in memo:
                 path.append(at)
-                state, nxt = (ts[at], texts[at]), at + 1
-                while nxt < len(ts) and not self._passes(ts[nxt], texts[nxt], state):
-                    nxt += 1
+                nxt = after(at)
                 if nxt == len(ts):
-                    memo[at] = state
+                    memo[at] = (ts[at], texts[at])
                     break
                 at = nxt
             for p in path:
