@@ -66,7 +66,17 @@ def collar_match(t: Tables) -> DataFrame:
     return match.sweep_counts(walk, [0.0], ["file_id"]).drop("threshold")
 
 
-@query("j2_matched_pairs")
+@query(
+    "j2_matched_pairs",
+    f"""WITH {I.MATCHING}, p AS (SELECT file_id, id, at_us,
+  (SELECT count(*) FROM truth g WHERE g.file_id = p.file_id AND g.at_us < p.at_us - {COLLAR_US}) AS lo,
+  (SELECT count(*) FROM truth g WHERE g.file_id = p.file_id AND g.at_us <= p.at_us + {COLLAR_US}) AS hi FROM predictions p WHERE confidence >= 0.02),
+f AS (SELECT file_id, list_reduce(list([lo, hi, id] ORDER BY at_us, id), lambda a, x: CASE WHEN greatest(a[1], x[1]) < x[2]
+  THEN list_concat(list_concat([greatest(a[1], x[1]) + 1], a[2:]), [x[3], greatest(a[1], x[1])]) ELSE a END, [0]::BIGINT[]) AS l FROM p GROUP BY file_id),
+m AS (SELECT file_id, l[2 * i + 2] AS prediction_id, l[2 * i + 3] AS rank FROM f, unnest(range(0, (len(l) - 1) // 2)) u(i)),
+g AS (SELECT file_id, id AS truth_id, at_us AS truth_us, row_number() OVER (PARTITION BY file_id ORDER BY at_us, id) - 1 AS rank FROM truth)
+SELECT m.file_id, prediction_id, q.at_us AS predicted_us, truth_id, truth_us FROM m JOIN g ON g.file_id = m.file_id AND g.rank = m.rank JOIN predictions q ON q.id = prediction_id""",
+)
 def matched_pairs(t: Tables) -> DataFrame:
     return match.matched_pairs(I.truth(t), I.predictions(t), ["file_id"], COLLAR_US, 0.02)
 

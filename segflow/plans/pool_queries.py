@@ -478,14 +478,29 @@ def noise_bank(t: Tables) -> DataFrame:
     return t.embeddings.select(kind.alias("noise_kind"), F.floor(F.col("vec_id") / 2).alias("place"), F.col("embedding").alias("pcm"))
 
 
-@query("g8_window_turns")
+@query(
+    "g8_window_turns",
+    f"""WITH {_SPECS} SELECT spec_id AS file_id, 0.0::DOUBLE AS start_s, round(CASE WHEN kind = 'change' THEN at_s - gap ELSE 3.0 END, 3)::DOUBLE AS end_s, spk_a AS speaker_id, false AS has_overlap FROM specs
+UNION ALL SELECT spec_id, round(at_s, 3)::DOUBLE, 3.0, (spk_a + 1) % {SPEAKERS}, gap < 0 FROM specs WHERE kind = 'change'""",
+)
 def window_turns(t: Tables) -> DataFrame:
     """Turn rows that describe each window; their boundaries are the window's change."""
     asked = specs(t).withColumn("spk_b", F.when(F.col("kind") == "change", (F.col("spk_a") + 1) % SPEAKERS).otherwise(F.col("spk_a")))
     return windows.turns_of(asked)
 
 
-@query("g10_reverb_mix")
+@query(
+    "g10_reverb_mix",
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+r0 AS (SELECT vec_id AS rir, x[list_position(list_transform(x, lambda v: abs(v)), list_max(list_transform(x, lambda v: abs(v)))):][:32] AS h FROM e WHERE vec_id < {RESPONSES}),
+r1 AS (SELECT rir, list_transform(range(0, len(h)), lambda i: h[i + 1] * CASE WHEN i >= len(h) - least(len(h), 8) THEN 0.5 * (1 + cos(pi() * (i - (len(h) - least(len(h), 8))) / greatest(least(len(h), 8) - 1, 1))) ELSE 1 END) AS h FROM r0),
+r2 AS (SELECT rir, list_transform(range(0, 32), lambda i: coalesce(h[i + 1], 0) / sqrt(list_sum(list_transform(h, lambda v: v * v))) * (1 - i / 31)) AS h FROM r1),
+j AS (SELECT vec_id, x, h, 0.2 + (0.6::DOUBLE - 0.2::DOUBLE) * {u_sql(5, 'vec_id')} AS wet FROM e JOIN r2 ON vec_id % {RESPONSES} = rir),
+c AS (SELECT *, list_transform(range(0, len(x)), lambda i: list_sum(list_transform(range(0, least(i, 31) + 1), lambda k: x[i - k + 1] * h[k + 1]))) AS y FROM j),
+m AS (SELECT *, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x) + 1e-9) / sqrt(list_sum(list_transform(y, lambda v: v * v)) / len(y) + 1e-9) AS g FROM c),
+z AS (SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: (1 - wet) * x[i] + wet * y[i] * g) AS z FROM m)
+SELECT vec_id, round(sqrt(list_sum(list_transform(z, lambda v: v * v)) / len(z)), 6) AS rms, round(z[1], 6) AS first, round(z[64], 6) AS last FROM z""",
+)
 def reverb_mix(t: Tables) -> DataFrame:
     """Every embedding convolved with one of the responses at a drawn wet share."""
     from segflow.functions import signals

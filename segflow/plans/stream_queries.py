@@ -33,7 +33,18 @@ def stream_lines(t: Tables) -> DataFrame:
     return drained(t.spark, p.stream_lines(source, *L._RULES), "lines")
 
 
-@query("k13_forced_cuts")
+_R = L._RULES
+
+
+@query(
+    "k13_forced_cuts",
+    f"""WITH {I.STREAM}, s AS (SELECT stream_id, list_reduce(list([at_us, (event_type IN ('click', 'view', 'purchase'))::BIGINT, (event_type = 'signup')::BIGINT] ORDER BY at_us, event_id), lambda a, v:
+  CASE WHEN v[3] = 1 THEN list_concat([0::BIGINT], a[2:])
+       WHEN a[1] = 0 OR v[1] - a[3] >= {_R[0]} OR (a[4] = 1 AND v[1] - a[3] >= {_R[1]}) OR v[1] - a[2] >= {_R[2]} THEN list_concat([1::BIGINT, v[1], v[1], v[2]], list_append(a[5:], v[1]))
+       ELSE list_concat([1::BIGINT, a[2], v[1], greatest(a[4], v[2])], a[5:]) END, [0, 0, 0, 0]::BIGINT[])[5:] AS starts FROM stream GROUP BY stream_id),
+l AS (SELECT st.stream_id, st.at_us, len(list_filter(starts, lambda b: b <= st.at_us)) AS line FROM stream st JOIN s USING (stream_id) WHERE event_type <> 'signup')
+SELECT stream_id, line, min(at_us) AS "start", max(at_us) AS "end", count(*) AS updates FROM l GROUP BY ALL""",
+)
 def forced_cuts(t: Tables) -> DataFrame:
     """The same with a forced cut at every sign-up."""
     rows = _line_updates(t).join(

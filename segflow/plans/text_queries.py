@@ -98,7 +98,14 @@ def overlap(t: Tables) -> DataFrame:
 WIDTH = 42
 
 
-@query("t7_caption_chunks")
+@query(
+    "t7_caption_chunks",
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, flatten(list_transform(w, lambda v: CASE WHEN length(v) > {WIDTH} THEN list_transform(range(0, (length(v) - 1) // {WIDTH} + 1), lambda i: [v[i * {WIDTH} + 1:(i + 1) * {WIDTH}], 'cut']) ELSE [[v, '']] END)) AS p FROM w WHERE len(w) > 0),
+l AS (SELECT doc_id, list_reduce(p, lambda a, v: CASE WHEN len(a) = 0 OR v[2] = 'cut' OR length(a[-1]) + 1 + length(v[1]) > {WIDTH}
+  THEN list_append(a, v[1]) ELSE list_append(a[:-2], a[-1] || ' ' || v[1]) END, []::VARCHAR[]) AS lines FROM p)
+SELECT doc_id, i AS chunk_no, array_to_string(lines[2 * i + 1:2 * i + 2], chr(10)) AS chunk FROM l, unnest(range(0, (len(lines) + 1) // 2)) u(i)""",
+)
 def caption_chunks(t: Tables) -> DataFrame:
     """Whole documents wrapped to two-line captions of 42 characters, one row per caption."""
     return t.documents.select("doc_id", F.posexplode(x.caption_chunks("text", WIDTH)).alias("chunk_no", "chunk"))
