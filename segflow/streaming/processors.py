@@ -14,10 +14,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+import segflow
 from segflow.functions.signals import FRAME_S
 from segflow.operators import captions
 from segflow.operators.lines import DECODE_LAG_S, PRE_ROLL_CHUNKS, RULE1_S, RULE2_S, RULE3_S, SETTLE_S
@@ -40,7 +42,13 @@ def with_event_time(df: DataFrame, clock_us, lateness: str = "10 seconds") -> Da
 
 def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    # the runner that prepares a stateful query does not see files added to the session,
+    # so the processor travels with its code
+    cloudpickle.register_pickle_by_value(segflow)
+    try:
+        return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(segflow)
 
 
 class _Processor(StatefulProcessor):
