@@ -130,3 +130,19 @@ def test_default_of_missing_dimension_rows(spark):
     clips = spark.createDataFrame([("a",), ("b",)], "spk string")
     genders = spark.createDataFrame([("a", "F")], "spk string, gender string")
     assert {tuple(r) for r in with_default(clips, genders, "spk", "gender", "U").collect()} == {("a", "F"), ("b", "U")}
+
+
+def test_joins_do_not_broadcast_beyond_the_limits(spark):
+    from segflow.operators.joins import join_small
+    from segflow.session import BROADCAST_BYTES, BROADCAST_ROWS, small_enough
+
+    small = spark.range(100).select("id", F.array_repeat(F.lit(1.0), 50).alias("x"), F.struct(F.lit("a").alias("s")).alias("t"))
+    big = spark.range(1000).select((F.col("id") % 100).alias("id"))
+    assert small_enough(small)
+    for conf, value in ((BROADCAST_ROWS, "99"), (BROADCAST_BYTES, "20000")):
+        spark.conf.set(conf, value)
+        try:
+            assert not small_enough(small)
+            assert join_small(big, small, ["id"]).count() == 1000
+        finally:
+            spark.conf.unset(conf)
