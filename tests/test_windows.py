@@ -145,3 +145,13 @@ def test_pairs_refuse_large_dimensions(spark):
     assert splits.unordered_pairs(spark.range(5), "id").count() == 10
     with pytest.raises(ValueError):
         splits.unordered_pairs(spark.range(50), "id", limit=40)
+
+
+@pytest.mark.parametrize("n", [2, 3, 71, 400])
+def test_numbered_pairs_visit_every_pair_once(spark, n):
+    size = n * (n - 1) // 2
+    jobs = spark.range(size + 5).withColumnRenamed("id", "job")
+    rows = splits.pair_schedule(spark.range(n), "id", jobs, "job", limit=1).orderBy("job").collect()
+    pairs = [tuple(sorted((r.speaker_a, r.speaker_b))) for r in rows]
+    assert len(set(pairs[:size])) == size and pairs[size:] == pairs[:5]
+    assert all(0 <= a < b < n for a, b in pairs)
