@@ -75,6 +75,32 @@ def test_sides_come_from_their_speaker(pool, made):
             assert len(fits) == 1 or a[0].clip != b[0].clip
 
 
+def ratio(x, frame=8):
+    n = len(x) // frame
+    if n == 0:
+        return 0.0
+    m = np.mean(np.reshape(x[: n * frame], (n, frame)) ** 2, axis=1)
+    return np.mean(m > max(0.01 * np.sort(m)[min(n - 1, int(0.95 * n))], 1e-10))
+
+
+def test_first_active_try_is_taken(spark, made):
+    # clips that are silent for half of them, so that tries differ
+    rng = np.random.default_rng(6)
+    _, pieces, _ = made
+    loud = {c: [float(v) for v in rng.normal(size=70) * (np.arange(70) % 24 < (24 if c % 3 else 6))] for c in range(60)}
+    pool = spark.createDataFrame(list(loud.items()), "clip long, pcm array<double>")
+    recipe = windows.Recipe(rate=20, active_frame=8, min_active=0.75)
+    got = {(r.spec_id, r.side): r["try"] for r in windows.gathered(pieces, pool, "clip", "pcm", recipe).collect()}
+    tries: dict = {}
+    for p in pieces.orderBy("piece").collect():
+        x, _ = tries.setdefault((p.spec_id, p.side), {}).setdefault(p["try"], ([], p.need))
+        x += loud[p.clip][p.start : p.start + p.len]
+    for key, options in tries.items():
+        good = [k for k, (x, need) in sorted(options.items()) if ratio(np.array(x[:need])) >= 0.75]
+        assert got[key] == (good[0] if good else 6)
+    assert len(set(got.values())) > 2
+
+
 def test_finished_windows(spark, made):
     specs, _, sides = made
     noise = spark.createDataFrame([("music", 0, [0.1, -0.2] * 10), ("noise", 0, [0.0] * 80), ("noise", 1, [0.3, -0.1] * 60)], "noise_kind string, place long, pcm array<double>")
