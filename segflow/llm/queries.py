@@ -30,6 +30,20 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@_query("op4_suffix_dedup")
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from segflow.llm import suffixes
+
+    return suffixes.suffix_digest(_table(spark, folder, "documents"), 200)
+
+
+@_query("op9_factor_dedup")
+def factor_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from segflow.llm import factors
+
+    return factors.factor_digest(_table(spark, folder, "documents"), 50)
+
+
 @_query("op8_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from segflow.llm import packing
