@@ -44,6 +44,13 @@ def factor_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return factors.factor_digest(_table(spark, folder, "documents"), 50)
 
 
+@_query("op7_rans_tokens")
+def rans_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    from segflow.llm import rans
+
+    return rans.round_trip(_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
+
+
 @_query("op8_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from segflow.llm import packing
