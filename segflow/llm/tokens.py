@@ -11,7 +11,9 @@ import pyarrow as pa
 from segflow.llm.common import SPACE, chunks, text_buffers
 
 #: Bytes of text whose distinct words are encoded together.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 10 << 20
+#: Words that a worker remembers with their ids (about 60 MB); words met once in a batch are not kept.
+CACHE_WORDS = 250_000
 _MARK = "\x01"
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".,;:!?|"]] = True
@@ -21,12 +23,13 @@ _LETTERS[65:91] = _LETTERS[97:123] = True
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
+    """The tokenizer and the words that this worker remembers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+    return made, {}
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -41,45 +44,79 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _encoded(made, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each part, flat, with offsets. Parts that begin with a space are encoded in one call between marks."""
+def _encoded(made, parts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(order, ids, lengths): ids of the parts, one after the other in ``order``.
+
+    Parts that begin with a space are encoded many in one call, a mark after each that no token crosses.
+    """
     mark = made.encode_batch_fast([" " + _MARK], add_special_tokens=False)[0].ids
-    last = mark[-1]
+    order, flats, lengths = [], [], []
     joint = [i for i, p in enumerate(parts) if p[:1] == " " and _MARK not in p]
-    ids: list = [None] * len(parts)
+    alone = [i for i, p in enumerate(parts) if p[:1] != " " or _MARK in p]
     for low in range(0, len(joint), 4096):
         some = joint[low : low + 4096]
-        flat = np.array(made.encode_batch_fast(["".join(parts[i] + " " + _MARK for i in some)], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.flatnonzero(flat == last)
+        flat = np.array(made.encode_batch_fast(["".join([parts[i] + " " + _MARK for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(flat == mark[-1])
         if len(stops) != len(some):
+            alone += some
             continue
-        begins = np.concatenate([[0], stops[:-1] + 1])
-        for i, a, b in zip(some, begins.tolist(), (stops + 1 - len(mark)).tolist()):
-            ids[i] = flat[a:b]
-    rest = [i for i, v in enumerate(ids) if v is None]
-    for i, e in zip(rest, made.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
-        ids[i] = np.array(e.ids, np.uint32)
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    return flat, np.concatenate([[0], np.cumsum(lengths)])
+        keep = np.ones(len(flat), bool)
+        for back in range(len(mark)):
+            keep[stops - back] = False
+        order += some
+        flats.append(flat[keep])
+        lengths.append(np.diff(stops, prepend=-1) - len(mark))
+    for low in range(0, len(alone), 4096):
+        some = alone[low : low + 4096]
+        ids = [e.ids for e in made.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)]
+        order += some
+        flats.append(np.fromiter((v for own in ids for v in own), np.uint32))
+        lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+    join = lambda arrays, kind: np.concatenate(arrays) if arrays else np.zeros(0, kind)
+    return order, join(flats, np.uint32), join(lengths, np.int64)
+
+
+def _table(made, cache: dict, parts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, start, length) of every part; remembered words first, the rest encoded now."""
+    known = [cache.get(p) for p in parts]
+    old = [i for i, v in enumerate(known) if v is not None]
+    new = [i for i, v in enumerate(known) if v is None]
+    order, flat, lengths = _encoded(made, [parts[i] for i in new])
+    ends = np.cumsum(lengths)
+    if len(cache) < CACHE_WORDS:
+        for k in np.flatnonzero(counts[np.array(new, np.int64)[order]] > 1).tolist() if order else ():
+            cache[parts[new[order[k]]]] = flat[ends[k] - lengths[k] : ends[k]].tobytes()
+    seen = [known[i] for i in old]
+    ids = np.concatenate([np.frombuffer(b"".join(seen), np.uint32), flat])
+    length = np.empty(len(parts), np.int32)
+    start = np.empty(len(parts), np.int32)
+    place = np.array(old + [new[k] for k in order], np.int64)
+    size = np.concatenate([np.fromiter((len(v) // 4 for v in seen), np.int64, len(seen)), lengths])
+    length[place] = size
+    start[place] = np.cumsum(size) - size
+    return ids, start, length
 
 
 def batches(path: str, column, end_id: int):
     """For ranges of documents: (first, last, ids of all of them, offsets by document); ``end_id`` closes each."""
-    made = tokenizer(path)
+    made, cache = tokenizer(path)
     data, offsets = text_buffers(column)
     for first, last in chunks(offsets, BATCH_BYTES):
-        own = data[offsets[first] : offsets[last]]
+        own = np.ascontiguousarray(data[offsets[first] : offsets[last]])
         at = offsets[first : last + 1] - offsets[first]
         cut = _cuts(own, at)
-        parts = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(own))])
+        parts = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(own)])
         coded = parts.dictionary_encode()
-        flat, where = _encoded(made, coded.dictionary.to_pylist())
-        flat, where = np.append(flat, np.uint32(end_id)), np.append(where, len(flat) + 1)
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        ids, start, length = _table(made, cache, coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))
+        del parts, coded
+        ids, start, length = np.append(ids, np.uint32(end_id)), np.append(start, np.int32(len(ids))), np.append(length, np.int32(1))
         closes = np.searchsorted(cut, at[1:])
-        index = np.insert(index, closes, len(where) - 2)
-        size = np.diff(where)[index]
-        ends = np.cumsum(size)
-        take = np.repeat(where[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        yield first, last, flat[take], np.concatenate([[0], ends[closes + np.arange(len(closes))]])
+        index = np.insert(index, closes, len(start) - 1)
+        size = length[index]
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        take = np.repeat(start[index] - (ends - size).astype(np.int32), size)
+        take += np.arange(total, dtype=np.int32)
+        yield first, last, ids[take], np.concatenate([[0], ends[closes + np.arange(len(closes))]])
+        pa.default_memory_pool().release_unused()
