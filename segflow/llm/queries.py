@@ -30,6 +30,13 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@_query("op3_syncmer_fingerprints")
+def syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from segflow.llm import syncmers
+
+    return syncmers.fingerprints(_table(spark, folder, "documents"))
+
+
 @_query("op4_suffix_dedup")
 def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from segflow.llm import suffixes
