@@ -30,6 +30,13 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@_query("op2_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from segflow.llm import icws
+
+    return icws.near_classes(_table(spark, folder, "documents"))
+
+
 @_query("op3_syncmer_fingerprints")
 def syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from segflow.llm import syncmers
