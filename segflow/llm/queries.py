@@ -58,6 +58,20 @@ def factor_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return factors.factor_digest(_table(spark, folder, "documents"), 50)
 
 
+@_query("op5_simhash_decontamination")
+def simhash_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from segflow.llm import simhash
+
+    return simhash.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op6_neighbour_toxicity")
+def neighbour_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from segflow.llm import neighbours
+
+    return neighbours.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_query("op7_rans_tokens")
 def rans_tokens(spark: SparkSession, folder: str) -> DataFrame:
     from segflow.llm import rans
