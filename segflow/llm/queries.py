@@ -30,6 +30,13 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@_query("op1_template_removal")
+def template_removal(spark: SparkSession, folder: str) -> DataFrame:
+    from segflow.llm import pages
+
+    return pages.main_text(_table(spark, folder, "pages"))
+
+
 @_query("op2_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from segflow.llm import icws
