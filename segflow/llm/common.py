@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from segflow.session import scratch_path, ship_package
 
 #: Bytes of text that an array kernel works on at once; a longer document is taken alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -23,11 +26,40 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the cluster's shared folder and read it from there: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    """Write ``df`` below the cluster's shared folder and read it from there: cuts lineage, survives lost executors.
+
+    What was shuffled for it is no longer needed; the collection of garbage lets Spark delete those files now.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, label)
+    if _SCOPE:
+        _SCOPE[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+_SCOPE: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(paths: list[str]):
+    """Collects in ``paths`` what ``stored`` writes inside."""
+    _SCOPE.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.pop()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    context = spark.sparkContext
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

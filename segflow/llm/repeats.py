@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from segflow.llm.common import NONE, anchors, chunks, doc_ends, rolling, signed, stored, text_buffers, texts
 
-#: Anchors that share a gram in more rows than this are compared as rows of single windows, in a plain aggregate.
-HOT_ROWS = 200_000
+#: A gram with more anchors than this is compared by rows of single windows, in a plain aggregate.
+HOT_ROWS = 100_000
 #: Anchors in one bucket.
-BUCKET_ROWS = 40_000
-#: Splitters drawn from the gram counts; more buckets divide each range by hash.
+BUCKET_ROWS = 20_000
+#: Splitters drawn from the places to compare; more buckets divide each range by hash.
 SPLITTERS = 2_000
 NO_ID = (1 << 63) - 1
 
@@ -92,13 +92,13 @@ def anchor_table(docs: DataFrame, rule: Rule) -> DataFrame:
     return rows.where(F.size("grams") > 0)
 
 
-def _splitters(counts: DataFrame, buckets: int) -> np.ndarray:
-    """Sampled quantiles of the grams, weighted by how often each occurs."""
+def _splitters(hits: DataFrame, buckets: int) -> np.ndarray:
+    """Sampled quantiles of the grams of all places to compare."""
     if buckets < 2:
         return np.zeros(0, np.int64)
     parts = min(buckets, SPLITTERS)
     marks = [i / parts for i in range(1, parts)]
-    found = counts.select(F.percentile_approx("gram", marks, F.lit(10_000)).alias("q")).first()["q"]
+    found = hits.select(F.explode("hits.gram").alias("gram")).select(F.percentile_approx("gram", marks, F.lit(10_000)).alias("q")).first()["q"]
     return np.unique(np.array(found or [], np.int64))
 
 
@@ -115,12 +115,13 @@ def repeat_spans(docs: DataFrame, rule: Rule, surroundings, fields: str, compare
     both = table.select("doc_id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     counts = stored(both.where("low < high" if rule.smaller else "n > 1").select("gram", "n"), "grams")
     size = counts.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > hot_rows).alias("hot")).first()
-    buckets = 1 + (size["rows"] or 0) // bucket_rows
-    splitters = _splitters(counts, buckets)
-    split = max(1, -(-buckets // SPLITTERS))
     window, gram = rule.window, rule.gram
     hits = table.select("doc_id", "key", F.explode(F.arrays_zip("grams", "places")).alias("a")).select("doc_id", "key", F.col("a.grams").alias("gram"), F.col("a.places").alias("place"))
-    hits = hits.join(counts, "gram").groupBy("doc_id", "key", "place").agg(F.first("gram").alias("gram"), F.first("n").alias("n")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "gram", (F.col("n") > hot_rows).alias("hot"))).alias("hits"))
+    places = F.collect_set(F.struct("place", "gram", (F.col("n") > hot_rows).alias("hot")))
+    hits = stored(hits.join(counts, "gram").groupBy("doc_id", "key").agg(places.alias("hits")), "hits")
+    buckets = 1 + (size["rows"] or 0) // bucket_rows
+    splitters = _splitters(hits, buckets)
+    split = max(1, -(-buckets // SPLITTERS))
 
     def around(hot: bool):
         def emit(stream):
@@ -144,12 +145,22 @@ def repeat_spans(docs: DataFrame, rule: Rule, surroundings, fields: str, compare
                         continue
                     base = [ids[low:high][doc], keys[low:high][doc], own.astype(np.int32), gram_of]
                     if hot:
-                        start = own[:, None] - np.arange(window - gram + 1)
-                        size_of = np.diff(first)[doc]
-                        row, before = np.nonzero((start >= 0) & (start + window <= size_of[:, None]))
-                        whole = rolling(hashes, window)[first[doc[row]] + start[row, before]]
-                        columns = [pa.array(c[row]) for c in base] + [pa.array(before.astype(np.int32)), pa.array(signed(whole))]
-                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "place", "gram", "before", "whole"])
+                        place = first[doc] + own
+                        begin, stop = np.maximum(first[doc], place - (window - gram)), np.minimum(place, first[doc + 1] - window) + 1
+                        good = begin < stop
+                        edge = np.zeros(len(hashes) + 1, np.int64)
+                        np.add.at(edge, begin[good], 1)
+                        np.add.at(edge, stop[good], -1)
+                        start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                        if not len(start):
+                            continue
+                        whole, doc = rolling(hashes, window)[start], np.searchsorted(first, start, "right") - 1
+                        turn = np.lexsort((start, whole, doc))
+                        whole, doc, start = whole[turn], doc[turn], start[turn]
+                        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])]))
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(start)).astype(np.int32)), pa.array((start - first[doc]).astype(np.int32)))
+                        columns = [pa.array(ids[low:high][doc[new]]), pa.array(keys[low:high][doc[new]]), pa.array(signed(whole[new])), lists]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "whole", "starts"])
                         continue
                     columns = [pa.array(c) for c in base]
                     bucket = np.searchsorted(splitters, gram_of, "right").astype(np.int64) * split + gram_of % split
@@ -172,12 +183,14 @@ def repeat_spans(docs: DataFrame, rule: Rule, surroundings, fields: str, compare
     plain = joined.mapInArrow(around(False), "doc_id long, key long, place int, gram long, bucket long, " + fields)
     out = plain.groupBy("bucket").applyInArrow(bucketed, spans)
     if size["hot"]:
-        single = stored(joined.where(F.exists("hits", lambda h: h["hot"])).mapInArrow(around(True), "doc_id long, key long, place int, gram long, before int, whole long"), "hot-windows")
-        equal = single.groupBy("gram", "before", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
-        again = single.join(equal, ["gram", "before", "whole"]).where("low < doc_id" if rule.smaller else "n > 1")
-        again = again.groupBy("doc_id", "key", "place").agg(F.min("before").alias("least"), F.max("before").alias("most"))
-        out = out.unionByName(again.select("doc_id", "key", (F.col("place") - F.col("most")).cast("long").alias("start"), (F.col("place") + window - F.col("least")).cast("long").alias("end")))
-    return out
+        # each window start once, equal windows of a document in one row
+        single = joined.where(F.exists("hits", lambda h: h["hot"])).mapInArrow(around(True), "doc_id long, key long, whole long, starts array<int>")
+        single = stored(single, "hot-windows")
+        equal = single.groupBy("whole").agg(F.sum(F.size("starts")).alias("n"), F.min("doc_id").alias("low"))
+        again = single.join(equal, "whole").where("low < doc_id" if rule.smaller else "n > 1").select("doc_id", "key", F.explode("starts").alias("start"))
+        again = again.withColumn("start", F.col("start").cast("long"))
+        out = out.unionByName(again.withColumn("end", F.col("start") + window))
+    return stored(out, "spans")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, finish, schema: str, columns: list[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from segflow.llm.common import runs_of
 from segflow.llm.repeats import Rule, repeat_spans, with_spans
 
-GRAM, WINDOW = 64, 200
+GRAM, WINDOW = 32, 200
 
 
 def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
