@@ -7,9 +7,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from segflow.llm.common import SPACE, rolling, runs_of, signed, words
-from segflow.llm.repeats import Rule, repeat_spans, with_spans
+from segflow.llm.repeats import NO_ID, Rule, repeat_spans, with_spans
 
 GRAM, WINDOW = 20, 50
 
@@ -101,11 +102,35 @@ def factor_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **lim
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **limits) -> DataFrame:
-    """(doc_id, key, kept_text): the text without repeated words; null where nothing is removed."""
+    """``docs`` with all columns; a text that has repeats is its kept words joined by one space, with its ``n_chars``.
 
-    def finish(raw, starts, ends):
-        if not len(starts):
-            return (None,)
-        return (b" ".join(_kept(raw, starts, ends)[2]).decode("utf-8"),)
-
-    return with_spans(docs, word_spans(docs, window, gram, **limits), finish, "doc_id long, kept_text string")
+    Every row stays, even if no word does; a text without repeats stays as it is.
+    """
+    merged = word_spans(docs, window, gram, **limits).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    merged = merged.select(F.col("doc_id").alias("span_doc"), F.col("key").alias("span_key"), "spans")
+    row, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.coalesce(docs["text"], F.lit(""))
+    joined = docs.join(merged, (row == merged["span_doc"]) & (F.xxhash64(text) == merged["span_key"]), "left")
+    names = docs.columns
+    joined = joined.select(*(docs[c] for c in names), merged["spans"].alias("__spans"))
+    schema = docs.schema
+
+    def edit(stream):
+        for batch in stream:
+            lists = batch.column(len(names))
+            touched = np.flatnonzero(~np.asarray(lists.is_null()))
+            columns = list(batch.columns[: len(names)])
+            if len(touched):
+                texts, cut = columns[names.index("text")].to_pylist(), np.asarray(lists.offsets)
+                starts, ends = (c.to_numpy(zero_copy_only=False) for c in lists.values.flatten())
+                sizes = columns[names.index("n_chars")].to_pylist() if "n_chars" in names else None
+                for k in touched.tolist():
+                    a, b = cut[k], cut[k + 1]
+                    texts[k] = b" ".join(_kept(texts[k].encode("utf-8"), starts[a:b], ends[a:b])[2]).decode("utf-8")
+                    if sizes:
+                        sizes[k] = len(texts[k])
+                columns[names.index("text")] = pa.array(texts, batch.schema.field(names.index("text")).type)
+                if sizes:
+                    columns[names.index("n_chars")] = pa.array(sizes, batch.schema.field(names.index("n_chars")).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(edit, schema)
