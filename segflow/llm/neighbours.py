@@ -198,6 +198,22 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.mapInArrow(judge, schema)
 
 
+def without_toxic(docs: DataFrame, model: Classifier, limit: float = 0.5) -> DataFrame:
+    """``docs`` with all columns, of the documents with a score below ``limit``; null and empty texts are kept."""
+    ship_package(docs.sparkSession)
+
+    def keep(stream):
+        for batch in stream:
+            data, offsets = text_buffers(lowered(batch.column("text").fill_null("")))
+            score = np.zeros(batch.num_rows)
+            for low, high in pieces(offsets):
+                for d, vector in model.vectors(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]).items():
+                    score[low + d] = model.score(vector)[0]
+            yield batch.filter(pa.array(score < limit))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """Per document: held_out, score, predicted (score 0.5 or more) and evidence.
 

@@ -27,7 +27,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
     def pieces(stream):
         for batch in stream:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id")
             for first, last, flat, at in batches(path, batch.column("text"), end_id):
                 size = np.diff(at)
                 head = np.where(size > capacity, size % capacity, size)
@@ -40,7 +40,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
                 raw, begin = flat.astype("<u4").tobytes(), (at[doc] + start) * 4
                 crc = [zlib.crc32(raw[a : a + n]) for a, n in zip(begin.tolist(), (length * 4).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first:last][doc]), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
+                    [ids.slice(first, last - first).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 

@@ -81,6 +81,8 @@ def decode_block(model: Model, tokens: int, state: np.ndarray, words: np.ndarray
         x[low] = (x[low] << np.uint64(32)) | words[at : at + len(low)]
         at += len(low)
         state[: len(x)] = x
+    if at != len(words) or (state != _LOW).any():
+        raise ValueError("a block does not end where it began")
     return ids
 
 
