@@ -27,9 +27,9 @@ def _stage(function):
 
 @_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score below 0.5; a null or empty text is kept."""
+    """Documents with a score below 0.5; a text without telling words, also null or empty, is kept."""
     model = neighbours.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return neighbours.scored(docs, model).where("score < 0.5").select(*docs.columns)
+    return neighbours.without_toxic(docs, model)
 
 
 @_stage
