@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segflow.functions.binding import let
 from segflow.llm.repeats import NO_ID
+from segflow.session import small_enough
 
 #: Units of a k-mer and of its inner substrings, and anchors in a fingerprint.
 GRAM, INNER, SKETCH = 3, 1, 64
@@ -74,6 +75,8 @@ def with_next(rows: DataFrame, columns: list[str], cell: int = CELL) -> DataFram
     order = Window.partitionBy().orderBy("cell")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = cells.select("first", F.coalesce(F.lag("cell").over(order), F.max("cell").over(every)).alias("before"))
+    # one row per range: broadcast when measured small, so the texts are not dealt out for it
+    cells = F.broadcast(cells) if small_enough(cells) else cells
     rows = rows.join(cells, rows["doc_id"] == cells["first"], "left")
     own = F.struct(F.floor(F.col("doc_id") / cell).alias("cell"), F.lit(0).alias("copy"))
     copy = F.struct(F.col("before").alias("cell"), F.lit(1).alias("copy"))
