@@ -20,6 +20,8 @@ from segflow.operators.ordered import Kernel, ordered, total
 
 ARRIVE, PREDICT, EXPIRE = 0, 1, 2
 _FAR = 1 << 60
+#: Thresholds that one pass can hold, one bit each.
+LEVELS = 62
 
 
 class _Collar(Kernel):
@@ -91,12 +93,13 @@ def collar_walk(
     (at the lowest threshold) before the row.
     """
     levels = len(thresholds)
-    if not 0 < levels <= 62:
-        raise ValueError("between 1 and 62 thresholds fit one bit mask")
+    if not 0 < levels <= LEVELS:
+        raise ValueError(f"between 1 and {LEVELS} thresholds fit one bit mask; collar_sweep takes any number")
     if list(thresholds) != sorted(thresholds):
         raise ValueError("thresholds must ascend")
     keys = list(keys)
-    passed = sum((F.col("confidence") >= F.lit(float(t))).cast("int") for t in thresholds)
+    # a prediction without a confidence passes no threshold
+    passed = sum(F.coalesce(F.col("confidence") >= F.lit(float(t)), F.lit(False)).cast("int") for t in thresholds)
     none = F.lit(None)
     marks = truth.select(
         *keys,
@@ -164,9 +167,13 @@ def collar_sweep(
     collar_us: int,
     thresholds: Sequence[float],
 ) -> DataFrame:
-    """Micro metrics per threshold; all thresholds are matched in one pass over the data."""
-    walk = collar_walk(truth, predictions, keys, collar_us, thresholds)
-    return precision_recall(sweep_counts(walk, thresholds))
+    """Micro metrics per threshold; LEVELS thresholds are matched in one pass over the data."""
+    counts = None
+    for low in range(0, len(thresholds), LEVELS):  # more thresholds than bits take another pass
+        some = thresholds[low : low + LEVELS]
+        part = sweep_counts(collar_walk(truth, predictions, keys, collar_us, some), some)
+        counts = part if counts is None else counts.unionByName(part)
+    return precision_recall(counts)
 
 
 def best_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:

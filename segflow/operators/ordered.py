@@ -67,6 +67,13 @@ def number() -> Running:
     return Running("number")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same names in which null matches null; Spark picks the form from the sizes."""
+    right = right.select(*[F.col(c).alias(f"__on_{c}" if c in on else c) for c in right.columns])
+    same = [left[c].eqNullSafe(right[f"__on_{c}"]) for c in on]
+    return left.join(right, same, how).drop(*[f"__on_{c}" for c in on])
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -108,7 +115,7 @@ class Ordered:
     def _span_only(self) -> DataFrame:
         if not self.keys:
             return self.df
-        return self.df.join(F.broadcast(self.spanning), list(self.keys), "left_semi")
+        return null_safe_join(self.df, self.spanning, self.keys, "left_semi")
 
     # -- running values ---------------------------------------------------
 
@@ -123,7 +130,7 @@ class Ordered:
         )
         carry = self._carry(specs)
         join_on = self._parts
-        df = df.join(F.broadcast(carry), join_on, "left")
+        df = null_safe_join(df, carry, join_on, "left")
         done = {name: self._complete(name, spec, rn, rev) for name, spec in specs.items()}
         kept = [c for c in self.df.columns if c not in specs]
         return self.with_df(df.select(*kept, *[c.alias(n) for n, c in done.items()]))
@@ -208,12 +215,13 @@ class Ordered:
             + [f"`{n}` {t}" for n, t in kernel.outputs.items()]
         )
         if self.split:
-            df = df.join(F.broadcast(self._enter_states(kernel)), self._parts, "left")
-            # the join keeps the rows of a partition but not provably their order
+            df = null_safe_join(df, self._enter_states(kernel), self._parts, "left")
+            # the join keeps the rows of a block together but not their order
             df = df.sortWithinPartitions(*self._parts, *self.order)
         else:
             df = df.withColumn(_ENTER, F.lit(None).cast("binary"))
-        df = df.select(*self.df.columns, _FIRST, _ENTER)
+        # only the first row of a block needs the state it is entered in
+        df = df.select(*self.df.columns, _FIRST, F.when(F.col(_FIRST), F.col(_ENTER)).alias(_ENTER))
         types = {n: _arrow_type(t) for n, t in kernel.outputs.items()}
         return self.with_df(df.mapInArrow(_replay(kernel, types), schema))
 
@@ -304,7 +312,7 @@ def _replay(kernel: Kernel, types: dict[str, pa.DataType]):
 def ordered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None
 ) -> Ordered:
-    """Group ``df`` by ``keys`` (not null) in the total order ``order``.
+    """Group ``df`` by ``keys`` (a null is a key like any other) in the total order ``order``.
 
     One aggregate over the key columns decides between the plain and the block form.
     """
@@ -351,7 +359,7 @@ def percentiles(
         joined = rows.df.withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
     else:
         sizes = rows.df.groupBy(*keys).agg(F.sum("__n").alias("__all"))
-        joined = rows.df.join(sizes, keys) if keys else rows.df.crossJoin(F.broadcast(sizes))
+        joined = null_safe_join(rows.df, sizes, keys) if keys else rows.df.crossJoin(F.broadcast(sizes))
     aggregates = []
     for name, share in shares.items():
         place = (F.col("__all") - 1) * F.lit(share)

@@ -100,33 +100,26 @@ def cropped(clips: DataFrame, clip: str, length: str, limit: int, seed: int = 42
     return clips.withColumns({"crop_start": F.when(spare > 0, start).otherwise(F.lit(0)).cast("long"), "crop_len": F.least(F.col(length), F.lit(limit))})
 
 
-def unordered_pairs(dimension: DataFrame, id_column: str, limit: int = 3000) -> DataFrame:
-    """All pairs (i < j) of a small dimension; refused when it is not small."""
-    if dimension.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} ids: use pair_schedule, which numbers the pairs instead")
-    a = dimension.select(F.col(id_column).alias("speaker_a"))
-    b = F.broadcast(dimension.select(F.col(id_column).alias("speaker_b")))
-    return a.join(b, F.col("speaker_a") < F.col("speaker_b"))
+def unordered_pairs(dimension: DataFrame, id_column: str) -> DataFrame:
+    """All pairs (i < j) of distinct ids, made from their numbers: two joins on places, no pairing of rows."""
+    n = dimension.count()
+    size = n * (n - 1) // 2
+    numbers = dimension.sparkSession.range(size).select(F.col("id").alias("__k"))
+    return _speakers_of(dimension, id_column, numbers, n).select("speaker_a", "speaker_b")
 
 
-def pair_schedule(dimension: DataFrame, id_column: str, jobs: DataFrame, job: str, seed: int = 42, limit: int = 3000) -> DataFrame:
+def pair_schedule(dimension: DataFrame, id_column: str, jobs: DataFrame, job: str, seed: int = 42) -> DataFrame:
     """Shuffled pairs cycled over the jobs 0..n-1, each flipped with probability one half.
 
-    A small dimension is paired and ranked by draw.  Beyond ``limit`` ids no pair is ever
-    listed: each job computes the number of its pair, spread by a fixed step over all pairs.
+    No pair is ever listed: each job computes the number of its pair, spread by a fixed step over all pairs, for a
+    dimension of any size.
     """
     n = dimension.count()
     if n < 2:
         raise ValueError("need at least 2 speakers")
     size = n * (n - 1) // 2
     placed = jobs.withColumn("pair_no", F.col(job) % size)
-    if n <= limit:
-        pairs = unordered_pairs(dimension, id_column, limit)
-        rows = ordered(pairs.withColumn("__u", draw.bits(seed, "speaker_a", "speaker_b")), [], ["__u", "speaker_a", "speaker_b"])
-        ranked = rows.scan(__at=number()).rows().withColumn("pair_no", F.col("__at") - 1).drop("__u", "__at")
-        joined = join_small(placed, ranked, ["pair_no"])
-    else:
-        joined = _numbered_pairs(dimension, id_column, placed, n, size, seed)
+    joined = _numbered_pairs(dimension, id_column, placed, n, size, seed)
     flip = draw.chance(0.5, f"{seed}-flip", job)
     a, b = F.col("speaker_a"), F.col("speaker_b")
     return joined.withColumns({"speaker_a": F.when(flip, b).otherwise(a), "speaker_b": F.when(flip, a).otherwise(b)})
@@ -139,13 +132,18 @@ def _numbered_pairs(dimension: DataFrame, id_column: str, placed: DataFrame, n:
         step += 1
     if step * size >= 1 << 62:
         raise ValueError("too many pairs to number")
-    k = (F.col("pair_no") * step + seed) % size
+    return _speakers_of(dimension, id_column, placed.withColumn("__k", (F.col("pair_no") * step + seed) % size), n)
+
+
+def _speakers_of(dimension: DataFrame, id_column: str, numbered: DataFrame, n: int) -> DataFrame:
+    """The pair of each number ``__k``: pairs stand in order of their places (first, second)."""
+    k = F.col("__k")
     # pairs before first place i: i * (2n - i - 1) / 2
     before = lambda i: F.shiftright(i * (2 * n - i - 1), 1)
     guess = F.floor((F.lit(2 * n - 1) - F.sqrt(F.pow(F.lit(2.0 * n - 1), F.lit(2.0)) - 8 * k)) / 2).cast("long")
     # the root is rounded, so the guess can be one off either way
     guess = F.greatest(F.least(guess, F.lit(n - 2)), F.lit(0))
-    df = placed.withColumn("__k", k).withColumn("__g", guess)
+    df = numbered.withColumn("__g", guess)
     g = F.col("__g")
     first = F.when(before(g) > F.col("__k"), g - 1).when(before(g + 1) <= F.col("__k"), g + 1).otherwise(g)
     df = df.withColumn("__a", first).withColumn("__b", F.col("__k") - before(F.col("__a")) + F.col("__a") + 1).drop("__k", "__g")

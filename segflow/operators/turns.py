@@ -33,24 +33,29 @@ def boundaries(turns: DataFrame, tie_break: str | None = None) -> DataFrame:
 
 def frame_labels(
     turns: DataFrame,
-    duration_s: float,
+    duration_s: float | None = None,
     hop_ms: float = 10.0,
     tolerance_ms: float = 150.0,
     shape: str = "after",
     tie_break: str | None = None,
 ) -> DataFrame:
-    """Non-zero frame labels per file, from the turn boundaries.
+    """Non-zero frame labels per file, from the turn boundaries; without ``duration_s`` a file ends with its last turn.
 
     Each boundary touches only the frames within the tolerance, so those are the rows
     made; overlapping boundaries are combined by the maximum before and after the shuffle.
     """
     hop, tol = hop_ms / 1000.0, tolerance_ms / 1000.0
-    n = signals.frame_count(duration_s, hop_ms)
-    at = F.col("boundary_time_s")
+    at, marks = F.col("boundary_time_s"), boundaries(turns, tie_break)
+    if duration_s is None:
+        ends = turns.groupBy("file_id").agg(F.max("end_s").alias("__end"))
+        marks = marks.join(ends, "file_id").withColumn("__n", F.round(F.col("__end") / hop).cast("long"))
+    else:
+        marks = marks.withColumns({"__end": F.lit(float(duration_s)), "__n": F.lit(signals.frame_count(duration_s, hop_ms)).cast("long")})
+    n = F.col("__n")
     low = F.floor((at - (0.0 if shape == "after" else tol)) / hop) - 1
     high = F.ceil((at + tol) / hop) + 1
-    frames = F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(n - 1)))
-    touched = boundaries(turns, tie_break).where((high >= 0) & (low <= n - 1) & (at - tol <= duration_s))
+    frames = F.sequence(F.greatest(low, F.lit(0)), F.least(high, n - 1))
+    touched = marks.where((high >= 0) & (low <= n - 1) & (n > 0) & (at - tol <= F.col("__end")))
     rows = touched.select("file_id", at, F.explode(frames).alias("frame"))
     value = label_value(F.col("frame") * F.lit(hop), at, tol, shape)
     return (

@@ -197,7 +197,7 @@ p AS (SELECT stream_id, run, arg_min(at_us, (-score, at_us)) AS peak_at FROM r W
 s AS ({_keep_sql(f'x[1] - a[-1] >= {12 * HOUR_US}', 'p', 'stream_id', 'peak_at', 'peak_at')}) SELECT stream_id, kept AS peak_at FROM s""",
 )
 def frame_events(t: Tables) -> DataFrame:
-    rows = ordered(I.stream(t), ["stream_id"], ["at_us"])
+    rows = ordered(I.stream(t), ["stream_id"], ["at_us", "event_id"])
     return fr.frame_events(rows, "score", 0.05, 12 * HOUR_US).select("stream_id", "peak_at")
 
 
@@ -215,18 +215,19 @@ def newest_due(t: Tables) -> DataFrame:
 def _labels_sql(value: str, where: str) -> str:
     return f"""WITH {I.TURNS}, l AS (SELECT *, lag(speaker_id) OVER (PARTITION BY file_id ORDER BY start_s, turn) AS prev FROM turns),
 b AS (SELECT file_id, start_s AS cp FROM l WHERE prev <> speaker_id),
-f AS (SELECT i AS frame, i * 0.01::DOUBLE AS t FROM range(0, 1000) r(i))
-SELECT file_id, frame, round(max({value}), 6) AS label FROM b, f WHERE {where} GROUP BY ALL"""
+n AS (SELECT file_id, round(max(end_s) / 0.01)::BIGINT AS frames FROM turns GROUP BY 1),
+f AS (SELECT file_id, cp, i AS frame, i * 0.01::DOUBLE AS t FROM b JOIN n USING (file_id), unnest(range(greatest((cp * 100)::BIGINT - 20, 0), least((cp * 100)::BIGINT + 20, frames))) r(i))
+SELECT file_id, frame, round(max({value}), 6) AS label FROM f WHERE {where} GROUP BY ALL"""
 
 
 @query("f10_soft_labels", _labels_sql("exp(-0.5 * pow((t - cp) / 0.075, 2))", "t >= cp AND t <= cp + 0.15"))
 def soft_labels(t: Tables) -> DataFrame:
-    return turns.frame_labels(I.turns(t), 10.0, tie_break="turn")
+    return turns.frame_labels(I.turns(t), tie_break="turn")
 
 
 @query("f11_hard_labels", _labels_sql("1.0::DOUBLE", "abs(t - cp) <= 0.15"))
 def hard_labels(t: Tables) -> DataFrame:
-    return turns.frame_labels(I.turns(t), 10.0, shape="hard", tie_break="turn")
+    return turns.frame_labels(I.turns(t), shape="hard", tie_break="turn")
 
 
 @query(

@@ -353,12 +353,14 @@ def full_report(t: Tables) -> DataFrame:
 
 @query(
     "a18_frame_scores",
-    f"""WITH {I.FRAMES}, j AS (SELECT stream_id, ln(score / (1 - score)) > -2.5 AS fired, event_type = 'error' AS has, ln(score / (1 - score)) > -2.5 AND event_type = 'error' AS hit FROM frames WHERE score < 1),
+    f"""WITH {I.FRAMES}, s AS (SELECT *, least(score, 1 - 1e-7) AS p FROM frames),
+j AS (SELECT stream_id, ln(p / (1 - p)) > -2.5 AS fired, event_type = 'error' AS has, ln(p / (1 - p)) > -2.5 AND event_type = 'error' AS hit FROM s),
 c AS (SELECT {_COUNTS} FROM j) SELECT tp, fp, fn, {_EVENT} FROM c""",
 )
 def frame_scores(t: Tables) -> DataFrame:
     """Frame-level scores; the logit is shifted so that the stand-in scores cross zero."""
-    rows = I.stream(t).where("score < 1").withColumn("logit", F.log(F.col("score") / (1 - F.col("score"))) + 2.5)
+    score = F.least("score", F.lit(1 - 1e-7))  # a saturated score has a large logit, not none
+    rows = I.stream(t).withColumn("logit", F.log(score / (1 - score)) + 2.5)
     return metrics.frame_prf(rows, F.col("logit") > 0.0, F.col("event_type") == "error")
 
 

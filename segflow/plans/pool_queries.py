@@ -109,7 +109,8 @@ def speaker_pairs(t: Tables) -> DataFrame:
 
 
 _PAIRS = f"""pairs AS (SELECT a.n_nationkey::BIGINT AS a, b.n_nationkey::BIGINT AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey),
-ranked AS (SELECT a, b, row_number() OVER (ORDER BY {_bits(42, "a || ':' || b")}, a, b) - 1 AS pair_no FROM pairs),
+numbered AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM pairs),
+ranked AS (SELECT a, b, p AS pair_no FROM range(0, 300) r(p) JOIN numbered ON k = (p * 262229 + 42) % 300),
 schedule AS (SELECT s_suppkey AS job, pair_no, CASE WHEN {u_sql('42-flip', 's_suppkey')} < 0.5 THEN b ELSE a END AS speaker_a,
   CASE WHEN {u_sql('42-flip', 's_suppkey')} < 0.5 THEN a ELSE b END AS speaker_b
   FROM supplier JOIN ranked ON s_suppkey % (SELECT count(*) FROM pairs) = pair_no)"""
@@ -402,21 +403,20 @@ def partner_lookup(t: Tables) -> DataFrame:
     return windows.with_partner(asked, speakers(t), "s_nationkey", n).select("spec_id", "spk_a", "spk_b")
 
 
-# Embeddings as clips: 20 samples per second, lengths 30..64, five clips per speaker.
-SMALL = windows.Recipe(rate=20, active_frame=8, fade_ms=(50.0, 250.0))
+# Embeddings as clips: 40 samples per second; every other clip is a vector twice, so sides of over 64 samples are stitched.
+SMALL = windows.Recipe(rate=40, active_frame=8, fade_ms=(50.0, 250.0))
 
 
 def small_clips(t: Tables) -> DataFrame:
-    size = (F.col("vec_id") % 35 + 30).cast("int")
-    return t.embeddings.select(
-        F.col("vec_id").alias("clip"), (F.col("vec_id") % SPEAKERS).alias("spk"), size.alias("len"), F.slice("embedding", F.lit(1), size).alias("pcm")
-    )
+    pcm = F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.concat("embedding", "embedding"))
+    rows = t.embeddings.select(F.col("vec_id").alias("clip"), (F.col("vec_id") % SPEAKERS).alias("spk"), pcm.alias("pcm"))
+    return rows.select("clip", "spk", F.size("pcm").alias("len"), "pcm")
 
 
 def small_sides(t: Tables):
     asked = specs(t, SMALL).withColumn("spk_b", F.when(F.col("kind") == "change", (F.col("spk_a") + 1) % SPEAKERS).otherwise(F.col("spk_a")))
     clips = small_clips(t)
-    entries = windows.catalogue(clips, "spk", "clip", "len", 48)
+    entries = windows.catalogue(clips, "spk", "clip", "len")
     pieces = windows.chosen_pieces(asked, entries, "spk", SMALL)
     return asked, pieces, clips
 
@@ -433,9 +433,9 @@ def gathered_sides(t: Tables) -> DataFrame:
 
 @query("g9_stitched_pieces")
 def stitched_pieces(t: Tables) -> DataFrame:
-    """Pieces of the sides that no single clip covers (first try)."""
+    """Pieces of the sides that no single clip covers, for every try."""
     _, pieces, _ = small_sides(t)
-    many = pieces.where("try = 1").groupBy("spec_id", "side", "need").agg(F.count(F.lit(1)).alias("pieces"), F.sum("len").alias("available"))
+    many = pieces.groupBy("spec_id", "side", F.col("try").alias("try_no"), "need").agg(F.count(F.lit(1)).alias("pieces"), F.sum("len").alias("available"))
     return many.where("pieces > 1")
 
 
@@ -443,7 +443,7 @@ def stitched_pieces(t: Tables) -> DataFrame:
 def active_redraw(t: Tables) -> DataFrame:
     """How many draws each side needed until it was active enough."""
     asked, pieces, clips = small_sides(t)
-    sides = windows.gathered(pieces, clips, "clip", "pcm", windows.Recipe(rate=20, active_frame=8, min_active=0.9))
+    sides = windows.gathered(pieces, clips, "clip", "pcm", windows.Recipe(rate=40, active_frame=8, min_active=0.9))
     return sides.groupBy("side", F.col("try").alias("try_no")).agg(F.count(F.lit(1)).alias("windows"))
 
 

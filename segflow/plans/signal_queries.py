@@ -77,28 +77,28 @@ def faded(t: Tables) -> DataFrame:
 
 @query(
     "g7_noise_mix",
-    f"""WITH {_EMB}, p AS (SELECT a.vec_id, a.x, list_transform(range(0, len(a.x)), lambda i: b.x[i % 40 + 1]) AS n FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+    f"""WITH {_EMB}, p AS (SELECT a.vec_id, list_concat(a.x, a.x) AS x, list_transform(range(0, 2 * len(a.x)), lambda i: b.x[i % len(b.x) + 1]) AS n FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
 q AS (SELECT *, {_POWER} AS loud, {_POWER.replace('x,', 'n,').replace('(x)', '(n)')} AS hum FROM p),
 y AS (SELECT vec_id, CASE WHEN loud < 1e-9 OR hum < 1e-9 THEN x ELSE list_transform(range(1, len(x) + 1), lambda i: x[i] + n[i] * sqrt(loud / pow(10, 1.5) / hum)) END AS y FROM q) {_UNNEST}""",
 )
 def noise_mix(t: Tables) -> DataFrame:
-    """Each signal with the next one (cut to 40 samples and tiled) as noise at 15 dB."""
-    noise = embedded(t).select((F.col("vec_id") - 1).alias("vec_id"), F.slice("x", 1, 40).alias("n"))
-    both = embedded(t).join(noise, "vec_id").withColumn("n", s.tiled("n", F.size("x")))
+    """Each signal, played twice, with the next one (tiled to its length) as noise at 15 dB."""
+    noise = embedded(t).select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("n"))
+    both = embedded(t).withColumn("x", F.concat("x", "x")).join(noise, "vec_id").withColumn("n", s.tiled("n", F.size("x")))
     return exploded(both.select("vec_id", s.mixed("x", "n", 15.0).alias("y")), "y")
 
 
 @query(
     "g8_two_segments",
-    f"""WITH {_EMB}, c AS (SELECT a.vec_id, list_transform(range(0, 64), lambda i: CASE WHEN i < 30 THEN a.x[i + 1] ELSE 0 END + CASE WHEN i >= 26 AND i < 26 + 36 THEN b.x[i - 26 + 1] ELSE 0 END) AS x
+    f"""WITH {_EMB}, c AS (SELECT a.vec_id, list_transform(range(0, 124), lambda i: CASE WHEN i < 64 THEN a.x[i + 1] ELSE 0 END + CASE WHEN i >= 60 THEN b.x[i - 60 + 1] ELSE 0 END) AS x
   FROM e a JOIN e b ON b.vec_id = a.vec_id + 1), p AS (SELECT vec_id, x, {_PEAK} AS top FROM c),
 y AS (SELECT vec_id, CASE WHEN top > 0.99 THEN list_transform(x, lambda v: v / top * 0.99) ELSE x END AS y FROM p) {_UNNEST}""",
 )
 def two_segments(t: Tables) -> DataFrame:
-    """A from sample 0, B from sample 26, overlapping by four samples."""
-    b = embedded(t).select((F.col("vec_id") - 1).alias("vec_id"), F.slice("x", 1, 36).alias("b"))
-    both = embedded(t).select("vec_id", F.slice("x", 1, 30).alias("a")).join(b, "vec_id")
-    return exploded(both.select("vec_id", s.assembled("a", "b", 26, 64).alias("y")), "y")
+    """A from sample 0, B from sample 60, overlapping by four samples."""
+    b = embedded(t).select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("b"))
+    both = embedded(t).select("vec_id", F.col("x").alias("a")).join(b, "vec_id")
+    return exploded(both.select("vec_id", s.assembled("a", "b", 60, 124).alias("y")), "y")
 
 
 @query("p5_quality_gate", f"WITH {_EMB} SELECT vec_id, round(sqrt({_POWER}) * 80, 6) AS rms FROM e WHERE sqrt({_POWER}) * 80 >= 10 AND sqrt(list_sum(list_transform(x, lambda v: v * v))) >= 1e-6")
@@ -124,12 +124,12 @@ def chunk_windows(t: Tables) -> DataFrame:
     )
 
 
-@query("j8_bank_lookup", f"WITH {_EMB}, b AS (SELECT vec_id AS rir, x AS h FROM e WHERE vec_id < 16) SELECT e.vec_id, b.rir IS NOT NULL AS wet, round(coalesce(h[1], 0), 6) AS first FROM e LEFT JOIN b ON b.rir = CASE WHEN e.vec_id % 3 = 0 THEN -1 ELSE e.vec_id % 16 END")
+@query("j8_bank_lookup", f"WITH {_EMB}, b AS (SELECT vec_id AS rir, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) AS level FROM e) SELECT e.vec_id, b.rir IS NOT NULL AS wet, round(coalesce(level, 0), 6) AS level FROM e LEFT JOIN b ON b.rir = CASE WHEN e.vec_id % 3 = 0 THEN -1 ELSE e.vec_id - 1 END")
 def bank_lookup(t: Tables) -> DataFrame:
-    """Bank rows by id; -1 means none."""
-    bank = embedded(t).where("vec_id < 16").select(F.col("vec_id").alias("rir"), F.get("x", F.lit(0)).alias("h"))
-    rows = t.embeddings.select("vec_id", F.when(F.col("vec_id") % 3 == 0, -1).otherwise(F.col("vec_id") % 16).alias("rir"))
-    return join_small(rows, bank, ["rir"], "left").select("vec_id", F.col("h").isNotNull().alias("wet"), F.coalesce("h", F.lit(0.0)).alias("first"))
+    """Bank rows by id, here the vector before; -1 means none."""
+    bank = embedded(t).select(F.col("vec_id").alias("rir"), s.rms("x").alias("level"))
+    rows = t.embeddings.select("vec_id", F.when(F.col("vec_id") % 3 == 0, -1).otherwise(F.col("vec_id") - 1).alias("rir"))
+    return join_small(rows, bank, ["rir"], "left").select("vec_id", F.col("level").isNotNull().alias("wet"), F.coalesce("level", F.lit(0.0)).alias("level"))
 
 
 @query(

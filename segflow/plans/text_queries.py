@@ -114,14 +114,14 @@ def caption_chunks(t: Tables) -> DataFrame:
 @query(
     "t7_wrapped_turns",
     f"""WITH w AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations),
-l AS (SELECT conv_id, turn, list_reduce(list_transform(w, lambda v: [v]), lambda a, v:
-  CASE WHEN len(a) > 0 AND length(a[-1]) + 1 + length(v[1]) <= 60 THEN list_append(a[:-2], a[-1] || ' ' || v[1]) ELSE list_append(a, v[1]) END, []::VARCHAR[]) AS lines FROM w WHERE list_max(list_transform(w, lambda v: length(v))) <= 60)
+p AS (SELECT conv_id, turn, flatten(list_transform(w, lambda v: CASE WHEN length(v) > 60 THEN list_transform(range(0, (length(v) - 1) // 60 + 1), lambda i: [v[i * 60 + 1:(i + 1) * 60], 'cut']) ELSE [[v, '']] END)) AS p FROM w WHERE len(w) > 0),
+l AS (SELECT conv_id, turn, list_reduce(p, lambda a, v: CASE WHEN len(a) = 0 OR v[2] = 'cut' OR length(a[-1]) + 1 + length(v[1]) > 60
+  THEN list_append(a, v[1]) ELSE list_append(a[:-2], a[-1] || ' ' || v[1]) END, []::VARCHAR[]) AS lines FROM p)
 SELECT conv_id, turn, i AS chunk_no, array_to_string(lines[2 * i + 1:2 * i + 2], chr(10)) AS chunk FROM l, unnest(range(0, (len(lines) + 1) // 2)) u(i)""",
 )
 def wrapped_turns(t: Tables) -> DataFrame:
-    """Turns without over-long words, wrapped at 60 characters."""
-    longest = F.array_max(F.transform(x.split_words("text"), lambda w: F.length(w)))
-    return t.conversations.where(longest <= 60).select("conv_id", "turn", F.posexplode(x.caption_chunks("text", 60)).alias("chunk_no", "chunk"))
+    """Turns wrapped at 60 characters; a blank turn has no chunk."""
+    return t.conversations.select("conv_id", "turn", F.posexplode(x.caption_chunks("text", 60)).alias("chunk_no", "chunk"))
 
 
 @query("t8_display_seconds", f"SELECT conv_id, turn, round(greatest(2.0, least(6.0, 2.0 + 0.2 * greatest(len({_WORDS}), 1))), 6)::DOUBLE AS seconds FROM conversations")

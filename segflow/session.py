@@ -49,11 +49,13 @@ def broadcast_limit(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """Root of the shared scratch space: the cluster's checkpoint folder.
 
-    Only where the cluster names none (local tests) a temporary folder is made.
+    Only where a local session names none (tests) a temporary folder is made; on a cluster executors could not read it.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="segflow-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)

@@ -48,6 +48,26 @@ def test_running_values(form, df, rows):
         state["prev"] = id_
 
 
+def test_a_null_key_is_a_key(form, spark):
+    data = [(None if i % 5 else "k", i) for i in range(120)]
+    rows = ordered(spark.createDataFrame(data, "k string, id long"), ["k"], ["id"]).scan(a=lag("id"), c=total("id"), n=number()).rows().collect()
+    for key in (None, "k"):
+        run, before = 0, None
+        for at, r in enumerate(sorted((r for r in rows if r.k == key), key=lambda r: r.id), 1):
+            run += r.id
+            assert (r.a, r.c, r.n) == (before, run, at)
+            before = r.id
+    kept = spaced(spark.createDataFrame(data, "k string, id long"), ["k"], ["id"], "id", 7, "offline")
+    for key in (None, "k"):
+        own, last_id = [i for k, i in data if k == key], None
+        want = []
+        for i in own:
+            if last_id is None or i - last_id >= 7:
+                want.append(i)
+                last_id = i
+        assert sorted(r.id for r in kept.where("k is null" if key is None else "k = 'k'").collect()) == want
+
+
 def test_running_values_without_keys(form, df, rows):
     got = ordered(df, [], ["t", "id"]).scan(c=total("id"), n=number()).rows().collect()
     at = {r.id: (r.c, r.n) for r in got}
