@@ -7,14 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.common import PLAIN, signed, stored, text_buffers, texts, words
-from segflow.llm.shingles import lowered, pieces, rarity, word_slots
+from segflow.llm.common import NONE, PLAIN, mixed, rolling, signed, stored, text_buffers, texts, words
+from segflow.llm.shingles import SHINGLE, lowered, pieces, rarity, word_slots
 from segflow.session import ship_package
 
 #: Bounds of the fit: labelled rows of each label that are drawn by the hash of their id, and terms that are kept.
 EXAMPLES, TERMS = 4096, 4096
-#: Least standard score of a term's rate among toxic against other examples.
+#: Least standard score by which a term's rate among toxic examples exceeds that among others.
 TELLING = 4.5
+#: And by which factor.
+LIFT = 2.0
 NEIGHBOURS, PRIOR_WEIGHT = 15, 0.5
 BLOCK = 64
 
@@ -34,6 +36,29 @@ def _term_counts(data: np.ndarray, at: np.ndarray):
     return doc[new], hashes[new], word_slots(hashes[new]), np.diff(np.append(new, len(doc)))
 
 
+def _twins(stream):
+    """Adds two least hashes of the five-word runs of each text, equal for copies and for most near copies."""
+    for batch in stream:
+        data, offsets = text_buffers(lowered(batch.column("text")))
+        least = np.zeros((2, batch.num_rows), np.int64)
+        for low, high in pieces(offsets):
+            _, _, first, hashes = words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], PLAIN)
+            size = np.diff(first)
+            runs = hashes.copy()
+            if len(hashes) >= SHINGLE:
+                whole = np.flatnonzero(np.arange(len(hashes)) + SHINGLE <= np.repeat(first[1:], size))
+                runs[whole] = rolling(hashes, SHINGLE)[whole]
+            # the last words of a text have no whole run and do not count, but in texts of under five words
+            runs[(np.arange(len(hashes)) + SHINGLE > np.repeat(first[1:], size)) & np.repeat(size >= SHINGLE, size)] = NONE
+            some = np.flatnonzero(size)
+            if len(some):
+                for k in range(2):
+                    each = np.where(runs == NONE, NONE, mixed(runs + np.uint64(k)))
+                    least[k, low + some] = signed(np.minimum.reduceat(each, first[:-1][some]))
+        columns = [batch.column(c) for c in ("doc_id", "toxic", "text")] + [pa.array(v) for v in least]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "text", "one", "two"])
+
+
 class Index:
     """Inverted lists of unit vectors: per term the examples and weights, and the greatest weight of each block of examples."""
 
@@ -123,8 +148,8 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Classifier:
     """Fit on at most ``examples`` rows of each label, drawn by the hash of their id; held-out ids are never read.
 
-    Rarity of terms comes from all documents. Terms that tell the labels apart by TELLING standard errors are kept,
-    at most ``terms`` of them. Null labels are ignored; of repeated labels the greatest holds.
+    Rarity of terms comes from all documents. Terms of toxic examples, by TELLING standard errors, are kept, at most
+    ``terms`` of them. Null labels are ignored; of repeated labels the greatest holds.
     """
     ship_package(docs.sparkSession)
     rare = rarity(docs)
@@ -133,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most twice ``examples`` rows of two numbers
-    sample = stored(texts(docs).where("doc_id is not null").join(drawn, "doc_id").dropDuplicates(["text", "toxic"]), "examples")
+    # copies and near copies are one example: their common words would seem telling
+    sample = texts(docs).where("doc_id is not null").join(drawn, "doc_id").mapInArrow(_twins, "doc_id long, toxic int, text string, one long, two long")
+    sample = stored(sample.dropDuplicates(["one", "toxic"]).dropDuplicates(["two", "toxic"]).select("doc_id", "toxic", "text"), "examples")
 
     def count(stream):
         for batch in stream:
@@ -150,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     each = sample.select("text", "toxic").mapInArrow(count, "term long, slot int, other long, toxic long")
     each = each.groupBy("term", "slot").agg(F.sum("other").alias("a"), F.sum("toxic").alias("b")).where("a + b >= 4")
     rate = (F.col("a") + F.col("b")) / (n0 + n1)
-    gap = F.abs(F.col("b") / n1 - F.col("a") / n0) / F.sqrt(rate * (1 - rate) * (1 / n0 + 1 / n1) + 1e-12)
-    best = each.withColumn("gap", gap).where(F.col("gap") >= TELLING).orderBy(F.desc("gap"), "term").limit(terms).collect()
+    gap = (F.col("b") / n1 - F.col("a") / n0) / F.sqrt(rate * (1 - rate) * (1 / n0 + 1 / n1) + 1e-12)
+    best = each.withColumn("gap", gap).where(F.col("gap") >= TELLING).where(F.col("b") / n1 >= F.col("a") / n0 * LIFT).orderBy(F.desc("gap"), "term").limit(terms).collect()
     found = sorted((int(np.int64(r["term"]).view(np.uint64)), r["slot"]) for r in best)
     chosen = np.array([f[0] for f in found], np.uint64)
     weight = rare[np.array([f[1] for f in found], np.int64)].astype(np.float64) if found else np.zeros(0)
