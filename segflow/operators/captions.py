@@ -1,203 +1,143 @@
-"""Splitting caption lines at speaker changes: the rule, and its batch form.
+"""Splitting caption lines at speaker changes, as data.
 
-``Utterance`` is the rule for one stream; the batch form replays it per utterance and
-the streaming form keeps it as keyed state.
+An utterance runs to its final text.  Each change is resolved by the first update at or after the time at which its
+words must have been decoded, or else by the end of the utterance.  It cuts before the word that was the last known
+when the change was decoded: an as-of lookup in the word counts of the partial texts.  The cut positions of an
+utterance are a running maximum over its changes, and lines are the words between them.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
-
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflow.functions import text as text_functions
 from segflow.operators.lines import DECODE_LAG_S, SETTLE_S
-from segflow.operators.ordered import Kernel, Ordered, lag, last, ordered, total
+from segflow.operators.ordered import lag, last, ordered, total
 
 CHANGE, UPDATE = 0, 1
-#: seconds of word-count history kept beyond lag and settle
-HISTORY_S = 3.0
-
-LINES = "array<struct<text:string,start_s:double,duration_s:double,confidence:double,cause:string,change_s:double>>"
+
+_LINE = "struct<emitted_s:double,seq:bigint,known:int,low:int,high:int,start_s:double,duration_s:double,confidence:double,cause:string,change_s:double>"
 
 
-@dataclass
-class Utterance:
-    """The open utterance of a stream: words shown, words known, changes waiting."""
+def merged(updates: DataFrame, changes: DataFrame, key: str, **more: Column) -> DataFrame:
+    """Updates and changes as rows of one shape; ``more`` are columns of updates, null for changes."""
+    a = updates.select(key, F.lit(UPDATE).alias("kind"), "clock_s", F.col("seq").cast("long").alias("seq"), F.lit(None).cast("double").alias("change_s"), "confidence", *(c.alias(n) for n, c in more.items()))
+    b = changes.select(key, F.lit(CHANGE).alias("kind"), F.col("detected_at_s").alias("clock_s"), F.lit(0).cast("long").alias("seq"), F.col("time_s").alias("change_s"))
+    return a.unionByName(b, allowMissingColumns=True)
 
-    memory: list = field(default_factory=list)
-    segment_start: float = 0.0
-    shown: int = 0
-    words: list = field(default_factory=list)
-    stamps: list = field(default_factory=list)
-    waiting: list = field(default_factory=list)
-    late: int = 0
-
-    def to_dict(self) -> dict:
-        return asdict(self)
-
-
-def replayed(memory: list, words: list) -> int:
-    """Words at the start of ``words`` that repeat the end of ``memory``, ignoring case."""
-    a, b = [w.lower() for w in memory], [w.lower() for w in words]
-    return next((k for k in range(min(len(a), len(b)), 0, -1) if a[-k:] == b[:k]), 0)
-
-
-def on_change(u: Utterance, change_s: float) -> None:
-    u.waiting.append(change_s)
-
-
-def _count_at(u: Utterance, clock: float) -> int:
-    known = [n for t, n in u.stamps if t <= clock]
-    return known[-1] if known else u.shown
-
-
-def _split_at(u: Utterance, change_s: float, confidence, decode_lag: float) -> dict | None:
-    if change_s <= u.segment_start:
-        u.late += 1
-        return None
-    upto = max(u.shown, min(_count_at(u, change_s + decode_lag), len(u.words)))
-    words = u.words[u.shown : upto]
-    if not words:
-        return None  # silence only: nothing to show and nothing to move
-    line = _line(words, u.segment_start, max(change_s - u.segment_start, 0.0), confidence, "change", change_s)
-    u.shown, u.segment_start = upto, change_s
-    return line
-
-
-def _line(words, start, duration, confidence, cause, change_s=None) -> dict:
-    return {
-        "text": " ".join(words),
-        "start_s": start,
-        "duration_s": duration,
-        "confidence": confidence,
-        "cause": cause,
-        "change_s": change_s,
-    }
-
-
-def on_due(u: Utterance, clock: float, confidence, decode_lag: float = DECODE_LAG_S, settle: float = SETTLE_S, final: bool = False) -> list[dict]:
-    """Apply the waiting changes whose words must have been decoded by now."""
-    due = sorted(t for t in u.waiting if final or clock >= t + decode_lag + settle)
-    if not due:
-        return []
-    u.waiting = [t for t in u.waiting if t not in due]
-    lines = (_split_at(u, t, confidence, decode_lag) for t in due)
-    return [line for line in lines if line]
-
-
-def on_partial(u: Utterance, clock: float, text: str, decode_lag: float = DECODE_LAG_S, settle: float = SETTLE_S) -> str:
-    """Take a partial text; returns the words not yet shown."""
-    raw = text.split()
-    words = raw[replayed(u.memory, raw) :]
-    if len(words) != len(u.words):
-        u.stamps.append([clock, len(words)])
-        oldest = clock - (decode_lag + settle + HISTORY_S)
-        while len(u.stamps) > 1 and u.stamps[1][0] <= oldest:
-            u.stamps.pop(0)
-    u.words = words
-    return " ".join(words[u.shown :])
-
-
-def on_final(u: Utterance, clock: float, text: str, confidence, decode_lag: float = DECODE_LAG_S) -> list[dict]:
-    """Finish the utterance: waiting changes first, then the words not yet shown."""
-    raw = text.split()
-    u.words = raw[replayed(u.memory, raw) :]
-    lines = on_due(u, clock, confidence, decode_lag, final=True)
-    rest = u.words[u.shown :]
-    if rest:
-        lines.append(_line(rest, u.segment_start, max(clock - u.segment_start, 0.0), confidence, "final"))
-    u.memory = raw[-text_functions.OVERLAP_WORDS :]
-    u.segment_start, u.shown, u.words, u.stamps, u.waiting = clock, 0, [], [], []
-    return lines
-
-
-class Captioner(Kernel):
-    """Replays the rows of one utterance."""
-
-    inputs = ("kind", "clock_s", "change_s", "partial", "final", "confidence", "memory", "begun_s")
-    outputs = {"lines": LINES, "partial_shown": "string", "late": "bigint"}
-
-    def __init__(self, decode_lag: float = DECODE_LAG_S, settle: float = SETTLE_S):
-        self.decode_lag, self.settle = decode_lag, settle
-
-    def start(self):
-        return None
-
-    def run(self, columns, first, enter, state):
-        lines, shown, late = [], [], []
-        rows = zip(*(columns[c] for c in self.inputs))
-        for (kind, clock, change, partial, final, confidence, memory, begun), new in zip(rows, first):
-            if new:
-                state = Utterance(list(memory or []), begun)
-            before, out, text = state.late, [], None
-            if kind == CHANGE:
-                on_change(state, change)
-            elif final is not None:
-                out = on_final(state, clock, final, confidence, self.decode_lag)
-            else:
-                text = on_partial(state, clock, partial or "", self.decode_lag, self.settle)
-                out = on_due(state, clock, confidence, self.decode_lag, self.settle)
-            lines.append(out)
-            shown.append(text)
-            late.append(state.late - before)
-        return {"lines": lines, "partial_shown": shown, "late": late}, state
-
-
-def caption_rows(
-    updates: DataFrame, changes: DataFrame, key: str = "stream_id", decode_lag: float = DECODE_LAG_S, settle: float = SETTLE_S
+
+def utterances(
+    updates: DataFrame, changes: DataFrame, key: str = "stream_id", decode_lag: float = DECODE_LAG_S, settle: float = SETTLE_S, flush: bool = True
 ) -> DataFrame:
-    """Replay updates and changes of each stream; every row carries the lines it emits.
+    """One row per utterance: its ``lines`` as word ranges, late changes, replayed words and whether it ended.
 
-    ``updates``: key, seq, clock_s, partial, final, confidence; ``changes``: key, time_s,
-    detected_at_s.  An utterance needs only the last words and the clock of the one
-    before, which running values supply, so utterances replay in parallel even within
-    one hot stream.
+    ``updates``: key, seq, clock_s, partial, final, confidence; ``changes``: key, time_s, detected_at_s.  Texts do not
+    travel here: a row carries its number of words and the first few, enough to find words replayed from the
+    utterance before.  With ``flush`` an utterance that is still open when the stream ends is closed as well.
     """
-    none = lambda t: F.lit(None).cast(t)
-    a = updates.select(
-        key, F.lit(UPDATE).alias("kind"), "clock_s", F.col("seq").cast("long").alias("seq"), none("double").alias("change_s"), "partial", "final", "confidence"
-    )
-    b = changes.select(
-        key,
-        F.lit(CHANGE).alias("kind"),
-        F.col("detected_at_s").alias("clock_s"),
-        F.lit(0).cast("long").alias("seq"),
-        F.col("time_s").alias("change_s"),
-        none("string").alias("partial"),
-        none("string").alias("final"),
-        none("double").alias("confidence"),
+    words = text_functions.split_words(F.coalesce("final", "partial", F.lit("")))
+    head = F.slice(words, 1, text_functions.OVERLAP_WORDS)
+    rows = merged(updates, changes, key, ended=F.col("final").isNotNull(), size=F.size(words), head=head, tail=F.when(F.col("final").isNotNull(), text_functions.last_words(words)))
+    closing = F.when(F.col("ended"), F.struct("tail", F.col("clock_s").alias("at")))
+    rows = ordered(rows, [key], ["clock_s", "kind", "seq", "change_s"]).columns(__end=F.coalesce("ended", F.lit(False)).cast("long"), __closing=closing)
+    rows = rows.scan(__ends=total("__end"), __closed=last("__closing")).scan(__before=lag("__ends"), __last=lag("__closed")).rows()
+    again = text_functions.overlap(F.col("__last.tail"), F.col("head"))
+    update = F.when(F.col("kind") == UPDATE, F.struct("clock_s", "seq", (F.col("size") - again).cast("int").alias("known"), "ended", "confidence", again.alias("again")))
+    change = F.when(F.col("kind") == CHANGE, F.struct(F.col("change_s").alias("at"), F.col("clock_s").alias("seen")))
+    # an utterance is bounded by the endpointing rule; only clocks and counts of it meet here
+    grouped = rows.groupBy(key, F.coalesce("__before", F.lit(0)).alias("utterance")).agg(
+        F.array_sort(F.collect_list(update)).alias("ups"), F.collect_list(change).alias("marks"), F.coalesce(F.max("__last.at"), F.lit(0.0)).alias("begun_s")
     )
-    order = ["clock_s", "kind", "seq", "change_s"]
-    rows = ordered(a.unionByName(b), [key], order)
-    ended = F.col("final").isNotNull()
-    words = text_functions.last_words(text_functions.split_words("final"))
-    closing = F.when(ended, F.struct(words.alias("w"), F.col("clock_s").alias("c")))
-    rows = rows.columns(__end=ended.cast("long"), __closing=closing).scan(__ends=total("__end"), __last=last("__closing"))
-    rows = rows.scan(__before=lag("__ends"), __prev=lag("__last"))
-    parts = rows.rows().select(
-        key,
-        F.coalesce("__before", F.lit(0)).alias("utterance"),
-        *Captioner.inputs[:6],
-        "seq",
-        F.col("__prev.w").alias("memory"),
-        F.coalesce(F.col("__prev.c"), F.lit(0.0)).alias("begun_s"),
+    grouped = grouped.where(F.size("ups") > 0).withColumn("closing", F.try_element_at("ups", F.lit(-1)))
+    grouped = grouped.withColumn("closed", F.col("closing.ended") | F.lit(flush))
+    resolved = F.filter(F.transform("marks", lambda m: _resolved(m, decode_lag, settle)), lambda r: r["clock_s"].isNotNull())
+    folded = grouped.withColumn("cuts", F.array_sort(resolved)).withColumn("folded", _folded())
+    done, shown = F.col("folded.lines"), F.col("folded.shown")
+    rest = _line(F.col("closing"), shown, F.col("closing.known"), F.col("folded.start"), F.col("closing.clock_s"), F.when(F.col("closing.ended"), "final").otherwise("flush"), F.lit(None).cast("double"))
+    whole = F.when(F.col("closed") & (F.col("closing.known") > shown), F.concat(done, F.array(rest))).otherwise(done)
+    return folded.select(key, "utterance", "begun_s", whole.alias("lines"), F.col("folded.late").alias("late"), F.col("closing.again").alias("replayed"), F.col("closing.ended").alias("ended"))
+
+
+def _resolved(mark: Column, decode_lag: float, settle: float) -> Column:
+    """(clock, seq, time, cut, confidence) of a change: where it is applied and the words known when it was decoded."""
+    due = F.greatest(mark["seen"], mark["at"] + (decode_lag + settle))
+    after = F.get(F.filter("ups", lambda u: u["clock_s"] >= due), F.lit(0))
+    place = F.coalesce(after, F.when(F.col("closed"), F.col("closing")))
+    heard = F.try_element_at(F.filter("ups", lambda u: ~u["ended"] & (u["clock_s"] <= mark["at"] + decode_lag)), F.lit(-1))["known"]
+    cut = F.least(F.coalesce(heard, F.lit(0)), place["known"])
+    return F.struct(place["clock_s"].alias("clock_s"), place["seq"].alias("seq"), mark["at"].alias("at"), cut.alias("cut"), place["confidence"].alias("confidence"), place["known"].alias("known"))
+
+
+def _line(place: Column, low: Column, high: Column, start: Column, end: Column, cause: Column, change: Column) -> Column:
+    length = F.greatest(end - start, F.lit(0.0))
+    return F.struct(
+        place["clock_s"].alias("emitted_s"), place["seq"].alias("seq"), place["known"].alias("known"), low.alias("low"), high.alias("high"), start.alias("start_s"),
+        length.alias("duration_s"), place["confidence"].alias("confidence"), cause.alias("cause"), change.alias("change_s"),
     )
-    # an utterance is bounded by the endpointing rule; its rows stream through, none are gathered
-    return Ordered(parts, (key, "utterance"), tuple(order)).fold(Captioner(decode_lag, settle)).rows()
 
 
-def caption_lines(rows: DataFrame, key: str = "stream_id") -> DataFrame:
-    """Emitted lines with display text, one row each."""
-    lines = rows.where(F.size("lines") > 0).select(key, F.col("clock_s").alias("emitted_s"), F.posexplode("lines").alias("part", "l"))
-    out = lines.select(key, "emitted_s", "part", "l.*")
-    return out.withColumn("text", text_functions.formatted("text"))
+def _folded() -> Column:
+    """Cuts of an utterance in the order of their application: a change at or before the start of the open line is
+    late, one that adds no words moves nothing."""
+    zero = F.struct(F.lit(0).alias("shown"), F.col("begun_s").alias("start"), F.lit(0).cast("long").alias("late"), F.array().cast(f"array<{_LINE}>").alias("lines"))
+
+    def step(state: Column, cut: Column) -> Column:
+        late, more = cut["at"] <= state["start"], cut["cut"] > state["shown"]
+        line = _line(cut, state["shown"], cut["cut"], state["start"], cut["at"], F.lit("change"), cut["at"])
+        moved = F.struct(cut["cut"].alias("shown"), cut["at"].alias("start"), state["late"].alias("late"), F.concat(state["lines"], F.array(line)).alias("lines"))
+        missed = F.struct(state["shown"].alias("shown"), state["start"].alias("start"), (state["late"] + 1).alias("late"), state["lines"].alias("lines"))
+        return F.when(late, missed).when(more, moved).otherwise(state)
+
+    return F.aggregate("cuts", zero, step)
+
+
+def replayed(memory: list[str], words: list[str]) -> int:
+    """Number of first words that repeat the end of ``memory``, ignoring case."""
+    a, b = ([w.lower() for w in side] for side in (memory, words))
+    return max((k for k in range(1, min(len(a), len(b)) + 1) if a[-k:] == b[:k]), default=0)
+
+
+def word_ranges(clocks: np.ndarray, known: np.ndarray, ended: bool, at: np.ndarray, seen: np.ndarray, begun: float, decode_lag: float, settle: float):
+    """The rule of :func:`utterances` for the arrays of one utterance: ([(place, low, high, start, change)], late).
+
+    ``clocks`` and ``known`` are those of its updates, ``at`` and ``seen`` of its changes; with ``ended`` the last
+    update closes it. What earlier updates resolved does not depend on later ones, so a growing utterance only appends.
+    """
+    n = len(clocks)
+    place = np.searchsorted(clocks, np.maximum(seen, at + (decode_lag + settle)))
+    heard = np.searchsorted(clocks[: n - ended], at + decode_lag, "right")
+    if ended:
+        place = np.minimum(place, n - 1)
+    ready = np.flatnonzero(place < n)
+    ready = ready[np.lexsort((at[ready], place[ready]))]
+    cut = np.minimum(np.concatenate([[0], known])[heard[ready]], known[place[ready]])
+    low, start, late, lines = 0, begun, 0, []
+    for p, high, t in zip(place[ready].tolist(), cut.tolist(), at[ready].tolist()):
+        if t <= start:
+            late += 1
+        elif high > low:
+            lines.append((p, low, high, start, t))
+            low, start = high, t
+    if ended and known[-1] > low:
+        lines.append((n - 1, low, int(known[-1]), start, None))
+    return lines, late
+
+
+def caption_lines(rows: DataFrame, updates: DataFrame, key: str = "stream_id", display: bool = True) -> DataFrame:
+    """The lines of :func:`utterances` with their text, one row each, cut from the update that resolved them."""
+    spans = rows.select(key, "utterance", F.posexplode("lines").alias("part", "l")).select(key, "utterance", "part", "l.*")
+    texts = updates.select(key, F.col("clock_s").alias("emitted_s"), F.col("seq").cast("long").alias("seq"), text_functions.split_words(F.coalesce("final", "partial", F.lit(""))).alias("w"))
+    out = spans.join(texts, [key, "emitted_s", "seq"])
+    body = F.array_join(F.slice("w", F.size("w") - F.col("known") + F.col("low") + 1, F.greatest(F.col("high") - F.col("low"), F.lit(1))), " ")
+    out = out.withColumn("text", body)
+    if display:
+        out = out.withColumn("text", text_functions.formatted("text"))
+    return out.select(key, "emitted_s", "part", "text", "start_s", "duration_s", "confidence", "cause", "change_s")
 
 
 def session_counts(rows: DataFrame, key: str = "stream_id") -> DataFrame:
-    """Splits applied and late changes per stream."""
+    """Splits applied, late changes and lines per stream."""
     cuts = F.size(F.filter("lines", lambda l: l["cause"] == "change"))
-    return rows.groupBy(key).agg(
-        F.sum(cuts).alias("splits"), F.sum("late").alias("late_changes"), F.sum(F.size("lines")).alias("lines")
-    )
+    return rows.groupBy(key).agg(F.sum(cuts).alias("splits"), F.sum("late").alias("late_changes"), F.sum(F.size("lines")).alias("lines"))

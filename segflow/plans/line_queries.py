@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from segflow.functions import text as x
 from segflow.operators import captions, lines
-from segflow.operators.joins import asof
+from segflow.operators.joins import asof, join_small
+from segflow.operators.lines import DECODE_LAG_S
 from segflow.operators.ordered import number, ordered, total
 from segflow.operators.spacing import throttle
 from segflow.plans import inputs as I
@@ -163,44 +164,90 @@ def recogniser_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
     return updates, changes.select("stream_id", at.alias("time_s"), (at + 1.0).alias("detected_at_s"))
 
 
+# The same rule over the words of each turn: every sixth word a partial, so clocks and counts come from the numbers.
+_TURNS = f"""cw AS (SELECT conv_id, turn, list_filter(string_split_regex(text, chr(92) || chr(115) || chr(43)), lambda v: length(v) > 0) AS w FROM conversations),
+cu AS (SELECT conv_id AS sid, turn, w, len(w) AS n, turn * 1000.0::DOUBLE AS b, lag(w) OVER q AS pw, row_number() OVER q AS u, count(*) OVER (PARTITION BY conv_id) AS us FROM cw WHERE len(w) > 0 WINDOW q AS (PARTITION BY conv_id ORDER BY turn)),
+ct AS (SELECT *, coalesce(list_max(list_filter(range(1, 6), lambda k: k <= n AND k <= len(pw) AND list_transform(pw[-k:], lambda v: lower(v)) = list_transform(w[1:k], lambda v: lower(v)))), 0) AS again,
+  b + n * {WORD_S}::DOUBLE + 1.0 AS fin, list_transform(range(1, (n + {STEP_WORDS - 1}) // {STEP_WORDS} + 1), lambda j: least({STEP_WORDS} * j, n)) AS steps FROM cu),
+cs AS (SELECT *, coalesce(lag(fin) OVER (PARTITION BY sid ORDER BY turn), 0.0)::DOUBLE AS begun FROM ct),
+ca AS (SELECT *, b + k * {9 * WORD_S!r}::DOUBLE AS chg FROM cs, unnest(range(1, greatest(n // 9, 1) + 1)) r(k) WHERE turn % 2 = 0),
+ch AS (SELECT *, list_min(list_filter(steps, lambda m: b + m * {WORD_S}::DOUBLE >= chg + 1.0)) AS mres, list_max(list_filter(steps, lambda m: b + m * {WORD_S}::DOUBLE <= chg + {DECODE_LAG_S}::DOUBLE)) AS heard FROM ca)"""
+
+
+def _cuts_sql(ended: str) -> str:
+    """Applied cuts and the rests of utterances; ``ended`` tells which utterances have a final."""
+    return f"""{_TURNS}, cc AS (SELECT *, least(coalesce(heard - again, 0), coalesce(mres, n) - again) AS cut FROM ch WHERE chg + 1.0 <= fin OR NOT ({ended})),
+cp AS (SELECT *, coalesce(max(cut) OVER (PARTITION BY sid, turn ORDER BY chg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM cc),
+cl AS (SELECT *, coalesce(lag(chg) OVER (PARTITION BY sid, turn ORDER BY chg), begun) AS start, row_number() OVER (PARTITION BY sid, turn ORDER BY chg) - 1 AS part FROM cp WHERE cut > low),
+cx AS (SELECT sid, turn, max(cut) AS shown, max(chg) AS lastat, count(*) AS parts FROM cl GROUP BY ALL),
+cf AS (SELECT cs.*, coalesce(shown, 0) AS low, coalesce(lastat, begun) AS start, coalesce(parts, 0) AS part, CASE WHEN {ended} THEN fin ELSE b + n * {WORD_S}::DOUBLE END AS stop FROM cs LEFT JOIN cx USING (sid, turn))"""
+
+
+_REST = "SELECT sid AS stream_id, round(stop, 6) AS emitted_s, part, array_to_string(w[again + low + 1:], ' ') AS text, round(start, 6) AS start_s, round(greatest(stop - start, 0), 6) AS duration_s"
+_EMITTED = f"CASE WHEN mres IS NULL THEN fin ELSE b + mres * {WORD_S}::DOUBLE END"
+
+
 def caption_rows(t: Tables) -> DataFrame:
-    return captions.caption_rows(*recogniser_rows(t))
+    return captions.utterances(*recogniser_rows(t))
+
 
+def caption_texts(t: Tables, cause: str) -> DataFrame:
+    updates, changes = recogniser_rows(t)
+    return captions.caption_lines(captions.utterances(updates, changes), updates, display=False).where(F.col("cause") == cause)
 
-@query("k7_change_splits")
+
+@query(
+    "k7_change_splits",
+    f"""WITH {_cuts_sql('true')} SELECT sid AS stream_id, round({_EMITTED}, 6) AS emitted_s, part, array_to_string(w[again + low + 1:again + cut], ' ') AS text, round(start, 6) AS start_s, round(chg - start, 6) AS duration_s,
+  CASE WHEN mres IS NULL THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, 'change' AS cause, round(chg, 6) AS change_s FROM cl""",
+)
 def change_splits(t: Tables) -> DataFrame:
-    """Lines cut at speaker changes, with duration and confidence."""
-    return captions.caption_lines(caption_rows(t)).where("cause = 'change'")
+    """Lines cut at speaker changes, with duration and confidence (text before display formatting)."""
+    return caption_texts(t, "change")
 
 
-@query("k8_final_lines")
+@query("k8_final_lines", f"WITH {_cuts_sql('true')} {_REST}, 0.9::DOUBLE AS confidence, 'final' AS cause FROM cf WHERE n - again > low")
 def final_lines(t: Tables) -> DataFrame:
     """Lines emitted when an utterance ends: only the words not shown by a split."""
-    return captions.caption_lines(caption_rows(t)).where("cause = 'final'")
+    return caption_texts(t, "final").drop("change_s")
 
 
 @query(
     "k8_words_conserved",
-    f"WITH w AS (SELECT conv_id, turn, {'list_filter(string_split_regex(text, chr(92) || chr(115) || chr(43)), lambda v: length(v) > 0)'} AS w FROM conversations) SELECT conv_id AS stream_id, count(*) FILTER (len(w) > 0) AS utterances, sum(len(w))::BIGINT AS words FROM w GROUP BY 1",
+    f"WITH w AS (SELECT conv_id, turn, {'list_filter(string_split_regex(text, chr(92) || chr(115) || chr(43)), lambda v: length(v) > 0)'} AS w FROM conversations) SELECT conv_id AS stream_id, count(*) FILTER (len(w) > 0) AS utterances, sum(len(w))::BIGINT AS words FROM w GROUP BY 1 HAVING utterances > 0",
 )
 def words_conserved(t: Tables) -> DataFrame:
-    """Words of all emitted lines plus the replayed ones: every word appears exactly once."""
-    rows = captions.caption_rows(*recogniser_rows(t))
-    shown = F.aggregate("lines", F.lit(0), lambda a, l: a + F.size(x.split_words(l["text"])))
-    again = F.when(F.col("final").isNotNull(), x.overlap(F.coalesce("memory", F.array().cast("array<string>")), x.split_words("final"))).otherwise(0)
-    return rows.groupBy("stream_id").agg(
-        F.sum(F.col("final").isNotNull().cast("long")).alias("utterances"), F.sum(shown + again).cast("long").alias("words")
-    )
+    """Words of all lines plus the replayed ones: every word appears exactly once."""
+    shown = F.aggregate("lines", F.lit(0), lambda a, l: a + l["high"] - l["low"])
+    return caption_rows(t).groupBy("stream_id").agg(F.count(F.lit(1)).alias("utterances"), F.sum(shown + F.col("replayed")).cast("long").alias("words"))
+
+
+@query("k11_flush", f"WITH {_cuts_sql('u < us')} {_REST}, 0.5::DOUBLE AS confidence FROM cf WHERE u = us AND n - again > low")
+def flushed_lines(t: Tables) -> DataFrame:
+    """Sessions cut off before their last final: the open line is closed with the last partial text."""
+    updates, changes = recogniser_rows(t)
+    ends = updates.where("final is not null").groupBy("stream_id").agg(F.max("clock_s").alias("end_s"))
+    open_ended = join_small(updates, ends, ["stream_id"]).where("final is null or clock_s < end_s").drop("end_s")
+    rows = captions.utterances(open_ended, changes)
+    return captions.caption_lines(rows, open_ended, display=False).where("cause = 'flush'").drop("cause", "change_s")
 
 
-@query("k12_session_counts")
+@query(
+    "k12_session_counts",
+    f"""WITH {_cuts_sql('true')}, k AS (SELECT sid, count(*) AS splits FROM cl GROUP BY 1), r AS (SELECT sid, count(*) FILTER (n - again > low) AS rests FROM cf GROUP BY 1),
+l AS (SELECT sid, count(*) AS late FROM ch WHERE chg + 1.0 > fin AND chg <= fin AND u < us GROUP BY 1)
+SELECT sid AS stream_id, coalesce(splits, 0) AS splits, coalesce(late, 0) AS late_changes, coalesce(splits, 0) + rests AS lines FROM r LEFT JOIN k USING (sid) LEFT JOIN l USING (sid)""",
+)
 def session_counts(t: Tables) -> DataFrame:
     return captions.session_counts(caption_rows(t))
 
 
-@query("k12_change_latency")
+@query(
+    "k12_change_latency",
+    f"WITH {_cuts_sql('true')}, e AS (SELECT sid, {_EMITTED} - chg AS late FROM cl) SELECT sid AS stream_id, count(*) AS changes, round(avg(late), 6) AS mean_s, round(max(late), 6) AS max_s FROM e GROUP BY 1",
+)
 def change_latency(t: Tables) -> DataFrame:
     """Seconds from each applied change to its line, per stream."""
-    cuts = captions.caption_lines(caption_rows(t)).where("cause = 'change'")
+    cuts = caption_rows(t).select("stream_id", F.explode("lines").alias("l")).select("stream_id", "l.*").where("cause = 'change'")
     late = F.col("emitted_s") - F.col("change_s")
     return cuts.groupBy("stream_id").agg(F.count(F.lit(1)).alias("changes"), F.avg(late).alias("mean_s"), F.max(late).alias("max_s"))

@@ -65,13 +65,21 @@ def stream_gate(t: Tables) -> DataFrame:
     return drained(t.spark, p.stream_gate(source, 4, 150), "gate")
 
 
-@query("k6_stream_captions")
+@query(
+    "k6_stream_captions",
+    f"""WITH {L._cuts_sql('true')} SELECT sid AS stream_id, array_to_string(w[again + low + 1:again + cut], ' ') AS text, round(start, 6) AS start_s, round(chg - start, 6) AS duration_s, 'change' AS cause, round(chg, 6) AS change_s FROM cl
+UNION ALL SELECT sid, array_to_string(w[again + low + 1:], ' '), round(start, 6), round(greatest(stop - start, 0), 6), 'final', NULL FROM cf WHERE n - again > low""",
+)
 def stream_captions(t: Tables) -> DataFrame:
-    """Caption lines with replay removal, change splits and finals (K6 to K8) as a stateful stream."""
+    """Caption lines with replay removal, change splits and finals (K6 to K8) as a stateful stream.
+
+    When a line is emitted depends on triggers and timers; which lines there are does not.
+    """
     updates, changes = L.recogniser_rows(t)
     a = parts_to_stream(t.spark, [updates], "updates")
     b = parts_to_stream(t.spark, [changes], "changes")
-    return drained(t.spark, p.stream_captions(a, b), "captions")
+    out = drained(t.spark, p.stream_captions(a, b), "captions")
+    return out.select("stream_id", "text", "start_s", "duration_s", "cause", "change_s")
 
 
 @query("k10_stream_throttle", ORACLES["k10_partial_throttle"])

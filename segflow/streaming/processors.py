@@ -8,6 +8,7 @@ behind the watermark are dropped by the engine.
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 from collections.abc import Callable, Iterator
@@ -21,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 import segflow
 from segflow.functions.signals import FRAME_S
+from segflow.functions.text import OVERLAP_WORDS
 from segflow.operators import captions
 from segflow.operators.lines import DECODE_LAG_S, PRE_ROLL_CHUNKS, RULE1_S, RULE2_S, RULE3_S, SETTLE_S
 from segflow.session import STATE_STORE
@@ -201,7 +203,11 @@ def stream_gate(chunks: DataFrame, pre_roll: int = PRE_ROLL_CHUNKS, reset_gap_ms
 
 
 class CaptionProcessor(_Processor):
-    """The line-splitting rule with keyed state; a timer applies changes that fall due in silence."""
+    """Lines of the open utterance of each stream; a timer applies changes that fall due in silence.
+
+    State holds the clocks and word counts of the open utterance and its changes. Lines follow from those arrays by
+    the rule of the batch form; what was not sent yet is emitted.
+    """
 
     order = ["clock_s", "kind", "seq", "change_s"]
     columns = ["stream_id", "emitted_s", "text", "start_s", "duration_s", "confidence", "cause", "change_s", "late_changes"]
@@ -213,68 +219,87 @@ class CaptionProcessor(_Processor):
     def __init__(self, decode_lag: float, settle: float):
         self.decode_lag, self.settle = decode_lag, settle
 
+    def fresh(self, memory=(), begun=0.0, late=0) -> dict:
+        return {"memory": list(memory), "begun": begun, "late": late, "ups": [], "marks": [], "sent": 0, "words": []}
+
+    def _new_lines(self, s: dict, texts: dict[int, list[str]], ended: bool) -> list[dict]:
+        clocks, known = (np.array([u[k] for u in s["ups"]]) for k in (0, 1))
+        at, seen = (np.array([m[k] for m in s["marks"]], dtype=float) for k in (0, 1))
+        if not len(clocks):
+            return []
+        lines, late = captions.word_ranges(clocks, known.astype(np.int64), ended, at, seen, s["begun"], self.decode_lag, self.settle)
+        out = []
+        for place, low, high, start, change in lines[s["sent"] :]:
+            clock, _, confidence = s["ups"][place]
+            words = texts.get(place, s["words"])[low:high]
+            end = clock if change is None else change
+            out.append(
+                {"emitted_s": clock, "text": " ".join(words), "start_s": start, "duration_s": max(end - start, 0.0), "confidence": confidence,
+                 "cause": "final" if change is None else "change", "change_s": change, "late_changes": s["late"] + late}
+            )
+        s["sent"] = len(lines)
+        s["counted"] = late
+        return out
+
     def handleInputRows(self, key, rows, timerValues):
-        saved = self.load() or {"u": captions.Utterance().to_dict(), "confidence": None}
-        u, out = captions.Utterance(**saved["u"]), []
+        s, out, texts = self.load() or self.fresh(), [], {}
         for r in self.rows(rows):
-            clock = r["clock_s"]
             if r["kind"] == captions.CHANGE:
-                captions.on_change(u, r["change_s"])
+                s["marks"].append([r["change_s"], r["clock_s"]])
                 continue
-            if r["final"] is not None:
-                lines = captions.on_final(u, clock, r["final"], r["confidence"], self.decode_lag)
-            else:
-                captions.on_partial(u, clock, r["partial"] or "", self.decode_lag, self.settle)
-                lines = captions.on_due(u, clock, r["confidence"], self.decode_lag, self.settle)
-            saved["confidence"] = r["confidence"]
-            out += [{**line, "emitted_s": clock, "late_changes": u.late} for line in lines]
-        self.save({"u": u.to_dict(), "confidence": saved["confidence"]})
-        self._wait(u)
+            ended = r["final"] is not None
+            raw = ((r["final"] if ended else r["partial"]) or "").split()
+            s["words"] = raw[captions.replayed(s["memory"], raw) :]
+            texts[len(s["ups"])] = s["words"]
+            s["ups"].append([r["clock_s"], len(s["words"]), r["confidence"]])
+            if ended:
+                out += self._new_lines(s, texts, True)
+                s, texts = self.fresh(raw[-OVERLAP_WORDS:], r["clock_s"], s["late"] + s["counted"]), {}
+        out += self._new_lines(s, texts, False)
+        self.save(s)
+        self._wait(s)
         yield from self.out(key, out, self.columns)
 
-    def _wait(self, u: captions.Utterance) -> None:
-        due = min(u.waiting) + self.decode_lag + self.settle if u.waiting else None
-        self.retime(None if due is None else clock_ms(due * 1e6))
+    def _wait(self, s: dict) -> None:
+        latest = s["ups"][-1][0] if s["ups"] else s["begun"]
+        due = [t for t in (max(seen, at + self.decode_lag + self.settle) for at, seen in s["marks"]) if t > latest]
+        self.retime(clock_ms(min(due) * 1e6) if due else None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        saved = self.load()
-        if not saved:
+        s = self.load()
+        if not s or not s["ups"]:
             return
-        u = captions.Utterance(**saved["u"])
         clock = (expiredTimerInfo.getExpiryTimeInMs() - clock_ms(0)) / 1000.0
-        lines = captions.on_due(u, clock, saved["confidence"], self.decode_lag, self.settle)
-        self.save({"u": u.to_dict(), "confidence": saved["confidence"]})
-        self._wait(u)
-        yield from self.out(key, [{**line, "emitted_s": clock, "late_changes": u.late} for line in lines], self.columns)
+        # silence: the last words stand as an update at this time
+        s["ups"].append([max(clock, s["ups"][-1][0]), *s["ups"][-1][1:]])
+        out = self._new_lines(s, {}, False)
+        self.save(s)
+        self._wait(s)
+        yield from self.out(key, out, self.columns)
 
 
 def stream_captions(
     updates: DataFrame, changes: DataFrame, decode_lag: float = DECODE_LAG_S, settle: float = SETTLE_S, lateness: str = "10 seconds"
 ) -> DataFrame:
     """Lines of live streams from recogniser updates and detected changes (columns as in the batch form)."""
-    none = lambda t: F.lit(None).cast(t)
-    a = updates.select(
-        "stream_id", F.lit(captions.UPDATE).alias("kind"), "clock_s", F.col("seq").cast("long").alias("seq"), none("double").alias("change_s"), "partial", "final", "confidence"
-    )
-    b = changes.select(
-        "stream_id",
-        F.lit(captions.CHANGE).alias("kind"),
-        F.col("detected_at_s").alias("clock_s"),
-        F.lit(0).cast("long").alias("seq"),
-        F.col("time_s").alias("change_s"),
-        none("string").alias("partial"),
-        none("string").alias("final"),
-        none("double").alias("confidence"),
-    )
-    rows = with_event_time(a.unionByName(b), (F.col("clock_s") * 1e6).cast("long"), lateness)
+    rows = captions.merged(updates, changes, "stream_id", partial=F.col("partial"), final=F.col("final"))
+    rows = with_event_time(rows, (F.col("clock_s") * 1e6).cast("long"), lateness)
     return stateful(rows, "stream_id", CaptionProcessor(decode_lag, settle), CaptionProcessor.schema)
 
 
 # -- partial texts ------------------------------------------------------------------------
 
 
+def unseen(text: str, committed: str) -> str | None:
+    """The part of a partial text after the committed one; None when it does not begin with that."""
+    return text.removeprefix(committed).lstrip() if text.startswith(committed) else None
+
+
 class PartialProcessor(_Processor):
-    """Redraw limit for partial texts, and removal of the part that is already on screen."""
+    """Redraw limit for partial texts, without the part that is committed already.
+
+    A commit clears what is on screen, so the same words after it are drawn again.
+    """
 
     order = ["at_us", "event_id"]
     schema = "stream_id bigint, at_us bigint, text string"
@@ -283,18 +308,17 @@ class PartialProcessor(_Processor):
         self.interval = interval_us
 
     def handleInputRows(self, key, rows, timerValues):
-        s, out = self.load() or {"shown": "", "at": None, "prefix": ""}, []
-        for r in self.rows(rows):
-            text, at = r["text"] or "", int(r["at_us"])
-            if s["prefix"] and not text.startswith(s["prefix"]):
-                s["prefix"] = ""
-            rest = text[len(s["prefix"]) :].lstrip()
-            if rest != s["shown"] and (s["at"] is None or at - s["at"] >= self.interval):
-                out.append({"at_us": at, "text": rest})
-                s["shown"], s["at"] = rest, at
-            if r["promote"]:
-                s["prefix"] = f"{s['prefix']} {r['promote']}".strip()
-        self.save(s)
+        state, out = self.load() or {"drawn": "", "next": None, "committed": ""}, []
+        for row in self.rows(rows):
+            left = unseen(row["text"] or "", state["committed"])
+            if left is None:
+                left, state["committed"] = row["text"] or "", ""
+            if left != state["drawn"] and (state["next"] is None or row["at_us"] >= state["next"]):
+                state.update(drawn=left, next=int(row["at_us"]) + self.interval)
+                out.append({"at_us": int(row["at_us"]), "text": left})
+            if row["promote"]:
+                state.update(committed=" ".join(filter(None, [state["committed"], row["promote"]])), drawn="")
+        self.save(state)
         yield from self.out(key, out, ["stream_id", "at_us", "text"])
 
 
@@ -307,10 +331,34 @@ def stream_partials(partials: DataFrame, interval_us: int = 250_000, lateness: s
 # -- detection ----------------------------------------------------------------------------
 
 
+def due_windows(totals: np.ndarray, first: int, hop: int, newest: int) -> np.ndarray:
+    """End positions ``first + k * hop`` that the totals reach, of each step of the totals only the newest ones."""
+    ends = np.arange(first, totals[-1] + 1, hop) if len(totals) else np.zeros(0, np.int64)
+    step = np.searchsorted(totals, ends)
+    behind = np.searchsorted(step, step, "right") - np.arange(len(step))
+    return ends[behind <= newest]
+
+
+def peak_frames(scores: np.ndarray, k: int, threshold: float, left: int, right: int, radius: int):
+    """(window, frame, value) of smoothed scores that are the greatest within ``radius`` frames, inside the margins."""
+    view = np.lib.stride_tricks.sliding_window_view
+    if k > 1:
+        scores = view(np.pad(scores, ((0, 0), (k // 2, k // 2)), mode="edge"), k, axis=1).mean(axis=-1)
+    n = scores.shape[1]
+    low, high = max(left, radius), min(n - right, n - radius)
+    if high <= low:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    inner = scores[:, low:high]
+    most = view(scores, 2 * radius + 1, axis=1).max(axis=-1)[:, low - radius : high - radius]
+    window, frame = np.nonzero((inner >= threshold) & (inner >= most))
+    return window, frame + low, inner[window, frame]
+
+
 class DetectProcessor(_Processor):
-    """Live change detection: keeps the last window of audio, scores what falls due, picks peaks.
+    """Live change detection: scores the windows that fall due and keeps peaks a gap apart.
 
-    Times count admitted samples and never restart; a new session clears the audio.
+    Positions count admitted samples and never restart; a new session begins with empty audio. State is the audio of
+    one window as bytes, and four numbers.
     """
 
     order = ["at_us", "seq"]
@@ -318,44 +366,38 @@ class DetectProcessor(_Processor):
 
     def __init__(self, scorer: Callable[[], Callable], rate: int, window: int, hop: int, threshold: float, k: int, left: int, right: int, radius: int, gap_s: float, frame_s: float, catch_up: int):
         self.scorer, self.rate, self.window, self.hop = scorer, rate, window, hop
-        self.threshold, self.k, self.left, self.right = threshold, k, left, right
-        self.radius, self.gap_s, self.frame_s, self.catch_up = radius, gap_s, frame_s, catch_up
+        self.peaks = dict(k=k, threshold=threshold, left=left, right=right, radius=radius)
+        self.gap_s, self.frame_s, self.catch_up = gap_s, frame_s, catch_up
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.score = self.scorer()
 
-    def _peaks(self, p: np.ndarray) -> list[int]:
-        if self.k > 1:
-            p = np.convolve(np.pad(p, self.k // 2, mode="edge"), np.full(self.k, 1.0 / self.k), mode="valid")
-        w, n = self.radius, len(p)
-        band = range(max(self.left, w), min(n - self.right, n - w))
-        return [(i, float(p[i])) for i in band if p[i] >= self.threshold and p[i] >= p[i - w : i + w + 1].max()]
-
     def handleInputRows(self, key, rows, timerValues):
-        s = self.load() or {"tail": [], "total": 0, "next": self.window, "last": None, "session": 0}
-        out = []
-        for r in self.rows(rows):
-            if r["session"] != s["session"]:
-                s.update(tail=[], next=s["total"] + self.window, session=int(r["session"]))
-            audio = np.concatenate([np.asarray(s["tail"], dtype=np.float64), np.asarray(r["samples"], dtype=np.float64)])
-            s["total"] += len(r["samples"])
-            due = []
-            while s["next"] <= s["total"]:
-                due.append(s["next"])
-                s["next"] += self.hop
-            due = due[-self.catch_up :]
-            if due:
-                ends = [len(audio) - (s["total"] - e) for e in due]
-                scores = self.score(np.stack([audio[e - self.window : e] for e in ends]))
-                for end, p in zip(due, scores):
-                    for i, prob in self._peaks(np.asarray(p, dtype=np.float64)):
-                        t = (end - self.window) / self.rate + i * self.frame_s
-                        if s["last"] is None or abs(t - s["last"]) >= self.gap_s:
-                            out.append({"time_s": t, "prob": prob, "detected_at_s": end / self.rate})
-                            s["last"] = t
-            s["tail"] = audio[-self.window :].tolist()
-        self.save(s)
+        state = self.load() or {"audio": "", "total": 0, "next": self.window, "last": None, "session": 0}
+        frame, out = pd.concat(list(rows)).sort_values(self.order, kind="stable"), []
+        for session, chunk in frame.groupby((frame["session"] != frame["session"].shift()).cumsum(), sort=False):
+            number = int(chunk["session"].iloc[0])
+            if number != state["session"]:
+                state.update(audio="", next=state["total"] + self.window, session=number)
+            held = np.frombuffer(base64.b64decode(state["audio"]))
+            parts = [np.asarray(v, dtype=np.float64) for v in chunk["samples"]]
+            audio = np.concatenate([held, *parts])
+            begin = state["total"] - len(held)
+            totals = state["total"] + np.cumsum([len(p) for p in parts])
+            ends = due_windows(totals, state["next"], self.hop, self.catch_up)
+            if totals[-1] >= state["next"]:
+                state["next"] += self.hop * (1 + (int(totals[-1]) - state["next"]) // self.hop)
+            if len(ends):
+                windows = np.lib.stride_tricks.sliding_window_view(audio, self.window)[ends - self.window - begin]
+                at, place, value = peak_frames(np.asarray(self.score(windows), dtype=np.float64), **self.peaks)
+                times = (ends[at] - self.window) / self.rate + place * self.frame_s
+                for t, p, e in zip(times.tolist(), value.tolist(), ends[at].tolist()):
+                    if state["last"] is None or abs(t - state["last"]) >= self.gap_s:
+                        state["last"] = t
+                        out.append({"time_s": t, "prob": p, "detected_at_s": e / self.rate})
+            state.update(total=int(totals[-1]), audio=base64.b64encode(audio[-self.window :].tobytes()).decode())
+        self.save(state)
         yield from self.out(key, out, ["stream_id", "time_s", "prob", "detected_at_s"])
 
 

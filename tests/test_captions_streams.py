@@ -89,16 +89,13 @@ def plain(rows):
     return sorted((r.stream_id, round(r.emitted_s, 3), r.text, round(r.duration_s, 6), r.confidence, r.cause) for r in rows)
 
 
-def raw_lines(df):
-    return df.where(F.size("lines") > 0).select("stream_id", F.col("clock_s").alias("emitted_s"), F.explode("lines").alias("l")).select("stream_id", "emitted_s", "l.*")
-
-
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_batch_equals_literal_rule(form, spark, seed):
     updates, changes = make_rows(seed)
-    rows = captions.caption_rows(*frames(spark, updates, changes)).cache()
+    a, b = frames(spark, updates, changes)
+    rows = captions.utterances(a, b, flush=False).cache()
     want = literal(updates, changes)
-    assert plain(raw_lines(rows).collect()) == want
+    assert plain(captions.caption_lines(rows, a, display=False).collect()) == want
     counts = captions.session_counts(rows).agg(F.sum("splits"), F.sum("lines")).first()
     assert tuple(counts) == (sum(w[5] == "change" for w in want), len(want))
 
@@ -120,8 +117,9 @@ def test_stream_equals_batch_over_several_triggers(spark):
 def test_late_change_and_silence(spark):
     updates = [(1, 1, 1.0, "a b", None, 0.5), (1, 2, 2.0, "a b", None, 0.5), (1, 3, 3.0, "", "a b c", 0.9), (1, 4, 6.0, "d", None, 0.5), (1, 5, 7.0, "", "d", 0.9)]
     changes = [(1, 0.9, 1.5), (1, 2.5, 4.0), (1, 0.95, 1.6)]
-    rows = captions.caption_rows(*frames(spark, updates, changes)).cache()
-    assert [r.text for r in raw_lines(rows).orderBy("emitted_s").collect()] == ["a b", "c", "d"]
+    a, b = frames(spark, updates, changes)
+    rows = captions.utterances(a, b).cache()
+    assert [r.text for r in captions.caption_lines(rows, a, display=False).orderBy("emitted_s").collect()] == ["a b", "c", "d"]
     assert rows.agg(F.sum("late")).first()[0] == 1  # 2.5 lies before the line that starts at 3.0
 
 
@@ -222,3 +220,19 @@ def test_chunk_windows(spark):
     for r in rows:
         sizes[r.window_no] = sizes.get(r.window_no, 0) + r.to_sample - r.from_sample
     assert sizes == {0: 512, 1: 512, 2: 512}
+
+
+def test_an_open_line_is_flushed(spark):
+    updates = [(1, 1, 1.0, "a b", None, 0.5), (1, 2, 2.0, "", "a b", 0.9), (1, 3, 3.0, "b c", None, 0.4), (1, 4, 3.5, "b c d", None, 0.4)]
+    a, b = frames(spark, updates, [(1, 2.6, 3.6)])
+    text = lambda flush: [(r.text, r.cause) for r in captions.caption_lines(captions.utterances(a, b, flush=flush), a, display=False).orderBy("emitted_s", "part").collect()]
+    assert text(False) == [("a b", "final")]
+    assert text(True) == [("a b", "final"), ("c", "change"), ("d", "flush")]
+
+
+def test_a_commit_clears_the_screen(spark):
+    rows = [(1, 1, 0, "a", None), (1, 2, 1_000_000, "a", "a"), (1, 3, 2_000_000, "b", None), (1, 4, 3_000_000, "b", None), (1, 5, 4_000_000, "b", "b"), (1, 6, 5_000_000, "b", None)]
+    frame = spark.createDataFrame(rows, "stream_id long, event_id long, at_us long, text string, promote string")
+    got = drained(spark, processors.stream_partials(parts_to_stream(spark, [frame.coalesce(1)], "p")), "parts").collect()
+    assert [(r.at_us, r.text) for r in sorted(got, key=lambda r: r.at_us)] == [(0, "a"), (2_000_000, "b")]
+    assert processors.unseen("a b", "a") == "b" and processors.unseen("c", "a") is None

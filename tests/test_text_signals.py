@@ -10,31 +10,15 @@ from segflow.operators.lines import display_intervals
 from segflow.operators.ordered import ordered
 
 
-def literal_format(raw: str) -> str:
-    """The display rules by plain pattern substitution, with the quirks of ``compat``."""
-    if not raw:
-        return raw
-    out = re.sub(
-        r"\b(\d+)\s+point\s+((?:\d+\s*)+)\b", lambda m: m.group(1) + "." + "".join(m.group(2).split()), raw, flags=re.IGNORECASE
-    )
-    out = re.sub(r"(\d)(?=(\d{3})+(?!\d))", r"\1,", out)
-    out = re.sub(r"(?<!\d)\b(\d{2})\s+(\d{2})\b(?!\s*\d)", r"\1\2", out)
-    out = out[0].upper() + out[1:]
-    return re.sub(r"\bi\b", "I", out)
-
-
-def sample_texts():
-    rng = random.Random(9)
-    pool = ["i", "I", "12", "34", "5", "1999", "1234567", "point", "Point", "été", "and", "x7", "in", "3", "4", "éi", "hello,", "99."]
-    fixed = ["", "i think i", "3 point 1 4 hello", "12 34 56", "1234567", "3 point 14159", "in 19 84", "3 point 1", "a  3 point 1 4  b"]
-    return fixed + [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(300)]
-
-
-def test_format_compat_equals_patterns(spark):
-    df = spark.createDataFrame([(s,) for s in sample_texts()], "s string")
-    for r in df.select("s", text.formatted("s", compat=True).alias("f")).collect():
-        if not re.search(r"point\s+\d+\s+point", r.s, re.I):  # chained points are read one by one
-            assert r.f == literal_format(r.s), r.s
+def test_format_compat(spark):
+    cases = {
+        "": "", "i think i": "I think I", "3 point 1 4 hello": "3.14hello", "12 34 56": "12 3456", "1234567": "1,234,567",
+        "3 point 14159": "3.14,159", "in 19 84": "In 1984", "a  3 point 1": "A  3.1", "été i": "Été I", "99. 5": "99. 5",
+        "x7 12 34": "X7 1234", "1999 and 5": "1,999 and 5",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "s string, want string")
+    for r in df.select("s", "want", text.formatted("s", compat=True).alias("f")).collect():
+        assert r.f == r.want, r.s
 
 
 def test_format_default(spark):
@@ -54,40 +38,34 @@ def test_format_default(spark):
     assert spark.createDataFrame([("in 19 84 5",)], "s string").select(text.formatted("s", years=True)).first()[0] == "In 1,984 5"  # commas follow the years
 
 
-def literal_wrap(raw: str, width: int, lines: int):
-    out, current = [], ""
-    for word in raw.split():
-        if len(word) > width:
-            if current:
-                out.append(current)
-            pieces = [word[i : i + width] for i in range(0, len(word), width)]
-            out += pieces[:-1]
-            current = pieces[-1]
-        elif current and len(current) + 1 + len(word) > width:
-            out.append(current)
-            current = word
-        else:
-            current = f"{current} {word}".strip()
-    if current:
-        out.append(current)
-    return ["\n".join(out[i : i + lines]) for i in range(0, len(out), lines)]
-
-
 @pytest.mark.parametrize("width,lines", [(1, 2), (7, 1), (20, 2)])
-def test_wrap_equals_loop(spark, width, lines):
+def test_wrapping_keeps_words_and_widths(spark, width, lines):
     rng = random.Random(width)
     texts = ["", "   ", "a", "abcdefgh" * 9] + [
         " ".join("é" * rng.randint(1, 30) for _ in range(rng.randint(0, 12))) + "\n tail" for _ in range(80)
     ]
     df = spark.createDataFrame([(s,) for s in texts], "s string")
     for r in df.select("s", text.caption_chunks("s", width, lines).alias("c")).collect():
-        assert r.c == literal_wrap(r.s, width, lines), r.s
+        rows = [line for chunk in r.c for line in chunk.split("\n")]
+        assert all(0 < len(line) <= width and line == line.strip() for line in rows)
+        assert all(chunk.count("\n") == lines - 1 for chunk in r.c[:-1])
+        assert "".join("".join(rows).split()) == "".join(r.s.split())
+        for one, two in zip(rows, rows[1:]):  # greedy: the next whole word did not fit
+            assert len(one) == width or len(one) + 1 + len(two.split()[0]) > width
     with pytest.raises(ValueError):
         text.caption_chunks("s", 0)
     with pytest.raises(ValueError):
         text.caption_chunks("s", 5, 0)
 
 
+@pytest.mark.parametrize("raw,width,want", [
+    ("one two three", 7, ["one two\nthree"]), ("abcdefghij k", 4, ["abcd\nefgh", "ij k"]), ("a bb ccc dddd", 3, ["a\nbb", "ccc\nddd", "d"]),
+])
+def test_wrap_cases(spark, raw, width, want):
+    df = spark.createDataFrame([(raw,)], "s string")
+    assert df.select(text.caption_chunks("s", width, 2)).first()[0] == want
+
+
 def test_overlap(spark):
     rows = [(["a", "b", "C"], ["c", "d"], 1), (["a"], ["b"], 0), (["x", "y"], ["X", "Y"], 2), (None, ["q"], 0), (["q"], [], 0), (["a", "a"], ["a", "a", "a"], 2)]
     df = spark.createDataFrame(rows, "p array<string>, n array<string>, k int")
