@@ -51,14 +51,39 @@ def syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.fingerprints(_table(spark, folder, "documents"))
 
 
-@_query("op4_suffix_dedup")
+_BYTES_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, hash(substring(x, 2 * i + 1, 400)) AS h, md5_number(substring(x, 2 * i + 1, 400)) AS m FROM b, unnest(range(0, n - 199)) r(i)),
+many AS (SELECT h, m FROM win GROUP BY ALL HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS fresh FROM win JOIN many USING (h, m)),
+run AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS z FROM run GROUP BY ALL),
+cut AS (SELECT doc_id, k, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM span),
+part AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS tail, string_agg(substring(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY k) AS t FROM cut JOIN b USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, '') || substring(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN part USING (doc_id)
+"""
+
+
+@_query("op4_suffix_dedup", _BYTES_SQL)
 def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from segflow.llm import suffixes
 
     return suffixes.suffix_digest(_table(spark, folder, "documents"), 200)
 
 
-@_query("op9_factor_dedup")
+_WORDS_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(w) - 48)) r(i)),
+low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+hit AS (SELECT DISTINCT win.doc_id, i FROM win JOIN low USING (h) WHERE low < win.doc_id),
+word AS (SELECT doc_id, j, w[j] AS v FROM w, unnest(range(1, len(w) + 1)) r(j)),
+gone AS (SELECT word.doc_id, j, v, coalesce(max(i) OVER (PARTITION BY word.doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL, false) AS out FROM word LEFT JOIN hit ON hit.doc_id = word.doc_id AND i = j),
+kept AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, coalesce(string_agg(v, ' ' ORDER BY j) FILTER (NOT out), '') AS t FROM gone GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@_query("op9_factor_dedup", _WORDS_SQL)
 def factor_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from segflow.llm import factors
 
