@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflow.functions import signals
 from segflow.operators.match import best_threshold
+from segflow.session import stable
 from segflow.operators.ordered import lag as previous
 from segflow.operators.ordered import last, number, ordered, peak, percentiles, total
 
@@ -229,9 +229,9 @@ def budget_threshold(
 def full_report(windows: DataFrame, window_s: float = 3.0, roi_s: tuple[float, float] | None = ROI_S) -> DataFrame:
     """Every metric as (metric, key, value) rows, from one pass to window peaks.
 
-    The peaks are kept (memory, then disk) for the passes that follow.
+    The peaks are written once for the passes that follow.
     """
-    peaks = windows.select("has", "t_true", "t_pred", "score", "kind").persist(StorageLevel.MEMORY_AND_DISK)
+    peaks = stable(windows.select("has", "t_true", "t_pred", "score", "kind"))
     def long(df: DataFrame, key: Column, **values: Column) -> DataFrame:
         cells = [
             F.struct(F.lit(m).alias("metric"), key.cast("string").alias("key"), v.cast("double").alias("value"))
@@ -244,7 +244,7 @@ def full_report(windows: DataFrame, window_s: float = 3.0, roi_s: tuple[float, f
     parts = [long(size, none, windows=F.col("n"), frac_change=F.col("frac"))]
     ranks = ranking_metrics(peaks, "score", "has")
     parts.append(long(ranks, none, average_precision=F.col("average_precision"), auroc=F.col("auroc")))
-    best = best_threshold(event_sweep(peaks), ["collar"]).persist(StorageLevel.MEMORY_AND_DISK)
+    best = stable(best_threshold(event_sweep(peaks), ["collar"]))
     name = F.concat((F.col("collar") * 1000).cast("int").cast("string"), F.lit("ms"))
     event = ("threshold", "precision", "recall", "f1", "tp", "fp", "fn")
     parts.append(long(best, name, **{f"event_{c}": F.col(c) for c in event}))

@@ -417,8 +417,7 @@ def small_sides(t: Tables):
     asked = specs(t, SMALL).withColumn("spk_b", F.when(F.col("kind") == "change", (F.col("spk_a") + 1) % SPEAKERS).otherwise(F.col("spk_a")))
     clips = small_clips(t)
     entries = windows.catalogue(clips, "spk", "clip", "len")
-    pieces = windows.chosen_pieces(asked, entries, "spk", SMALL)
-    return asked, pieces, clips
+    return asked, entries, clips
 
 
 @query("j8_gathered_sides")
@@ -426,15 +425,16 @@ def gathered_sides(t: Tables) -> DataFrame:
     """Samples of both sides of each window: level and length of what was gathered."""
     from segflow.functions import signals
 
-    asked, pieces, clips = small_sides(t)
-    sides = windows.gathered(pieces, clips, "clip", "pcm", SMALL)
+    asked, entries, clips = small_sides(t)
+    sides = windows.window_sides(asked, entries, "spk", clips, "clip", "pcm", SMALL)[1]
     return sides.select("spec_id", "side", F.col("try").alias("try_no"), F.size("x").alias("samples"), signals.rms("x").alias("rms"))
 
 
 @query("g9_stitched_pieces")
 def stitched_pieces(t: Tables) -> DataFrame:
     """Pieces of the sides that no single clip covers, for every try."""
-    _, pieces, _ = small_sides(t)
+    asked, entries, clips = small_sides(t)
+    pieces = windows.window_sides(asked, entries, "spk", clips, "clip", "pcm", SMALL)[0]
     many = pieces.groupBy("spec_id", "side", F.col("try").alias("try_no"), "need").agg(F.count(F.lit(1)).alias("pieces"), F.sum("len").alias("available"))
     return many.where("pieces > 1")
 
@@ -442,8 +442,8 @@ def stitched_pieces(t: Tables) -> DataFrame:
 @query("g5_active_redraw")
 def active_redraw(t: Tables) -> DataFrame:
     """How many draws each side needed until it was active enough."""
-    asked, pieces, clips = small_sides(t)
-    sides = windows.gathered(pieces, clips, "clip", "pcm", windows.Recipe(rate=40, active_frame=8, min_active=0.9))
+    asked, entries, clips = small_sides(t)
+    sides = windows.window_sides(asked, entries, "spk", clips, "clip", "pcm", windows.Recipe(rate=40, active_frame=8, min_active=0.9))[1]
     return sides.groupBy("side", F.col("try").alias("try_no")).agg(F.count(F.lit(1)).alias("windows"))
 
 
@@ -452,8 +452,8 @@ def assembled_windows(t: Tables) -> DataFrame:
     """Whole windows: gathered, levelled, faded, placed, reverberated, noised and guarded."""
     from segflow.functions import signals
 
-    asked, pieces, clips = small_sides(t)
-    sides = windows.gathered(pieces, clips, "clip", "pcm", SMALL)
+    asked, entries, clips = small_sides(t)
+    sides = windows.window_sides(asked, entries, "spk", clips, "clip", "pcm", SMALL)[1]
     df = windows.channels(asked, sides, SMALL)
     bank = responses(t)
     df = windows.reverberated(df, bank, "seg_a", "rir_a", span=("a_from", "a_to"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segflow.functions import signals
 from segflow.operators import metrics, turns
 from segflow.plans import frame_queries as FQ
 from segflow.plans import inputs as I
@@ -39,13 +40,14 @@ def speakers(t: Tables) -> DataFrame:
     return listings.load_speakers(t.spark, path)
 
 
-@query("s3_clip_catalogue", "SELECT 'speaker=' || source AS speaker_id, true AS has_files FROM documents GROUP BY 1")
+@query("s3_clip_catalogue", "SELECT 'speaker=' || source AS speaker_id, count(DISTINCT doc_id % 3) AS files, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS bytes FROM documents GROUP BY 1")
 def clip_catalogue(t: Tables) -> DataFrame:
-    """Speakers found from a folder tree; file contents are not read."""
+    """Speakers, files and bytes found from a folder tree; file contents are not read."""
     path = scratch_path(t.spark, "clips")
-    t.documents.select(F.col("source").alias("speaker"), F.col("doc_id").cast("string").alias("value")).write.partitionBy("speaker").text(path)
+    rows = t.documents.select(F.col("source").alias("speaker"), (F.col("doc_id") % 3).alias("part"), F.col("doc_id").cast("string").alias("value"))
+    rows.repartition("speaker", "part").write.partitionBy("speaker", "part").text(path)
     files = listings.clip_catalogue(t.spark, path, (".txt",))
-    return files.groupBy("speaker_id").agg((F.count(F.lit(1)) > 0).alias("has_files"))
+    return files.groupBy("speaker_id").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
 @query("s4_bank_listing", "SELECT DISTINCT p_type || '/' || p_brand || '.wav' AS path FROM part")
@@ -60,12 +62,12 @@ def bank_listing(t: Tables) -> DataFrame:
 
 @query(
     "s7_frame_scores",
-    f"WITH {FQ._SLIDING} SELECT stream_id, window_no * 1.0::DOUBLE AS win_start_s, i AS frame, round(p[i + 1], 3) AS p FROM sliding, unnest(range(0, 12)) u(i)",
+    f"WITH {FQ._SLIDING}, s AS (SELECT stream_id, window_no, {FQ._SMOOTH} AS y FROM (SELECT *, p AS x FROM sliding)) SELECT stream_id, window_no * 1.0::DOUBLE AS win_start_s, i AS frame, round((y[i + 1]::VARCHAR)::DECIMAL(30, 20), 3)::DOUBLE AS p FROM s, unnest(range(0, 12)) u(i)",
 )
 def frame_scores(t: Tables) -> DataFrame:
-    """Window scores written as JSON lines with three decimals and read again."""
+    """Smoothed window scores written as JSON lines with three decimals and read again."""
     path = scratch_path(t.spark, "scores")
-    sinks.write_frame_scores(FQ.sliding(t).select("stream_id", F.col("window_no").cast("double").alias("win_start_s"), "p"), path)
+    sinks.write_frame_scores(FQ.sliding(t).select("stream_id", F.col("window_no").cast("double").alias("win_start_s"), signals.smoothed("p").alias("p")), path)
     return sinks.read_frame_scores(t.spark, path).select("stream_id", "win_start_s", F.posexplode("p").alias("frame", "p"))
 
 

@@ -10,7 +10,7 @@ from segflow.plans import inputs as I
 from segflow.plans import line_queries as L
 from segflow.plans.registry import ORACLES, Tables, query
 from segflow.streaming import processors as p
-from segflow.streaming.runs import drained, parts_to_stream
+from segflow.streaming.runs import drained, in_triggers, parts_to_stream
 
 HOUR_US = 3_600_000_000
 
@@ -29,7 +29,7 @@ def _line_updates(t: Tables) -> DataFrame:
 @query("k5_stream_lines", ORACLES["k5_line_endpoints"])
 def stream_lines(t: Tables) -> DataFrame:
     """Line endpointing with keyed state and event-time timers; the end marker flushes open lines (K11)."""
-    source = parts_to_stream(t.spark, [_line_updates(t)], "lines")
+    source = in_triggers(t.spark, _line_updates(t), "at_us", "lines")
     return drained(t.spark, p.stream_lines(source, *L._RULES), "lines")
 
 
@@ -51,7 +51,7 @@ def forced_cuts(t: Tables) -> DataFrame:
         I.stream(t).select("event_id", (F.col("event_type") == "signup").alias("cut")), "event_id", "left"
     )
     kind = F.when(F.coalesce("cut", F.lit(False)), p.FORCE).otherwise(F.col("kind"))
-    source = parts_to_stream(t.spark, [rows.withColumn("kind", kind).drop("cut")], "cuts")
+    source = in_triggers(t.spark, rows.withColumn("kind", kind).drop("cut"), "at_us", "cuts")
     return drained(t.spark, p.stream_lines(source, *L._RULES), "cuts")
 
 
@@ -61,7 +61,7 @@ def stream_gate(t: Tables) -> DataFrame:
     chunks = I.frames(t).select(
         "stream_id", "frame", "at_us", F.rint("value").cast("long").alias("ms"), (F.col("value") >= 100).alias("active")
     )
-    source = parts_to_stream(t.spark, [chunks], "gate")
+    source = in_triggers(t.spark, chunks, "at_us", "gate")
     return drained(t.spark, p.stream_gate(source, 4, 150), "gate")
 
 
@@ -86,7 +86,7 @@ def stream_captions(t: Tables) -> DataFrame:
 def stream_throttle(t: Tables) -> DataFrame:
     """Redraw limit as a stateful stream."""
     rows = I.stream(t).select("stream_id", "event_id", "at_us", F.col("event_type").alias("text"), F.lit(None).cast("string").alias("promote"))
-    source = parts_to_stream(t.spark, [rows], "partials")
+    source = in_triggers(t.spark, rows, "at_us", "partials")
     return drained(t.spark, p.stream_partials(source, 12 * HOUR_US), "partials").withColumnRenamed("text", "event_type")
 
 
@@ -101,7 +101,7 @@ def stream_changes(t: Tables) -> DataFrame:
     chunks = gated.select(
         "stream_id", F.col("frame").alias("seq"), "at_us", "session", F.array("score").alias("samples")
     )
-    source = parts_to_stream(t.spark, [chunks], "chunks")
+    source = in_triggers(t.spark, chunks, "at_us", "chunks")
     found = p.stream_changes(source, _level_scorer, 4, 3.0, 1.0, 0.15, 3, 0.5, 0.75, 0.25, 1.0, 0.25)
     return drained(t.spark, found, "changes")
 

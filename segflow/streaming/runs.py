@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segflow.session import scratch_path
+from segflow.session import scratch_path, stable
 
 
 def parts_to_stream(spark: SparkSession, parts: list[DataFrame], label: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -20,6 +21,22 @@ def parts_to_stream(spark: SparkSession, parts: list[DataFrame], label: str, fil
     return reader.parquet(path)
 
 
+def in_triggers(spark: SparkSession, df: DataFrame, at: str, label: str, triggers: int = 3) -> DataFrame:
+    """``df`` as a stream of at least ``triggers`` micro-batches in the order of ``at``.
+
+    Each part is dealt evenly over as many files as a trigger takes, so no row comes behind the watermark of a part
+    before it.
+    """
+    rows = stable(df)
+    marks = rows.select(F.percentile_approx(at, [i / triggers for i in range(1, triggers)], F.lit(1000)).alias("m")).first()["m"] or []
+    edges = [None, *sorted(set(marks)), None]
+    files, parts = min(8, max(1, rows.count() // (8 * len(edges)))), []
+    for low, high in zip(edges, edges[1:]):
+        part = rows if low is None else rows.where(F.col(at) >= low)
+        parts.append((part if high is None else part.where(F.col(at) < high)).repartition(files))
+    return parts_to_stream(spark, parts, label, files)
+
+
 def drained(spark: SparkSession, stream: DataFrame, label: str, sink: Callable | None = None) -> DataFrame:
     """Run the stream over what is available into a file sink and read the result.
 
