@@ -14,14 +14,24 @@ from segflow.session import scratch_path, ship_package
 
 #: Bytes of text that an array kernel works on at once; a longer document is taken alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch; smaller settings of the session stay.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 12 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound the bytes of a batch that a worker gets, as a text may have any length."""
+    ship_package(spark)
+    held = spark.conf.get(BATCH_CONF, "64m")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, a null text as an empty one; other columns are not read."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

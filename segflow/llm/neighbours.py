@@ -7,9 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.common import NONE, PLAIN, mixed, rolling, signed, stored, text_buffers, texts, words
+from segflow.llm.common import mixed, NONE, PLAIN, prepare, rolling, signed, stored, text_buffers, texts, words
 from segflow.llm.shingles import SHINGLE, lowered, pieces, rarity, word_slots
-from segflow.session import ship_package
 
 #: Bounds of the fit: labelled rows of each label that are drawn by the hash of their id, and terms that are kept.
 EXAMPLES, TERMS = 4096, 4096
@@ -151,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     Rarity of terms comes from all documents. Terms of toxic examples, by TELLING standard errors, are kept, at most
     ``terms`` of them. Null labels are ignored; of repeated labels the greatest holds.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rare = rarity(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -209,7 +208,7 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     """
     from pyspark.sql import types as T
 
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
 
     def judge(stream):
@@ -227,7 +226,7 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Classifier, limit: float = 0.5) -> DataFrame:
     """``docs`` with all columns, of the documents with a score below ``limit``; null and empty texts are kept."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def keep(stream):
         for batch in stream:

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.common import stored
-from segflow.session import ship_package, small_enough
+from segflow.llm.common import prepare, stored
+from segflow.session import small_enough
 
 #: A subtree belongs to the site when it stands on this share of a host's pages, and on this many.
 SHARE, PAGES = 0.3, 8
@@ -198,7 +198,7 @@ class Page:
 
 def hosts(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, host): null html is empty, a page without a host has the empty one."""
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 

@@ -7,9 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.common import PLAIN, doc_ends, rolling, runs_of, text_buffers, words
+from segflow.llm.common import doc_ends, PLAIN, prepare, rolling, runs_of, text_buffers, words
 from segflow.llm.shingles import SHINGLE, lowered, pieces, rarity, similarity, word_slots
-from segflow.session import ship_package
 
 SIMILAR = 0.8
 #: Eight blocks of eight bits. Two fingerprints within RADIUS bits differ by at most NEAR bits in some block.
@@ -195,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, limit
     Weights of shingles come from document frequencies over all ``docs``. An item of one to four words matches where
     its words stand in a row. Documents without a match, null and empty texts give no row.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rare, out = rarity(docs), None
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     for items in item_blocks(benchmark, rare, limit):
@@ -219,7 +218,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, limit
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, limit: int = ITEMS) -> DataFrame:
     """``docs`` with all columns, without the documents that hold a benchmark item; nothing is shuffled."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rare, schema = rarity(docs), docs.schema
     for items in item_blocks(benchmark, rare, limit):
 
