@@ -65,12 +65,14 @@ def capitals(text: Column | str) -> Column:
 
 def formatted(text: Column | str, numbers: bool = True, years: bool = False, compat: bool = False) -> Column:
     """A caption line ready for display: numbers first, then capitals."""
-    out = _col(text)
+    raw = _col(text)
+    out = raw
     if numbers:
         out = decimals(out, compat)
         if years:
             out = cued_years(out)
-        out = digit_pairs(thousands(out, compat))
+        # a text without digits passes through none of the number patterns
+        out = F.when(raw.rlike(r"(?U)\d"), digit_pairs(thousands(out, compat))).otherwise(raw)
     return capitals(out)
 
 
