@@ -12,13 +12,17 @@ from segflow.llm.common import SPACE, chunks, text_buffers
 
 #: Bytes of text whose distinct words are encoded together.
 BATCH_BYTES = 10 << 20
-#: Words that a worker remembers with their ids (about 60 MB); words met once in a batch are not kept.
-CACHE_WORDS = 250_000
+#: Words that a worker remembers with their ids (about 100 MB); words met once in a batch are not kept.
+CACHE_WORDS = 400_000
 _MARK = "\x01"
+#: Parts of one call; few enough for the library's own cache.
+_CALL = 1024
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".,;:!?|"]] = True
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
 
 
 @lru_cache(maxsize=4)
@@ -32,6 +36,23 @@ def tokenizer(path: str):
     return made, {}
 
 
+@lru_cache(maxsize=4)
+def _folds_case(path: str) -> bool:
+    """Whether the tokenizer itself takes capital letters for small ones; then words are told apart after that."""
+    normalizer = tokenizer(path)[0].normalizer
+    return normalizer is not None and normalizer.normalize_str("AZ") == "az"
+
+
+@lru_cache(maxsize=4)
+def _edges(path: str) -> tuple[bool, np.ndarray]:
+    """Whether the ids that are marked end a word (else they begin one with its space), and which ids are."""
+    words = tokenizer(path)[0].get_vocab()
+    ends = any(t.endswith("</w>") for t in words)
+    marked = np.zeros(max(words.values()) + 1, bool)
+    marked[[i for t, i in words.items() if (t.endswith("</w>") if ends else t.startswith("\u0120"))]] = True
+    return ends, marked
+
+
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places where no token of either tokenizer can reach across: document edges, before a single space between two
     words, and between a letter and a stop."""
@@ -44,30 +65,45 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _encoded(made, parts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+def _encoded(path: str, parts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(order, ids, lengths): ids of the parts, one after the other in ``order``.
 
-    Parts that begin with a space are encoded many in one call, a mark after each that no token crosses.
+    Many parts are encoded in one call: a space and letters are one word, whose first or last id shows it; other parts
+    that begin with a space get a mark after them that no token crosses. What does not come out part by part, and
+    parts at the beginning of a text, are encoded each by itself.
     """
+    made, _ = tokenizer(path)
+    ends, marked = _edges(path)
     mark = made.encode_batch_fast([" " + _MARK], add_special_tokens=False)[0].ids
+    plain = [i for i, p in enumerate(parts) if p[:1] == " " and p[1:].isalpha()]
+    known = set(plain)
+    joint = [i for i, p in enumerate(parts) if i not in known and p[:1] == " " and _MARK not in p]
+    known.update(joint)
+    alone = [i for i in range(len(parts)) if i not in known]
     order, flats, lengths = [], [], []
-    joint = [i for i, p in enumerate(parts) if p[:1] == " " and _MARK not in p]
-    alone = [i for i, p in enumerate(parts) if p[:1] != " " or _MARK in p]
-    for low in range(0, len(joint), 4096):
-        some = joint[low : low + 4096]
-        flat = np.array(made.encode_batch_fast(["".join([parts[i] + " " + _MARK for i in some])], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.flatnonzero(flat == mark[-1])
-        if len(stops) != len(some):
-            alone += some
-            continue
-        keep = np.ones(len(flat), bool)
-        for back in range(len(mark)):
-            keep[stops - back] = False
-        order += some
-        flats.append(flat[keep])
-        lengths.append(np.diff(stops, prepend=-1) - len(mark))
-    for low in range(0, len(alone), 4096):
-        some = alone[low : low + 4096]
+    for group, sign in ((plain, ""), (joint, " " + _MARK)):
+        for low in range(0, len(group), _CALL):
+            some = group[low : low + _CALL]
+            flat = np.array(made.encode_batch_fast(["".join([parts[i] + sign for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+            if sign:
+                stops = np.flatnonzero(flat == mark[-1])
+                size = np.diff(stops, prepend=-1) - len(mark)
+            else:
+                edge = np.flatnonzero(marked[flat])
+                size = np.diff(edge, prepend=-1) if ends else np.diff(edge, append=len(flat))
+            if len(size) != len(some):
+                alone += some
+                continue
+            if sign:
+                keep = np.ones(len(flat), bool)
+                for back in range(len(mark)):
+                    keep[stops - back] = False
+                flat = flat[keep]
+            order += some
+            flats.append(flat)
+            lengths.append(size)
+    for low in range(0, len(alone), _CALL):
+        some = alone[low : low + _CALL]
         ids = [e.ids for e in made.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)]
         order += some
         flats.append(np.fromiter((v for own in ids for v in own), np.uint32))
@@ -76,12 +112,12 @@ def _encoded(made, parts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]
     return order, join(flats, np.uint32), join(lengths, np.int64)
 
 
-def _table(made, cache: dict, parts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _table(path: str, cache: dict, parts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, start, length) of every part; remembered words first, the rest encoded now."""
     known = [cache.get(p) for p in parts]
     old = [i for i, v in enumerate(known) if v is not None]
     new = [i for i, v in enumerate(known) if v is None]
-    order, flat, lengths = _encoded(made, [parts[i] for i in new])
+    order, flat, lengths = _encoded(path, [parts[i] for i in new])
     ends = np.cumsum(lengths)
     if len(cache) < CACHE_WORDS:
         for k in np.flatnonzero(counts[np.array(new, np.int64)[order]] > 1).tolist() if order else ():
@@ -99,16 +135,18 @@ def _table(made, cache: dict, parts: list[str], counts: np.ndarray) -> tuple[np.
 
 def batches(path: str, column, end_id: int):
     """For ranges of documents: (first, last, ids of all of them, offsets by document); ``end_id`` closes each."""
-    made, cache = tokenizer(path)
+    cache = tokenizer(path)[1]
     data, offsets = text_buffers(column)
     for first, last in chunks(offsets, BATCH_BYTES):
         own = np.ascontiguousarray(data[offsets[first] : offsets[last]])
         at = offsets[first : last + 1] - offsets[first]
+        if _folds_case(path):
+            own = _SMALL[own]
         cut = _cuts(own, at)
         parts = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(own)])
         coded = parts.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        ids, start, length = _table(made, cache, coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))
+        ids, start, length = _table(path, cache, coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))
         del parts, coded
         ids, start, length = np.append(ids, np.uint32(end_id)), np.append(start, np.int32(len(ids))), np.append(length, np.int32(1))
         closes = np.searchsorted(cut, at[1:])
