@@ -39,7 +39,11 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20):
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """ln(1 + documents / documents with the word) by word slot, over all documents; SLOTS numbers on the driver."""
+    """Smoothed inverse document frequency by word slot, over all documents; SLOTS numbers on the driver.
+
+    1 + ln(1 + documents / documents with the word) / ln(1 + documents): from about 1 to 2, so that a few rare words
+    that a copy has of its own do not outweigh what it shares.
+    """
 
     def count(stream):
         total, rows = np.zeros(SLOTS, np.int64), 0
@@ -58,7 +62,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     slot, n = (counted.column(c).to_numpy() for c in ("slot", "n"))
     seen, total = np.zeros(SLOTS), int(n[slot == -1].sum())
     seen[slot[slot >= 0]] = n[slot >= 0]
-    return np.log1p(total / np.maximum(seen, 1)).astype(np.float32)
+    return (1 + np.log1p(total / np.maximum(seen, 1)) / np.log1p(max(total, 1))).astype(np.float32)
 
 
 def weighted(data: np.ndarray, at: np.ndarray, rare: np.ndarray):
