@@ -35,16 +35,17 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` below the cluster's shared folder and read it from there: cuts lineage, survives lost executors.
 
-    What was shuffled for it is no longer needed; the collection of garbage lets Spark delete those files now.
+    ``rows_per_file`` bounds what a reader holds of rows of several megabytes (0: no bound). What was shuffled for
+    the table is no longer needed; the collection of garbage lets Spark delete those files now.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, label)
     if _SCOPE:
         _SCOPE[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -76,31 +77,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def next_ids(ids: DataFrame, span: int = 4096) -> DataFrame:
-    """(doc_id, next_id, at): the next larger id, null after the last, and the number of rows before it.
-
-    Rows are numbered within ranges of ``span`` ids; only one row per range meets in one task.
-    """
-    from pyspark.sql import Window
-
-    rows = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).withColumn("cell", F.floor(F.col("doc_id") / span))
-    cells = rows.groupBy("cell").agg(F.sum("copies").alias("in_cell"), F.min("doc_id").alias("first"))
-    whole = Window.partitionBy().orderBy("cell")
-    cells = cells.select(
-        "cell",
-        F.lead("first").over(whole).alias("after"),
-        F.coalesce(F.sum("in_cell").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-    )
-    inside = Window.partitionBy("cell").orderBy("doc_id")
-    return rows.select(
-        "*",
-        F.lead("doc_id").over(inside).alias("follows"),
-        F.coalesce(F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("inside"),
-    ).join(cells, "cell").select(
-        "doc_id", F.coalesce("follows", "after").alias("next_id"), (F.col("before") + F.col("inside")).alias("at")
-    )
-
-
 # Array kernels ---------------------------------------------------------------------------------------------------
 
 

@@ -24,6 +24,8 @@ SCALE = 20
 LANES = 1024
 BLOCK_TOKENS = 1 << 18
 SEGMENT_TOKENS = 1 << 22
+#: Segments in a file; Spark reads the rows of a file in batches.
+FILE_SEGMENTS = 16
 #: Splitters of the id ranges; a range may hold many segments.
 RANGES = 4096
 RANGE_BYTES = 8 << 20
@@ -181,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2) -> tuple[DataFrame
     size = max(tokenizer(path)[0].get_vocab_size(), end_id + 1)
     wide = size > 1 << 16
     kind = np.dtype("<u4" if wide else "<u2")
-    raw = stored(raw_segments(docs, path, end_id, wide), "token-ids")
+    raw = stored(raw_segments(docs, path, end_id, wide), "token-ids", FILE_SEGMENTS)
 
     def count(stream):
         total = np.zeros(size, np.int64)
@@ -204,7 +206,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2) -> tuple[DataFrame
                 columns = [pa.array([b], pa.int32()), pa.array([p], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([segment], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "tokens", "segment"])
 
-    return stored(raw.mapInArrow(code, "bucket int, part int, tokens long, segment binary"), "token-files"), model
+    return stored(raw.mapInArrow(code, "bucket int, part int, tokens long, segment binary"), "token-files", FILE_SEGMENTS), model
 
 
 def read_tokens(files: DataFrame, model: Model) -> DataFrame:
