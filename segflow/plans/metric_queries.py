@@ -12,7 +12,6 @@ from segflow.plans.inputs import HOP_S
 from segflow.plans.registry import Tables, query
 
 COLLAR_US = 3_600_000_000
-SWEEP = tuple(round(0.1 + 0.05 * i, 2) for i in range(17))
 # confidences of the stand-in predictions are small, so its sweep uses a finer grid
 FINE = tuple(round(0.01 * (i + 1), 2) for i in range(17))
 

@@ -75,12 +75,3 @@ def frozen_set(spark: SparkSession, path: str, make: Callable[[], DataFrame]) ->
     except AnalysisException:
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def int16_wave(wave: Column) -> Column:
-    """Samples in [-1, 1) as 16-bit integers; the scale is 32768 in both directions."""
-    return F.transform(wave, lambda v: F.greatest(F.least(F.floor(v * 32768.0 + 0.5), F.lit(32767)), F.lit(-32768)).cast("smallint"))
-
-
-def float_wave(wave: Column) -> Column:
-    return F.transform(wave, lambda v: v.cast("double") / 32768.0)

@@ -79,9 +79,3 @@ def test_frozen_set_is_made_once(spark, tmp_path):
     path = str(tmp_path / "set")
     assert sinks.frozen_set(spark, path, make).count() == sinks.frozen_set(spark, path, make).count() == 3
     assert len(calls) == 1
-
-
-def test_wave_round_trip(spark):
-    df = spark.createDataFrame([([0.5, -1.0, 0.999999],)], "w array<double>")
-    ints = df.select(sinks.int16_wave(F.col("w")).alias("i")).select("i", sinks.float_wave(F.col("i")).alias("f")).first()
-    assert ints.i == [16384, -32768, 32767] and ints.f[:2] == [0.5, -1.0]
