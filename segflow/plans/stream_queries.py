@@ -94,7 +94,16 @@ def _level_scorer():
     return lambda batch: np.abs(batch).reshape(len(batch), batch.shape[1], 1).mean(axis=2)
 
 
-@query("k14_stream_changes")
+@query(
+    "k14_stream_changes",
+    f"""WITH {I.FRAMES}, g AS ({ORACLES["k4_sessions"]}),
+x AS (SELECT stream_id, session, abs(score) AS v, row_number() OVER (PARTITION BY stream_id ORDER BY at_us, frame) - 1 AS pos FROM g JOIN frames USING (stream_id, frame)),
+s AS (SELECT *, min(pos) OVER (PARTITION BY stream_id, session) AS t0, count(*) OVER (PARTITION BY stream_id, session) AS n, (lag(v) OVER w + v + lead(v) OVER w) / 3 AS sm FROM x WINDOW w AS (PARTITION BY stream_id, session ORDER BY pos)),
+m AS (SELECT *, greatest(lag(sm) OVER w, sm, lead(sm) OVER w) AS top FROM s WINDOW w AS (PARTITION BY stream_id, session ORDER BY pos)),
+c AS (SELECT stream_id, pos, sm, t0 + 4 * e + 12 AS stop, row_number() OVER (PARTITION BY stream_id ORDER BY t0 + 4 * e, pos) AS rn FROM m, unnest(range(0, (n - 12) // 4 + 1)) r(e) WHERE n >= 12 AND pos - t0 - 4 * e BETWEEN 2 AND 8 AND sm >= 0.15 AND sm >= top),
+k AS (SELECT stream_id, list_reduce(list([pos, rn] ORDER BY rn), lambda a, v: CASE WHEN abs(v[1] - a[1]) >= 4 THEN list_concat([v[1]], a[2:], [v[2]]) ELSE a END, [-1000000]::BIGINT[])[2:] AS kept FROM c GROUP BY 1)
+SELECT stream_id, round(pos * 0.25::DOUBLE, 6) AS time_s, round(sm, 6) AS prob, round(stop / 4.0::DOUBLE, 6) AS detected_at_s FROM c JOIN k USING (stream_id) WHERE list_contains(kept, rn)""",
+)
 def stream_changes(t: Tables) -> DataFrame:
     """Live detection over gated chunks: one sample per event, twelve samples per window."""
     gated = L.sessions(t).join(I.frames(t).select("stream_id", "frame", "at_us", "score"), ["stream_id", "frame"])
