@@ -408,7 +408,7 @@ SMALL = windows.Recipe(rate=40, active_frame=8, fade_ms=(50.0, 250.0))
 
 
 def small_clips(t: Tables) -> DataFrame:
-    pcm = F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.concat("embedding", "embedding"))
+    pcm = F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.concat("embedding", "embedding")).cast("array<double>")
     rows = t.embeddings.select(F.col("vec_id").alias("clip"), (F.col("vec_id") % SPEAKERS).alias("spk"), pcm.alias("pcm"))
     return rows.select("clip", "spk", F.size("pcm").alias("len"), "pcm")
 
@@ -420,7 +420,36 @@ def small_sides(t: Tables):
     return asked, entries, clips
 
 
-@query("j8_gathered_sides")
+def _tries_sql(side: str, taken: str = "") -> str:
+    """Every try of a side as clip pieces, and its samples; ``taken`` is a table of clips a fake change avoids."""
+    u = lambda name, key="spec_id || ':' || t": u_sql(f"42-{name}_{side}", key)
+    avoid = "CASE WHEN kind = 'fake' AND len(f) > 1 AND taken IS NOT NULL THEN list_filter(f, lambda i: cs[i] <> taken) ELSE f END" if taken else "f"
+    return f"""{side}0 AS (SELECT sp.*, t, need_{side} AS need, cs, ls, list_filter(range(1, len(cs) + 1), lambda i: ls[i] >= need_{side}) AS f{', taken' if taken else ''} FROM sp JOIN ent ON ent.spk = sp.spk_{side}{f' LEFT JOIN {taken} USING (spec_id)' if taken else ''}, range(1, 7) r(t) WHERE need_{side} > 0),
+{side}1 AS (SELECT *, {avoid} AS fit FROM {side}0),
+{side}2 AS (SELECT *, CASE WHEN len(fit) > 0 THEN fit[floor({u('clip')} * len(fit))::INT + 1] END AS pick FROM {side}1),
+{side}3 AS (SELECT spec_id, t, need, 1 AS piece, cs[pick] AS clip, floor({u('start')} * (ls[pick] - need + 1))::INT AS low, need AS n, 0 AS before FROM {side}2 WHERE pick IS NOT NULL
+  UNION ALL SELECT spec_id, t, need, k, cs[j], 0, ls[j], sum(ls[j]) OVER (PARTITION BY spec_id, t ORDER BY k) - ls[j] FROM (SELECT *, floor({u('stitch', "spec_id || ':' || t || ':' || k")} * len(cs))::INT + 1 AS j FROM {side}2, unnest(range(1, ceil(need / list_min(ls))::INT + 1)) q(k) WHERE pick IS NULL)),
+{side}4 AS (SELECT spec_id, '{side}' AS side, t, need, count(*) AS pieces, sum(n)::BIGINT AS available, min(clip) AS clip, flatten(list(pcm[low + 1:low + n] ORDER BY piece))[1:need] AS x FROM {side}3 JOIN emb USING (clip) WHERE before < need GROUP BY spec_id, t, need),
+{side}5 AS (SELECT *, list_transform(range(0, len(x) // 8), lambda i: list_sum(list_transform(x[8 * i + 1:8 * i + 8], lambda v: v * v)) / 8) AS m FROM {side}4),
+{side}6 AS (SELECT *, len(m) > 0 AND len(list_filter(m, lambda v: v > greatest(0.01 * list_sort(m)[least(len(m) - 1, floor(0.95 * len(m))::INT) + 1], 1e-10))) / len(m) >= (SELECT least_active FROM rule) AS ok FROM {side}5),
+{side}7 AS (SELECT spec_id, coalesce(min(t) FILTER (ok), max(t)) AS t FROM {side}6 GROUP BY 1),
+{side}8 AS (SELECT {side}6.* FROM {side}6 JOIN {side}7 USING (spec_id, t))"""
+
+
+def _sides_sql(least_active: float) -> str:
+    """Tables a6, b6 (all tries) and a8, b8 (the tries that are kept) of both sides; B avoids the clip that A took."""
+    return f"""{_SPECS}, rule AS (SELECT {least_active}::DOUBLE AS least_active),
+emb AS (SELECT vec_id AS clip, vec_id % {SPEAKERS} AS spk, (CASE WHEN vec_id % 2 = 0 THEN embedding ELSE list_concat(embedding, embedding) END)::DOUBLE[] AS pcm FROM embeddings),
+ent AS (SELECT spk, list(clip ORDER BY clip) AS cs, list(len(pcm) ORDER BY clip) AS ls FROM emb GROUP BY 1),
+sp AS (SELECT spec_id, kind, spk_a, CASE WHEN kind = 'change' THEN (spk_a + 1) % {SPEAKERS} ELSE spk_a END AS spk_b,
+  round((CASE WHEN kind = 'nochange' THEN 3.0 ELSE at_s - gap END) * 40)::INT AS need_a, round((CASE WHEN kind = 'nochange' THEN 0.0 ELSE 3.0 - at_s END) * 40)::INT AS need_b FROM specs),
+{_tries_sql('a')}, taken AS (SELECT spec_id, clip AS taken FROM a8 WHERE pieces = 1), {_tries_sql('b', 'taken')}"""
+
+
+@query(
+    "j8_gathered_sides",
+    f"WITH {_sides_sql(0.6)}, s AS (SELECT * FROM a8 UNION ALL SELECT * FROM b8) SELECT spec_id, side, t AS try_no, len(x) AS samples, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)), 6) AS rms FROM s",
+)
 def gathered_sides(t: Tables) -> DataFrame:
     """Samples of both sides of each window: level and length of what was gathered."""
     from segflow.functions import signals
@@ -430,7 +459,10 @@ def gathered_sides(t: Tables) -> DataFrame:
     return sides.select("spec_id", "side", F.col("try").alias("try_no"), F.size("x").alias("samples"), signals.rms("x").alias("rms"))
 
 
-@query("g9_stitched_pieces")
+@query(
+    "g9_stitched_pieces",
+    f"WITH {_sides_sql(0.6)}, s AS (SELECT * FROM a6 UNION ALL SELECT * FROM b6) SELECT spec_id, side, t AS try_no, need, pieces, available FROM s WHERE pieces > 1",
+)
 def stitched_pieces(t: Tables) -> DataFrame:
     """Pieces of the sides that no single clip covers, for every try."""
     asked, entries, clips = small_sides(t)
@@ -439,7 +471,10 @@ def stitched_pieces(t: Tables) -> DataFrame:
     return many.where("pieces > 1")
 
 
-@query("g5_active_redraw")
+@query(
+    "g5_active_redraw",
+    f"WITH {_sides_sql(0.9)}, s AS (SELECT side, t FROM a8 UNION ALL SELECT side, t FROM b8) SELECT side, t AS try_no, count(*) AS windows FROM s GROUP BY ALL",
+)
 def active_redraw(t: Tables) -> DataFrame:
     """How many draws each side needed until it was active enough."""
     asked, entries, clips = small_sides(t)
