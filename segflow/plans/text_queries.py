@@ -71,7 +71,22 @@ def formatted_numbers(t: Tables) -> DataFrame:
     return numbered(t).select("p_partkey", x.formatted(said).alias("line"))
 
 
-@query("t5_formatted_documents")
+# Numbers by runs of digits instead of look-around: commas in runs of four or more that follow no point, then two runs
+# of two digits with only white space between them and no other number beside them. No text spells a decimal point.
+_WORD_CHAR = r"[\p{L}\p{M}\p{N}_]"
+_FORMATTED = rf"""d AS (SELECT doc_id, text, regexp_extract_all(text, '\d+|\D+') AS d FROM documents),
+n AS (SELECT doc_id, array_to_string(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN regexp_matches(d[i], '^\d{{4,}}$') AND NOT (i > 1 AND right(d[i - 1], 1) = '.')
+  THEN ltrim(reverse(regexp_replace(reverse(d[i]), '(\d{{3}})', '\1,', 'g')), ',') ELSE d[i] END), '') AS s FROM d),
+t AS (SELECT doc_id, regexp_extract_all(s, '\d+|\s+|[^\d\s]+') AS t FROM n),
+p AS (SELECT doc_id, t, list_filter(range(2, len(t)), lambda i: regexp_matches(t[i - 1], '^\d\d$') AND regexp_matches(t[i], '^\s+$') AND regexp_matches(t[i + 1], '^\d\d$')
+  AND (i = 2 OR NOT regexp_matches(right(t[i - 2], 1), '{_WORD_CHAR}')) AND (i + 2 > len(t) OR NOT regexp_matches(t[i + 2][1], '{_WORD_CHAR}'))
+  AND NOT (i + 3 <= len(t) AND regexp_matches(t[i + 2], '^\s+$') AND regexp_matches(t[i + 3], '^\d'))) AS gone FROM t),
+j AS (SELECT doc_id, array_to_string(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_contains(gone, i) THEN '' ELSE t[i] END), '') AS s FROM p),
+w AS (SELECT doc_id, regexp_extract_all(upper(s[1]) || s[2:], '{_WORD_CHAR}+|[^\p{{L}}\p{{M}}\p{{N}}_]+') AS w FROM j)
+SELECT doc_id, md5(array_to_string(list_transform(w, lambda v: CASE WHEN v = 'i' THEN 'I' ELSE v END), '')) AS line FROM w"""
+
+
+@query("t5_formatted_documents", f"WITH {_FORMATTED}")
 def formatted_documents(t: Tables) -> DataFrame:
     """Every document as a caption line, numbers included."""
     return t.documents.select("doc_id", F.md5(x.formatted("text")).alias("line"))
