@@ -39,6 +39,8 @@ WORDS = COMMENTS | set(
     "subscribe signup sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social related recommended pagination "
     "pager toolbar login search masthead".split()
 )
+#: A class name with one of these says what a frame has or lacks, not what it is.
+QUALIFIERS = set("has with without no free".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -54,7 +56,11 @@ def _marked(tag: str, raw: str, inside: bool) -> int:
     for name, value in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id") and tag not in ("html", "body"):
-            found = WORDS.intersection(_SPLIT.split(value))
+            found = set()
+            for one in value.split():
+                parts = set(_SPLIT.split(one))
+                if not parts & QUALIFIERS:
+                    found |= parts & WORDS
             if found & COMMENTS:
                 return 2
             kind = max(kind, 1 if found and tag not in MAIN else 0)

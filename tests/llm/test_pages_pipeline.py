@@ -14,6 +14,7 @@ CASES = [
     ("<article><p>one</article><article class=comment>two</article>", "one"),
     ("<p>x<script>var a='</p>'</script>y<style>p</style>", "xy"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
+    ("<div class='layout has-sidebar'><p>kept</p><div class='left sidebar'>gone</div><p class='ad-free'>too</p></div>", "kept\n\ntoo"),
     ("<p>&#65;&eacute;&nbsp;b\n\t c</p>", "Aé b c"),
 ]
 
