@@ -13,25 +13,23 @@ from pyspark.sql import functions as F
 from segflow.session import scratch_path, ship_package
 
 #: Bytes of text that an array kernel works on at once; a longer document is taken alone.
-CHUNK_BYTES = 1 << 20
-#: Bytes of an Arrow batch; smaller settings of the session stay.
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 12 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Ship the package, and bound the bytes of a batch that a worker gets, as a text may have any length."""
     ship_package(spark)
-    held = spark.conf.get(BATCH_CONF, "64m")
-    if not held.isdigit() or int(held) > BATCH_BYTES:
-        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    spark.conf.set(BATCH_CONF, str(batch_bytes))
 
 
-def texts(docs: DataFrame) -> DataFrame:
+def texts(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``doc_id`` and ``text`` alone, a null text as an empty one; other columns are not read."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, batch_bytes)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -82,6 +80,7 @@ def partitions(spark: SparkSession) -> int:
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and document offsets of a text column, without a copy where Arrow allows it."""
+    pa.default_memory_pool().release_unused()  # what the batch before took
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):

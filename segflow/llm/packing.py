@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segflow.llm.common import even_key, stored, texts
-from segflow.llm.tokens import batches
+from segflow.llm.tokens import ARROW_BYTES, batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return texts(docs).mapInArrow(pieces, PIECES)
+    return texts(docs, ARROW_BYTES).mapInArrow(pieces, PIECES)
 
 
 class Capacities:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from segflow.llm.common import partitions, stored, texts
 from segflow.llm.repeats import NO_ID
-from segflow.llm.tokens import batches, tokenizer
+from segflow.llm.tokens import ARROW_BYTES, batches, tokenizer
 
 SCALE = 20
 LANES = 1024
@@ -169,7 +169,7 @@ def raw_segments(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFra
         if own:
             yield closed()
 
-    rows = texts(docs).mapInArrow(encode, "bucket int, doc_id long, ids binary")
+    rows = texts(docs, ARROW_BYTES).mapInArrow(encode, "bucket int, doc_id long, ids binary")
     # ids break ties between rows of one doc_id
     rows = rows.repartition(max(partitions(docs.sparkSession), 1 + len(splits) // 8), "bucket").sortWithinPartitions("bucket", "doc_id", F.crc32("ids"))
     return rows.mapInArrow(gather, "bucket int, part int, doc_ids array<long>, sizes array<int>, ids binary")

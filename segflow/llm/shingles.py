@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.common import PLAIN, doc_ends, mixed, rolling, text_buffers, texts, words
+from segflow.llm.common import CHUNK_BYTES, PLAIN, doc_ends, mixed, rolling, text_buffers, texts, words
 
 SHINGLE = 5
 #: Document frequencies are counted by hashed word slots, so their table has this size for any corpus. A slot counts
@@ -28,7 +28,7 @@ def word_slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 20):
+def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES):
     """Ranges of documents, bounded in bytes and in number."""
     first = 0
     while first < len(offsets) - 1:

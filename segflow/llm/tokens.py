@@ -12,6 +12,8 @@ from segflow.llm.common import SPACE, chunks, text_buffers
 
 #: Bytes of text whose distinct words are encoded together.
 BATCH_BYTES = 10 << 20
+#: Bytes of an Arrow batch for it.
+ARROW_BYTES = 12 << 20
 #: Words that a worker remembers with their ids (about 100 MB); words met once in a batch are not kept.
 CACHE_WORDS = 400_000
 _MARK = "\x01"
