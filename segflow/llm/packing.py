@@ -14,6 +14,8 @@ from segflow.llm.tokens import ARROW_BYTES, batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
+#: Words that a worker remembers here; what follows in a pipeline needs memory as well.
+REMEMBERED = 150_000
 #: Rows of one length that are ranked in one task.
 RANK_ROWS = 500_000
 
@@ -28,7 +30,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
     def pieces(stream):
         for batch in stream:
             ids = batch.column("doc_id")
-            for first, last, flat, at in batches(path, batch.column("text"), end_id):
+            for first, last, flat, at in batches(path, batch.column("text"), end_id, REMEMBERED):
                 size = np.diff(at)
                 head = np.where(size > capacity, size % capacity, size)
                 head = np.where(head == 0, capacity, head)

@@ -114,14 +114,14 @@ def _encoded(path: str, parts: list[str]) -> tuple[list[int], np.ndarray, np.nda
     return order, join(flats, np.uint32), join(lengths, np.int64)
 
 
-def _table(path: str, cache: dict, parts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _table(path: str, cache: dict, parts: list[str], counts: np.ndarray, remember: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, start, length) of every part; remembered words first, the rest encoded now."""
     known = [cache.get(p) for p in parts]
     old = [i for i, v in enumerate(known) if v is not None]
     new = [i for i, v in enumerate(known) if v is None]
     order, flat, lengths = _encoded(path, [parts[i] for i in new])
     ends = np.cumsum(lengths)
-    if len(cache) < CACHE_WORDS:
+    if len(cache) < remember:
         for k in np.flatnonzero(counts[np.array(new, np.int64)[order]] > 1).tolist() if order else ():
             cache[parts[new[order[k]]]] = flat[ends[k] - lengths[k] : ends[k]].tobytes()
     seen = [known[i] for i in old]
@@ -135,7 +135,7 @@ def _table(path: str, cache: dict, parts: list[str], counts: np.ndarray) -> tupl
     return ids, start, length
 
 
-def batches(path: str, column, end_id: int):
+def batches(path: str, column, end_id: int, remember: int = CACHE_WORDS):
     """For ranges of documents: (first, last, ids of all of them, offsets by document); ``end_id`` closes each."""
     cache = tokenizer(path)[1]
     data, offsets = text_buffers(column)
@@ -148,7 +148,7 @@ def batches(path: str, column, end_id: int):
         parts = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(own)])
         coded = parts.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        ids, start, length = _table(path, cache, coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)))
+        ids, start, length = _table(path, cache, coded.dictionary.to_pylist(), np.bincount(index, minlength=len(coded.dictionary)), remember)
         del parts, coded
         ids, start, length = np.append(ids, np.uint32(end_id)), np.append(start, np.int32(len(ids))), np.append(length, np.int32(1))
         closes = np.searchsorted(cut, at[1:])
