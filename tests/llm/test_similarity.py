@@ -59,6 +59,31 @@ def test_classes_equal_brute_force(spark):
     assert classes == closed(brute_links(rows, rare), set(dict(rows)))
 
 
+def chain(count=200, size=200, step=16):
+    """Texts of which only neighbours are alike (0.85, the next but one 0.72), in the order of shuffled ids."""
+    words, ids = prose(31, count * step + size, 1 << 40).split(), np.random.default_rng(3).permutation(count).tolist()
+    return [(k, " ".join(words[i * step : i * step + size])) for i, k in enumerate(ids)]
+
+
+def family(count=100):
+    """Copies of one text with so many edits that two of them are about 0.8 alike."""
+    words, draw, rows = prose(33, 200).split(), np.random.default_rng(11), []
+    for copy in range(count):
+        own = list(words)
+        for k in draw.choice(200, int(draw.integers(1, 9)), replace=False):
+            own[k] = f"changed{copy}x{k}"
+        rows.append((1000 + copy, " ".join(own)))
+    return rows
+
+
+def test_classes_of_chains_and_large_families(spark):
+    rows = chain() + family()
+    docs = table(spark, rows)
+    expected = closed(brute_links(rows, shingles.rarity(docs)), set(dict(rows)))
+    assert set(expected[k] for k in range(200)) == {0}
+    assert {r["doc_id"]: r["class_id"] for r in icws.near_classes(docs).collect()} == expected
+
+
 def test_rarity_counts_all_documents(spark):
     rare = shingles.rarity(table(spark, [(1, "a b"), (2, "a"), (3, None), (4, "A a")]))
     data, at = text_buffers(pa.array(["a b"], pa.large_string()))
