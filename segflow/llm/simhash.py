@@ -103,15 +103,43 @@ class Items:
         join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
         return join(begin), join(item)
 
-    def verified(self, begin, item, grams, weights):
-        """Exact weighted Jaccard similarity of each window with its item, as multisets of shingles."""
+    def longer(self, prints: np.ndarray, count: np.ndarray):
+        """(document, item) of whole documents within RADIUS of an item that has more words.
+
+        ``prints`` are the fingerprints of whole documents and ``count`` their shingles.
+        """
+        doc, item = [], []
+        for length, some, tables in self.index:
+            place = np.flatnonzero(count < length - SHINGLE + 1)
+            mask = tables[0][prints[place, 0]]
+            for b in range(1, BLOCKS):
+                mask = mask | tables[b][prints[place, b]]
+            for k in range(len(some)):
+                hit = place[np.flatnonzero(mask >> np.uint64(k) & np.uint64(1))]
+                hit = hit[_BYTE[prints[hit] ^ self.prints[some[k]]].sum(axis=1) <= RADIUS]
+                doc.append(hit)
+                item.append(np.full(len(hit), some[k]))
+        join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+        return join(doc), join(item)
+
+    def verified(self, begin, item, grams, weights, count=None):
+        """Exact weighted Jaccard similarity of each window with its item, as multisets of shingles.
+
+        ``count`` has the shingles of each window; without it a window has as many as its item.
+        """
         size = np.array([len(g) for g in self.grams])[item]
-        row = np.repeat(np.arange(len(item)), size)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        at = begin[row] + step
+        row, step = _steps(size)
+        window, shift = (row, step) if count is None else _steps(count)
+        at = begin[window] + shift
         flat, offset = np.concatenate(self.grams), np.cumsum([0] + [len(g) for g in self.grams])
         own, heavy = flat[offset[item][row] + step], np.concatenate(self.weights)[offset[item][row] + step]
-        return similarity(len(item), _summed(row, _fold(grams[at]), weights[at]), _summed(row, _fold(own), heavy))
+        return similarity(len(item), _summed(window, _fold(grams[at]), weights[at]), _summed(row, _fold(own), heavy))
+
+
+def _steps(size: np.ndarray):
+    """(row, step) of ``size`` steps a row."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
 
 
 def _summed(row: np.ndarray, gram: np.ndarray, weight: np.ndarray):
@@ -148,6 +176,23 @@ def _scan(items: Items, data: np.ndarray, at: np.ndarray, similar: float):
         low, high = runs_of(np.maximum(hit - items.longest, first[doc]), np.minimum(hit + items.longest, first[doc + 1]))
         owner = np.searchsorted(first, low, "right") - 1
         weight = _weights(hashes, items.rare)
+        # a document with fewer words than an item has no window of its size: it is one window itself
+        some = np.unique(doc)
+        some = some[first[some + 1] - first[some] < items.longest]
+        start, size = first[some], first[some + 1] - first[some] - SHINGLE + 1
+        group = 0
+        while group < len(some):
+            upto = max(group + 1, int(np.searchsorted(np.cumsum(size[group:]), _GROUP)) + group)
+            row, step = _steps(size[group:upto])
+            index = start[group:upto][row] + step
+            ends_at = np.cumsum(size[group:upto])
+            sums = _sums(gram[index], weight[index])
+            own, item = items.longer(_bytes(sums[ends_at] - sums[ends_at - size[group:upto]]), size[group:upto])
+            for cut in range(0, len(own), 1 << 13):
+                o, k = own[cut : cut + (1 << 13)] + group, item[cut : cut + (1 << 13)]
+                near = items.verified(start[o], k, gram, weight, size[o])
+                found += [(int(some[p]), q, s, 0, int(size[p]) + SHINGLE - 1) for p, q, s in zip(o[near >= similar].tolist(), k[near >= similar].tolist(), near[near >= similar].tolist())]
+            group = upto
         group = 0
         while group < len(low):
             upto = max(group + 1, int(np.searchsorted(np.cumsum(high[group:] - low[group:]), _GROUP)) + group)
@@ -192,7 +237,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, limit
     """(doc_id, item_id, similarity, first_word, n_words): the best window of each document that repeats an item.
 
     Weights of shingles come from document frequencies over all ``docs``. An item of one to four words matches where
-    its words stand in a row. Documents without a match, null and empty texts give no row.
+    its words stand in a row. A document of fewer words than an item is one window. Documents without a match, null and empty texts give no row.
     """
     prepare(docs.sparkSession)
     rare, out = rarity(docs), None

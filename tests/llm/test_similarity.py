@@ -157,6 +157,28 @@ def test_leaks_equal_brute_force(spark):
     assert simhash.leaks(table(spark, []), bench).collect() == []
 
 
+def test_documents_shorter_than_an_item(spark):
+    items = [(k, prose(700 + k, 38 + 3 * k)) for k in range(6)] + [(6, prose(700, 60))]
+    docs = [(10 * k + cut, " ".join(t.split()[cut % 2 : len(t.split()) - cut])) for k, t in items for cut in range(10)]
+    docs += [(900, prose(701, 3)), (901, prose(1, 30))]
+    frame = table(spark, docs)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rare = shingles.rarity(frame)
+    expected = set()
+    for doc, text in docs:
+        words = plain_words(text)
+        for item, source in items:
+            own = plain_words(source)
+            size = min(len(words), len(own))
+            if any(similar(words[a : a + size], own, rare) >= 0.8 for a in range(len(words) - size + 1)):
+                expected.add((doc, item))
+    assert (2, 0) in expected and (9, 0) not in expected
+    found = simhash.leaks(frame, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected and len(found) == len(expected)
+    assert {r["n_words"] for r in found if (r["doc_id"], r["item_id"]) == (2, 0)} == {36}
+    assert {r["doc_id"] for r in simhash.decontaminated(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+
+
 def similar(a, b, rare):
     """Weighted Jaccard of two word lists as multisets of shingles."""
     if len(b) < 5:
