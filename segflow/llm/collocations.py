@@ -19,6 +19,8 @@ OVERLAP = LONGEST - 1
 SPACING = 64
 #: Bits of the table of frequent keys: it only leaves out what cannot be frequent, so its size bounds memory, not results.
 MOST_BITS = 26
+#: A key's places in that table: its bits from these on.
+PROBES = (0, 32)
 #: Groups that a language's phrases are ordered in before the last order, so that no task orders all of them.
 SALTS = 64
 BATCH = 8 << 20
@@ -101,8 +103,11 @@ class _Part:
         return self.piece[:count] == self.piece[size - 1 : size - 1 + count]
 
     def flagged(self, size: int, bits: np.ndarray) -> np.ndarray:
-        slot = rolling(self.keyed, size) & np.uint64(len(bits) * 64 - 1)
-        return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        key, out = rolling(self.keyed, size), True
+        for shift in PROBES:
+            slot = (key >> np.uint64(shift)) & np.uint64(len(bits) * 64 - 1)
+            out = out & ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1)
+        return out
 
 
 def _parts(stream):
@@ -145,10 +150,11 @@ def _frequent(chunk: DataFrame, size: int, least: int, below: np.ndarray | None)
 
     keys = chunk.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
     keys = stored(keys, "frequent")
-    bits = 1 << min(MOST_BITS, max(16, (16 * keys.count()).bit_length()))
-    slot = F.col("key").bitwiseAND(F.lit(bits - 1))
-    mark = F.expr("shiftleft(1L, cast(key & 63L as int))")
-    rows = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(mark).alias("mark")).toArrow()
+    bits = 1 << min(MOST_BITS, max(16, (64 * keys.count()).bit_length()))
+    slots = [F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(bits - 1)) for shift in PROBES]
+    slots = keys.select(F.explode(F.array(*slots)).alias("slot"))
+    mark = F.expr("shiftleft(1L, cast(slot & 63L as int))")
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(mark).alias("mark")).toArrow()
     out = np.zeros(bits >> 6, np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("mark").to_numpy().view(np.uint64)
     return out
