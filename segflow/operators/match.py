@@ -11,8 +11,10 @@ Times are whole microseconds, so a distance equal to the collar is exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,52 @@ from segflow.operators.ordered import Kernel, ordered, total
 
 ARRIVE, PREDICT, EXPIRE = 0, 1, 2
 _FAR = 1 << 60
+#: The clamp that leaves every state as it is, for any number of rows and thresholds.
+_NONE = np.array([0, -_FAR, _FAR])[:, None, None]
 #: Thresholds that one pass can hold, one bit each.
 LEVELS = 62
 
 
+def _then(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Clamps (a, lo, hi on axis 0) that apply ``first`` and then ``second``."""
+    out = first + second[0]
+    np.maximum(out[1:], second[1], out=out[1:])
+    np.minimum(out[1:], second[2], out=out[1:])
+    return out
+
+
+def _running(steps: np.ndarray) -> np.ndarray:
+    """For each row (axis 1) the clamp of all rows up to it.
+
+    Composition is associative, so the rows are laid out as a square: one step along it composes whole columns, then
+    what came before each line of the square is composed into it.
+    """
+    n, levels = steps.shape[1:]
+    wide = max(1, math.isqrt(n))
+    lines = -(-n // wide)
+    square = np.empty((3, lines * wide, levels), np.int64)
+    square[:, :n] = steps
+    square[:, n:] = _NONE
+    square = np.ascontiguousarray(square.reshape(3, lines, wide, levels).swapaxes(1, 2))
+    for j in range(1, wide):
+        square[:, j] = _then(square[:, j - 1], square[:, j])
+    before = np.empty((3, lines, levels), np.int64)
+    before[:, 0] = _NONE[:, 0]
+    for k in range(1, lines):
+        before[:, k] = _then(before[:, k - 1], square[:, -1, k - 1])
+    return _then(before[:, None], square).swapaxes(1, 2).reshape(3, lines * wide, levels)[:, :n]
+
+
+def _clamped(state: np.ndarray, clamp: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(state + clamp[0], clamp[1]), clamp[2])
+
+
 class _Collar(Kernel):
+    """Counts of available boundaries, one column per threshold; a row is one clamp of them."""
+
     inputs = ("kind", "level", "open")
+    #: Rows of a block that are composed at once.
+    SLICE = 1 << 14
 
     def __init__(self, levels: int):
         self.levels = levels
@@ -33,50 +75,43 @@ class _Collar(Kernel):
         self.outputs = {"hits": "bigint", "waiting": "bigint"}
 
     def start(self):
-        return [0] * self.levels
+        return np.zeros(self.levels, np.int64)
+
+    def values(self, column):
+        return column.to_numpy(zero_copy_only=False)
+
+    def _steps(self, columns) -> tuple[np.ndarray, np.ndarray]:
+        kind, open_now = columns["kind"][:, None], columns["open"][:, None]
+        tried = (kind == PREDICT) & (np.arange(self.levels) < columns["level"][:, None])
+        a = (kind == ARRIVE).astype(np.int64) - tried
+        low = np.where(tried, 0, -_FAR)
+        high = np.where(kind == EXPIRE, open_now, _FAR) + np.zeros_like(a)
+        return np.stack([a, low, high]), tried
 
     def run(self, columns, first, enter, state):
-        hits, waiting, levels = [], [], self.levels
-        queue = list(state)
-        for i, (kind, level, open_now, new) in enumerate(
-            zip(columns["kind"], columns["level"], columns["open"], first)
-        ):
-            if new:
-                queue = list(enter[i]) if i in enter else [0] * levels
-            mask = 0
-            waiting.append(queue[0])
-            if kind == ARRIVE:
-                queue = [q + 1 for q in queue]
-            elif kind == EXPIRE:
-                if max(queue) > open_now:
-                    queue = [q if q < open_now else open_now for q in queue]
-            else:
-                for k in range(level):
-                    if queue[k] > 0:
-                        queue[k] -= 1
-                        mask |= 1 << k
-            hits.append(mask)
-        return {"hits": hits, "waiting": waiting}, queue
+        steps, tried = self._steps(columns)
+        begins = np.flatnonzero(first)
+        entry = np.zeros((len(begins), self.levels), np.int64)
+        for k in [k for k, i in enumerate(begins.tolist()) if i in enter] if enter else ():
+            entry[k] = enter[int(begins[k])]
+        # a key starts from its own state whatever came before: its first row is a constant
+        steps[1:, begins] = _clamped(entry, steps[:, begins])
+        steps[0, begins] = 0
+        after = _clamped(state, _running(steps))
+        before = np.concatenate([[state], after[:-1]])
+        before[begins] = entry
+        hits = (tried & (before > 0)) @ (np.int64(1) << np.arange(self.levels))
+        return {"hits": hits, "waiting": before[:, 0]}, after[-1]
 
     def summary(self, columns):
-        clamps = [[0, -_FAR, _FAR] for _ in range(self.levels)]
-        for kind, level, open_now in zip(columns["kind"], columns["level"], columns["open"]):
-            for k, c in enumerate(clamps):
-                if kind == ARRIVE:
-                    c[0] += 1
-                    c[1] += 1
-                    c[2] += 1
-                elif kind == EXPIRE:
-                    c[1] = min(c[1], open_now)
-                    c[2] = min(c[2], open_now)
-                elif k < level:
-                    c[0] -= 1
-                    c[1] = max(c[1] - 1, 0)
-                    c[2] = max(c[2] - 1, 0)
-        return clamps
+        whole = np.broadcast_to(_NONE[:, 0], (3, self.levels))
+        for low in range(0, len(columns["kind"]), self.SLICE):
+            steps, _ = self._steps({c: v[low : low + self.SLICE] for c, v in columns.items()})
+            whole = _then(whole, _running(steps)[:, -1])
+        return whole
 
     def follow(self, state, summary):
-        return [min(max(q + a, lo), hi) for q, (a, lo, hi) in zip(state, summary)]
+        return _clamped(state, summary)
 
 
 def collar_walk(

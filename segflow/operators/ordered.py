@@ -289,7 +289,7 @@ def _replay(kernel: Kernel, types: dict[str, pa.DataType]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first = batch.column(batch.schema.get_field_index(_FIRST)).to_pylist()
+            first = kernel.values(batch.column(batch.schema.get_field_index(_FIRST)))
             marks = batch.column(batch.schema.get_field_index(_ENTER))
             enter = {}
             if marks.null_count < len(marks):

@@ -39,38 +39,41 @@ class Spaced(Kernel):
     def start(self):
         return None
 
+    def values(self, column):
+        return column.to_numpy(zero_copy_only=False)
+
     def run(self, columns, first, enter, state):
-        gap, far, kept = self.gap, self.far, []
-        for i, (x, new) in enumerate(zip(columns[self.position], first)):
-            if new:
-                state = enter.get(i) if enter else None
-            keep = state is None or far(x, state, gap)
-            if keep:
-                state = x
-            kept.append(keep)
+        xs = columns[self.position]
+        n, begins = len(xs), np.flatnonzero(first)
+        # each stretch of a key, with the last position kept before it
+        starts = begins if len(begins) and begins[0] == 0 else np.concatenate([[0], begins])
+        entry = [(enter.get(i) if enter else None) if first[i] else state for i in starts.tolist()]
+        ends = np.append(starts[1:], n)
+        fresh = np.array([e is None for e in entry])
+        search = _Far(xs, self.gap, self.far, self.two_sided)
+        heads = starts.copy()
+        known = np.flatnonzero(~fresh)
+        if len(known):
+            heads[known] = search.first(starts[known], np.array([entry[k] for k in known.tolist()], xs.dtype))
+        after = search.first(np.arange(1, n + 1), xs)
+        stop = np.repeat(ends, ends - starts)
+        after[after >= stop] = n
+        kept = reachable(after, heads[heads < ends])
+        last = np.flatnonzero(kept[starts[-1] :])
+        state = xs[starts[-1] + last[-1]].item() if len(last) else entry[-1]
         return {"kept": kept}, state
 
     def summary(self, columns):
-        xs = np.asarray(columns[self.position])
+        xs = columns[self.position]
         gap, far = self.gap, self.far
-        jump = _Jumps(xs, gap, far, self.two_sided)
-        exits: dict[int, float] = {}
+        after = _Far(xs, gap, far, self.two_sided).first(np.arange(1, len(xs) + 1), xs)
+        exits = xs[last_of(after)]
 
         def exit_from(i: int) -> float:
-            path, at = [], i
-            while at not in exits:
-                path.append(at)
-                nxt = jump.after(at)
-                if nxt is None:
-                    exits[at] = xs[at].item()
-                    break
-                at = nxt
-            for p in path:
-                exits[p] = exits[at]
-            return exits[i]
+            return exits[i].item()
 
-        top = columns[self.ceiling][0] if self.ceiling else None
-        reach = xs[0].item() if top is None else top  # no earlier position lies above this
+        top = columns[self.ceiling][0] if self.ceiling else np.nan
+        reach = xs[0].item() if np.isnan(top) else top  # no earlier position lies above this
         low = high = None
         table: list[tuple] = []
         for i, x in enumerate(xs.tolist()):
@@ -102,36 +105,75 @@ class Spaced(Kernel):
         return state
 
 
-class _Jumps:
-    """Next row far enough from a given one; whole stretches are skipped by their extremes."""
+def reachable(after: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Rows on the paths that start at ``heads`` and follow ``after`` (the number of rows where a path ends).
 
-    STRETCH = 512
+    Pointer doubling: each round marks what the rows marked so far reach by twice as many steps.
+    """
+    n = len(after)
+    marked, jump = np.zeros(n + 1, bool), np.append(after, n)
+    marked[heads] = True
+    while (jump[:n] < n).any():
+        marked[jump[marked]] = True
+        jump = jump[jump]
+    return marked[:n]
+
+
+def last_of(after: np.ndarray) -> np.ndarray:
+    """For each row the last one of its path."""
+    n = len(after)
+    jump = np.where(after < n, after, np.arange(n))
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            return jump
+        jump = further
+
+
+class _Far:
+    """First row, from a place on, that is far enough from a value; rows may come in any order.
+
+    A tree of the extremes of pairs, pairs of pairs and so on: all questions climb it together until a subtree holds
+    an answer, and then go down to the first row of it. The rule itself is asked at the extremes, so rounding is the
+    rule's own.
+    """
 
     def __init__(self, xs: np.ndarray, gap: float, far, two_sided: bool):
-        self.xs, self.gap, self.far, self.two_sided = xs, gap, far, two_sided
-        starts = np.arange(0, len(xs), self.STRETCH)
-        self.tops = np.maximum.reduceat(xs, starts)
-        self.bottoms = np.minimum.reduceat(xs, starts)
-
-    def after(self, i: int) -> int | None:
-        x, size = self.xs[i], self.STRETCH
-        block = (i + 1) // size
-        found = self._within(i + 1, min((block + 1) * size, len(self.xs)), x)
-        if found is not None:
-            return found
-        rest = self.far(self.tops[block + 1 :], x, self.gap)
-        if self.two_sided:
-            rest = rest | self.far(self.bottoms[block + 1 :], x, self.gap)
-        hit = np.argmax(rest) if rest.size else 0
-        if not rest.size or not rest[hit]:
-            return None
-        begin = (block + 1 + int(hit)) * size
-        return self._within(begin, min(begin + size, len(self.xs)), x)
-
-    def _within(self, low: int, high: int, x) -> int | None:
-        tests = self.far(self.xs[low:high], x, self.gap)
-        at = int(np.argmax(tests)) if tests.size else 0
-        return low + at if tests.size and tests[at] else None
+        self.gap, self.far, self.two_sided, self.n = gap, far, two_sided, len(xs)
+        self.tops, self.bottoms = [xs], [xs]
+        while len(self.tops[-1]) > 1:
+            for tree, choose in ((self.tops, np.maximum), (self.bottoms, np.minimum)):
+                row = tree[-1]
+                pairs = choose(row[: len(row) // 2 * 2 : 2], row[1::2])
+                tree.append(np.append(pairs, row[-1:]) if len(row) % 2 else pairs)
+
+    def _holds(self, level: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        found = self.far(self.tops[level][at], values, self.gap)
+        return found | self.far(self.bottoms[level][at], values, self.gap) if self.two_sided else found
+
+    def first(self, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each place the first row at or after it that is far from its value, the number of rows if none is."""
+        out = np.full(len(places), self.n)
+        asks = np.flatnonzero(places < self.n)
+        at, stopped = places[asks], []
+        for level in range(len(self.tops)):
+            held = self._holds(level, at, values[asks])
+            stopped.append((asks[held], at[held]))
+            asks, at = asks[~held], at[~held]
+            sibling = np.flatnonzero((at % 2 == 0) & (at + 1 < len(self.tops[level])))
+            held = np.zeros(len(at), bool)
+            held[sibling] = self._holds(level, at[sibling] + 1, values[asks[sibling]])
+            stopped[level] = tuple(np.append(s, v) for s, v in zip(stopped[level], (asks[held], at[held] + 1)))
+            asks, at = asks[~held], at[~held] // 2 + 1  # the next subtree to the right
+            inside = at < (len(self.tops[level + 1]) if level + 1 < len(self.tops) else 0)
+            asks, at = asks[inside], at[inside]
+        asks = at = np.zeros(0, np.int64)
+        for level in range(len(self.tops) - 1, -1, -1):
+            asks, at = np.append(asks, stopped[level][0]), np.append(at, stopped[level][1])
+            if level:
+                at = np.where(self._holds(level - 1, at * 2, values[asks]), at * 2, at * 2 + 1)
+        out[asks] = at
+        return out
 
 
 def mark_spaced(

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from segflow.operators.match import best_threshold, collar_sweep, collar_walk, file_scores, matched_pairs, sweep_counts
+from segflow.operators.match import _Collar, best_threshold, collar_sweep, collar_walk, file_scores, matched_pairs, sweep_counts
 
 
 def frames(spark, truth, predictions):
@@ -65,3 +68,38 @@ def test_file_scores_floor_denominators(spark):
 def test_lowest_threshold_wins_ties(spark):
     rows = spark.createDataFrame([(0.1, 0.5), (0.2, 0.7), (0.3, 0.7)], "threshold double, f1 double")
     assert best_threshold(rows).first().threshold == 0.2
+
+
+def walked(kind, level, open_now, first, enter, state):
+    """Row by row: an arrival adds one, a prediction takes one where it can, an expiry leaves at most ``open_now``."""
+    hits, waiting, queue = [], [], list(state)
+    for i, new in enumerate(first):
+        if new:
+            queue = list(enter.get(i, [0] * len(queue)))
+        mask = 0
+        waiting.append(queue[0])
+        for k in range(len(queue)):
+            if kind[i] == 0:
+                queue[k] += 1
+            elif kind[i] == 2:
+                queue[k] = min(queue[k], open_now[i])
+            elif k < level[i] and queue[k] > 0:
+                queue[k] -= 1
+                mask |= 1 << k
+        hits.append(mask)
+    return hits, waiting, queue
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 70), st.integers(1, 62))
+def test_composed_clamps_equal_the_walk(seed, n, levels):
+    draw = np.random.default_rng(seed)
+    columns = {"kind": draw.integers(0, 3, n).astype(np.int32), "level": draw.integers(0, levels + 1, n).astype(np.int32), "open": draw.integers(0, 4, n)}
+    first, state = draw.random(n) < 0.1, draw.integers(0, 5, levels)
+    enter = {int(i): draw.integers(0, 5, levels) for i in np.flatnonzero(first) if draw.random() < 0.5}
+    kernel = _Collar(levels)
+    kernel.SLICE = 13
+    out, after = kernel.run(columns, first, enter, state)
+    assert (out["hits"].tolist(), out["waiting"].tolist(), after.tolist()) == walked(*columns.values(), first, enter, state)
+    whole = walked(*columns.values(), np.zeros(n, bool), {}, state)[2]
+    assert kernel.follow(state, kernel.summary(columns)).tolist() == whole

@@ -2,12 +2,14 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from segflow.operators.joins import asof, with_default
 from segflow.operators.lines import endpointed
 from segflow.operators.ordered import lag, last, lead, number, ordered, peak, percentiles, total
-from segflow.operators.spacing import RULES, spaced, throttle
+from segflow.operators.spacing import RULES, Spaced, spaced, throttle
 
 
 @pytest.fixture(scope="module")
@@ -166,3 +168,21 @@ def test_joins_do_not_broadcast_beyond_the_limits(spark):
             assert join_small(big, small, ["id"]).count() == 1000
         finally:
             spark.conf.unset(conf)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 80), st.sampled_from(sorted(RULES)), st.booleans(), st.sampled_from([1, 10]))
+def test_pointer_doubling_equals_the_loop(seed, n, rule, ascending, parts):
+    draw = np.random.default_rng(seed)
+    xs = draw.integers(0, 40, n) / parts
+    xs, gap, far = np.sort(xs) if ascending else xs, float(draw.integers(1, 15)) / parts, RULES[rule]
+    first = draw.random(n) < 0.15
+    enter = {int(i): float(draw.integers(0, 40)) for i in np.flatnonzero(first) if draw.random() < 0.5}
+    begun = state = None if draw.random() < 0.4 else float(draw.integers(0, 40))
+    kept = []
+    for i, x in enumerate(xs.tolist()):
+        state = enter.get(i) if first[i] else state
+        kept.append(state is None or bool(far(x, state, gap)))
+        state = x if kept[-1] else state
+    out, after = Spaced("x", gap, rule).run({"x": xs}, first, enter, begun)
+    assert out["kept"].tolist() == kept and after == state
