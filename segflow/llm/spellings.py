@@ -15,8 +15,8 @@ from segflow.llm.common import prepare, stored
 
 #: Letters of a word after A-Z is lower-cased: a-z and U+00C0 to U+00FF.
 LETTERS = 26 + 64
-#: Words that the upper levels of the trees are drawn from, and words of a leaf of these levels that one task searches.
-SAMPLE, LEAF = 1 << 16, 1 << 12
+#: Words, about, that the upper levels of the trees are drawn from, and words of a leaf of these levels that one task searches.
+SAMPLE, LEAF = 1 << 15, 1 << 12
 #: Words of a leaf of the trees that a task builds, below which words are compared one by one.
 SMALL = 16
 #: Words of equal counts from which a leaf is searched by deleted letters, and pairs of words compared at once.
@@ -150,8 +150,10 @@ def near_words(words: DataFrame) -> DataFrame:
     depends on it); every word is in the one leaf that its counts lead to and is sent, for each of the three lengths
     that a near word can have, to all leaves whose box an edit reaches. The task of a leaf builds the rest of the tree.
     """
-    drawn = [r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").collect()]
     total = words.count()
+    share = min(1.0, SAMPLE / max(total, 1))  # by the hash of a word, so the same words are drawn each time
+    picked = words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    drawn = picked.select("word").toArrow().column("word").to_pylist()
     leaf = max(1, LEAF * len(drawn) // max(total, 1))
     by_length: dict[int, list[str]] = {}
     for word in sorted(drawn):
