@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segflow.operators.frames import CELL, in_cells
-from segflow.operators.ordered import Kernel, Ordered, lag, lead, ordered, total
+from segflow.operators.ordered import Kernel, Ordered, lag, lead, null_safe_join, ordered, total
 from segflow.operators.spacing import gap_islands
 
 # Endpointing limits in seconds, pre-roll chunks, reset gap, clocks of line splits.
@@ -168,6 +168,17 @@ def line_spans(rows: Ordered, at: str) -> DataFrame:
     )
 
 
+def gap_sessions(updates: DataFrame, keys: Sequence[str], event_time: str, at: str, spoken: str, rule1_us: int = int(RULE1_S * 1e6), rule2_us: int = int(RULE2_S * 1e6)) -> DataFrame:
+    """Lines that end by silence alone (keys, start, end, updates), of a table or of a stream with a watermark.
+
+    A session window whose gap is a column: an update keeps its line open for rule 2 once it holds speech, for rule 1
+    before. The length rule has no session form; ``endpointed`` and the keyed stream have all three rules.
+    """
+    gap = F.when(F.col(spoken), F.lit(f"{rule2_us} microseconds")).otherwise(F.lit(f"{rule1_us} microseconds"))
+    grouped = updates.groupBy(*keys, F.session_window(event_time, gap).alias("__session"))
+    return grouped.agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("updates")).drop("__session")
+
+
 def count_changes(rows: Ordered, count: str) -> Ordered:
     """Updates at which the word count differs from the previous one (0 before the first)."""
     rows = rows.scan(__before=lag(count)).where(F.col(count) != F.coalesce(F.col("__before"), F.lit(0)))
@@ -215,11 +226,11 @@ def audio_windows(
 ) -> DataFrame:
     """Full sample windows over chunk arrays: ``window_no``, ``start`` and the samples.
 
-    Samples stay in arrays: each chunk is cut into one slice per window it touches, and a
-    window joins its few slices.
+    Only lengths are put in order; a window's parts are numbers of samples until they are known, and then each chunk is
+    read once more by its place (keys and order) and cut into one slice per window it touches.
     """
     sized = chunks.withColumn("__n", F.size(samples)).where(F.col("__n") > 0)
-    rows = ordered(sized.select(*keys, *order, samples, "__n"), keys, order).scan(__upto=total("__n")).rows()
+    rows = ordered(sized.select(*keys, *order, "__n"), keys, order).scan(__upto=total("__n")).rows()
     first = F.col("__upto") - F.col("__n")
     low = F.greatest(F.ceil((first - window + 1) / F.lit(hop)), F.lit(0))
     parts = rows.withColumn("window_no", F.explode(F.sequence(low, F.floor((F.col("__upto") - 1) / F.lit(hop)))))
@@ -227,6 +238,7 @@ def audio_windows(
     parts = parts.withColumns(
         {"__from": F.greatest(begin - first, F.lit(0)), "__to": F.least(begin + window - first, F.col("__n"))}
     ).where(F.col("__to") > F.col("__from"))
+    parts = null_safe_join(parts, sized.select(*keys, *order, samples), [*keys, *order])
     piece = F.slice(samples, (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from")).cast("int"))
     pieces = parts.select(*keys, "window_no", first.alias("__first"), piece.alias("__x"))
     packed = pieces.groupBy(*keys, "window_no").agg(F.array_sort(F.collect_list(F.struct("__first", "__x"))).alias("__ps"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segflow.functions import signals
-from segflow.operators import metrics, turns
+from segflow.operators import metrics, turns, windows
 from segflow.plans import frame_queries as FQ
 from segflow.plans import inputs as I
 from segflow.plans import metric_queries as MQ
@@ -14,6 +14,7 @@ from segflow.plans import pool_queries as PQ
 from segflow.plans.registry import Tables, query
 from segflow.session import scratch_path
 from segflow.sources import listings, sinks
+from segflow.streaming.runs import in_triggers
 
 
 @query("s1_manifest", f"WITH {I.TURNS} SELECT file_id::VARCHAR AS file_id, start_s, end_s, speaker_id, has_overlap FROM turns")
@@ -71,25 +72,25 @@ def frame_scores(t: Tables) -> DataFrame:
     return sinks.read_frame_scores(t.spark, path).select("stream_id", "win_start_s", F.posexplode("p").alias("frame", "p"))
 
 
-@query(
-    "s8_transcript",
-    """SELECT conv_id, turn, text, CASE WHEN turn % 3 <> 0 THEN round(1.0 / (turn + 2), 6)::DOUBLE END AS confidence, round(turn * 1.23456, 3)::DOUBLE AS duration_seconds,
+_TRANSCRIPT = """SELECT conv_id, turn, text, CASE WHEN turn % 3 <> 0 THEN round(1.0 / (turn + 2), 6)::DOUBLE END AS confidence, round(turn * 1.23456, 3)::DOUBLE AS duration_seconds,
   CASE WHEN turn % 2 = 1 THEN round(turn * 0.77771, 3)::DOUBLE END AS segment_start_seconds, true AS keeps_confidence, turn % 2 = 1 AS has_start,
-  '2024-01-01T00:0' || turn || ':00.000000+00:00' AS stamp FROM conversations""",
-)
-def transcript(t: Tables) -> DataFrame:
-    """Transcript lines written as JSON and parsed back, with the null and optional field rules."""
-    path = scratch_path(t.spark, "transcript")
+  '2024-01-01T00:0' || turn || ':00.000000+00:00' AS stamp FROM conversations"""
+
+
+def _entries(t: Tables) -> DataFrame:
+    """(turn, value): one transcript entry per turn behind its ids, with the null and optional field rules."""
     turn = F.col("turn")
     start = F.when(turn % 2 == 1, turn * F.lit(0.77771))
     stamp = F.timestamp_seconds(F.lit(1704067200) + turn * 60)
     entry = sinks.transcript_json(stamp, F.col("text"), F.when(turn % 3 != 0, 1.0 / (turn + 2)), turn * F.lit(1.23456), start)
-    rows = t.conversations.select(F.concat_ws("\t", "conv_id", "turn", entry).alias("value"))
-    sinks.write_transcript(rows, path)
+    return t.conversations.select("turn", F.concat_ws("\t", "conv_id", "turn", entry).alias("value"))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
     parts = F.split("value", "\t", 3)
     body = F.get(parts, F.lit(2))
     schema = "timestamp string, text string, confidence double, duration_seconds double, segment_start_seconds double"
-    back = t.spark.read.text(path).select(
+    back = lines.select(
         F.get(parts, F.lit(0)).cast("long").alias("conv_id"), F.get(parts, F.lit(1)).cast("long").alias("turn"), F.from_json(body, schema).alias("j"), body.alias("b")
     )
     keys = F.json_object_keys("b")
@@ -106,6 +107,23 @@ def transcript(t: Tables) -> DataFrame:
     )
 
 
+@query("s8_transcript", _TRANSCRIPT)
+def transcript(t: Tables) -> DataFrame:
+    """Transcript lines written as JSON and parsed back, with the null and optional field rules."""
+    path = scratch_path(t.spark, "transcript")
+    sinks.write_transcript(_entries(t), path)
+    return _parsed(t.spark.read.text(path))
+
+
+@query("s8_stream_transcript", _TRANSCRIPT)
+def stream_transcript(t: Tables) -> DataFrame:
+    """The same entries through the exactly-once stream sink, a folder per micro-batch."""
+    path, checkpoint = scratch_path(t.spark, "live-transcript"), scratch_path(t.spark, "live-transcript-checkpoint")
+    source = in_triggers(t.spark, _entries(t), "turn", "entries")
+    sinks.stream_transcript(source, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return _parsed(sinks.read_transcript(t.spark, path))
+
+
 @query(
     "s9_result_tables",
     f"""WITH {I.MATCHING} SELECT 'boundaries' AS name, 'all' AS algorithm, count(*) AS n FROM (WITH {I.TURNS}, l AS (SELECT speaker_id, lag(speaker_id) OVER (PARTITION BY file_id ORDER BY start_s, turn) AS prev FROM turns) SELECT * FROM l WHERE prev <> speaker_id)
@@ -130,9 +148,9 @@ def result_tables(t: Tables) -> DataFrame:
 def frozen_set(t: Tables) -> DataFrame:
     """A window set made once; the second call reads it and does not make it again."""
     path = scratch_path(t.spark, "frozen")
-    sinks.frozen_set(t.spark, path, lambda: PQ.specs(t).select("spec_id", "kind", "t_change", "gap"))
+    sinks.frozen_set(t.spark, path, lambda: PQ.specs(t).select("spec_id", "kind", "t_change", "gap"), 42, windows.Recipe())
 
     def never() -> DataFrame:
         raise RuntimeError("a finished set must be reused")
 
-    return sinks.frozen_set(t.spark, path, never)
+    return sinks.frozen_set(t.spark, path, never, 42, windows.Recipe())

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segflow.operators import lines
 from segflow.plans import inputs as I
 from segflow.plans import line_queries as L
 from segflow.plans.registry import ORACLES, Tables, query
@@ -75,10 +76,8 @@ def stream_captions(t: Tables) -> DataFrame:
 
     When a line is emitted depends on triggers and timers; which lines there are does not.
     """
-    updates, changes = L.recogniser_rows(t)
-    a = parts_to_stream(t.spark, [updates], "updates")
-    b = parts_to_stream(t.spark, [changes], "changes")
-    out = drained(t.spark, p.stream_captions(a, b), "captions")
+    source = in_triggers(t.spark, p.caption_input(*L.recogniser_rows(t)), "clock_s", "captions")
+    out = drained(t.spark, p.stream_caption_rows(source), "captions")
     return out.select("stream_id", "text", "start_s", "duration_s", "cause", "change_s")
 
 
@@ -105,16 +104,30 @@ k AS (SELECT stream_id, list_reduce(list([pos, rn] ORDER BY rn), lambda a, v: CA
 SELECT stream_id, round(pos * 0.25::DOUBLE, 6) AS time_s, round(sm, 6) AS prob, round(stop / 4.0::DOUBLE, 6) AS detected_at_s FROM c JOIN k USING (stream_id) WHERE list_contains(kept, rn)""",
 )
 def stream_changes(t: Tables) -> DataFrame:
-    """Live detection over gated chunks: one sample per event, twelve samples per window."""
-    gated = L.sessions(t).join(I.frames(t).select("stream_id", "frame", "at_us", "score"), ["stream_id", "frame"])
-    chunks = gated.select(
-        "stream_id", F.col("frame").alias("seq"), "at_us", "session", F.array("score").alias("samples")
+    """Raw chunks in, live detections out (K4 and K14 chained): one sample per event, twelve samples per window."""
+    chunks = I.frames(t).select(
+        "stream_id", "frame", "at_us", F.rint("value").cast("long").alias("ms"), (F.col("value") >= 100).alias("active"), F.array("score").alias("samples")
     )
     source = in_triggers(t.spark, chunks, "at_us", "chunks")
-    found = p.stream_changes(source, _level_scorer, 4, 3.0, 1.0, 0.15, 3, 0.5, 0.75, 0.25, 1.0, 0.25)
+    found = p.stream_live_changes(source, _level_scorer, 4, 3.0, 1.0, 0.15, 3, 0.5, 0.75, 0.25, 1.0, 0.25, pre_roll=4, reset_gap_ms=150)
     return drained(t.spark, found, "changes")
 
 
+@query(
+    "k5_session_lines",
+    f"""WITH {I.STREAM}, s AS (SELECT stream_id, at_us, event_id, at_us + CASE WHEN event_type IN ('click', 'view', 'purchase') THEN {_R[1]} ELSE {_R[0]} END AS stop FROM stream),
+n AS (SELECT *, at_us >= coalesce(max(stop) OVER (PARTITION BY stream_id ORDER BY at_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fresh FROM s),
+l AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY stream_id ORDER BY at_us, event_id) AS line FROM n)
+SELECT stream_id, min(at_us) AS "start", max(at_us) AS "end", count(*) AS updates FROM l GROUP BY stream_id, line""",
+)
+def session_lines(t: Tables) -> DataFrame:
+    """Lines by silence alone as session windows with a gap column, in append mode; a late marker row closes the last."""
+    rows = _line_updates(t).where(F.col("kind") == p.UPDATE).select("stream_id", "at_us", "spoken")
+    closing = rows.agg((F.max("at_us") + 1000 * HOUR_US).alias("at_us")).select(F.lit(-1).cast("long").alias("stream_id"), "at_us", F.lit(False).alias("spoken"))
+    timed = p.with_event_time(in_triggers(t.spark, rows.unionByName(closing), "at_us", "sessions"), F.col("at_us"), "1 hour")
+    return drained(t.spark, lines.gap_sessions(timed, ["stream_id"], "event_time", "at_us", "spoken", _R[0], _R[1]), "sessions").where("stream_id >= 0")
+
+
 @query(
     "k1_windowed_backlog",
     f"""WITH {I.STREAM} SELECT stream_id, at_us // {HOUR_US} AS tick, count(*) AS chunks, round(sum(value), 6) AS written FROM stream GROUP BY ALL""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -45,15 +47,23 @@ def write_transcript(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("append").text(path)
 
 
+def write_transcript_batch(lines: DataFrame, batch_id: int, path: str) -> None:
+    """Entries of one micro-batch as the folder of that batch: a batch that comes again replaces itself."""
+    lines.select("value").write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
+
+
 def stream_transcript(lines: DataFrame, path: str, checkpoint: str):
-    """Checkpointed append of entries (column ``value``) from a stream; returns the writer."""
-    return (
-        lines.select("value")
-        .writeStream.format("text")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+    """Entries (column ``value``) of a stream, each exactly once; returns the writer.
+
+    After a failure the engine gives the last batch again under its old number, so nothing is written twice.
+    """
+    write = lambda batch, number: write_transcript_batch(batch, number, path)
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def read_transcript(spark: SparkSession, path: str) -> DataFrame:
+    """All entries (column ``value``) of a streamed transcript."""
+    return spark.read.schema("value string, batch_id bigint").text(path).select("value")
 
 
 def write_results(boundaries: DataFrame, predictions: DataFrame, stats: DataFrame, path: str, form: str = "parquet") -> None:
@@ -68,10 +78,34 @@ def read_results(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{table}")
 
 
-def frozen_set(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A window set made once and reused: written only when no finished set is there."""
+def fingerprint(df: DataFrame) -> tuple[int, str]:
+    """Rows of a table and a hash of their content that does not depend on their order."""
+    row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns])
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("h")).first()
+    return found["n"], str(found["h"] or 0)
+
+
+def frozen_set(spark: SparkSession, path: str, make: Callable[[], DataFrame], seed: int | None = None, recipe: object = None) -> DataFrame:
+    """A window set made once and reused, tied to its ``seed`` and ``recipe``.
+
+    The set goes to a folder of its own and the manifest (seed, recipe, rows, content hash, folder) is published last, so
+    a broken first write leaves no manifest and the set is made again. A set of another seed or recipe is an error, and so
+    is one whose files no longer have the content that the manifest names.
+    """
+    wanted = {"seed": seed, "recipe": None if recipe is None else repr(recipe)}
     try:
-        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").limit(1).count()
-    except AnalysisException:
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        manifest = json.loads(spark.read.option("wholetext", True).text(f"{path}/manifest").first()["value"])
+    except (AnalysisException, TypeError):  # no manifest, or an empty one
+        folder = f"set-{uuid.uuid4().hex}"
+        make().write.parquet(f"{path}/{folder}")
+        rows, content = fingerprint(spark.read.parquet(f"{path}/{folder}"))
+        manifest = wanted | {"rows": rows, "content": content, "folder": folder}
+        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        return spark.read.parquet(f"{path}/{folder}")
+    for name, value in wanted.items():
+        if manifest[name] != value:
+            raise ValueError(f"the set at {path} was made with {name} {manifest[name]}, not {value}")
+    found = spark.read.parquet(f"{path}/{manifest['folder']}")
+    if fingerprint(found) != (manifest["rows"], manifest["content"]):
+        raise ValueError(f"the set at {path} has changed since it was made")
+    return found

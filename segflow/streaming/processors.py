@@ -3,15 +3,15 @@
 One key is one live stream, whose rate is that of speech; a trigger holds as much of it
 as the source admits (``maxFilesPerTrigger``).  Backfills of any size use the batch forms,
 which give the same rows.  Rows are taken in clock order inside a trigger; rows that arrive
-behind the watermark are dropped by the engine.
+behind the watermark are dropped by the engine.  State is typed: one value per key, and lists
+and maps whose entries go when no rule can ask for them any more.
 """
 
 from __future__ import annotations
 
-import base64
-import json
+import bisect
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -42,51 +42,73 @@ def with_event_time(df: DataFrame, clock_us, lateness: str = "10 seconds") -> Da
     return df.withColumn("event_time", F.timestamp_micros(base + clock_us)).withWatermark("event_time", lateness)
 
 
-def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, event_time: str = "") -> DataFrame:
+    """``event_time`` names the output column that a stateful step after this one takes its watermark from."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # the runner that prepares a stateful query does not see files added to the session,
     # so the processor travels with its code
     cloudpickle.register_pickle_by_value(segflow)
     try:
-        return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+        return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime", eventTimeColumnName=event_time)
     finally:
         cloudpickle.unregister_pickle_by_value(segflow)
 
 
+def in_order(batches: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
+    """The rows of a key in a trigger, by ``order``."""
+    frames = list(batches)
+    frame = frames[0] if len(frames) == 1 else pd.concat(frames)
+    if len(frame) < 2:
+        return frame
+    return frame.iloc[np.lexsort([frame[c].to_numpy() for c in reversed(order)])]
+
+
+def _listed(column: pd.Series) -> list:
+    """Values of a column with None where there is none."""
+    values = column.tolist()
+    return [None if v is None or v is pd.NaT or v != v else v for v in values] if column.hasnans else values
+
+
 class _Processor(StatefulProcessor):
-    """State as one JSON value per key; rows of a trigger in the order of ``order``."""
+    """Typed state of one row per key (``fields`` and their types); rows of a trigger in the order of ``order``."""
 
     order: list[str] = []
+    fields: dict[str, str] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("state", "json string")
+        self.value = handle.getValueState("state", ", ".join(f"{n} {t}" for n, t in self.fields.items()))
 
-    def load(self):
-        return json.loads(self.value.get()[0]) if self.value.exists() else None
+    def fresh(self) -> dict:
+        """State of a key that was not seen before."""
+        raise NotImplementedError
 
-    def save(self, state) -> None:
-        if state is None:
-            self.value.clear()
-        else:
-            self.value.update((json.dumps(state),))
+    def load(self) -> dict:
+        row = self.value.get()
+        return self.fresh() if row is None else dict(zip(self.fields, row))
 
-    def rows(self, batches: Iterator[pd.DataFrame]) -> list[dict]:
-        frame = pd.concat(list(batches)).sort_values(self.order, kind="stable")
-        return frame.astype(object).where(frame.notna(), None).to_dict("records")
+    def save(self, state: dict) -> None:
+        self.value.update(tuple(state[n] for n in self.fields))
 
-    def out(self, key, rows: list[dict], columns: list[str]) -> Iterator[pd.DataFrame]:
+    def rows(self, batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> Iterator[tuple]:
+        frame = in_order(batches, self.order)
+        return zip(*(_listed(frame[c]) for c in columns))
+
+    def out(self, key, rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
         if rows:
-            frame = pd.DataFrame(rows)
+            frame = pd.DataFrame(rows, columns=columns[1:])
             frame.insert(0, columns[0], key[0])
-            yield frame[columns]
+            yield frame
 
-    def retime(self, at_ms: int | None) -> None:
-        """One timer per key."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
+    def retime(self, state: dict, at_ms: int | None) -> None:
+        """One timer per key, kept in ``state["timer"]``."""
+        if at_ms == state["timer"]:
+            return
+        if state["timer"] is not None:
+            self.handle.deleteTimer(state["timer"])
         if at_ms is not None:
             self.handle.registerTimer(at_ms)
+        state["timer"] = at_ms
 
     def close(self) -> None:
         pass
@@ -102,48 +124,50 @@ class LineProcessor(_Processor):
     """
 
     order = ["at_us", "event_id"]
+    columns = ["stream_id", "line", "start", "end", "updates"]
     schema = "stream_id bigint, line bigint, start bigint, end bigint, updates bigint"
+    fields = {"line": "bigint", "open": "boolean", "begun": "bigint", "latest": "bigint", "spoken": "boolean", "updates": "bigint", "timer": "bigint"}
 
     def __init__(self, rule1_us: int, rule2_us: int, rule3_us: int):
         self.rule1, self.rule2, self.rule3 = rule1_us, rule2_us, rule3_us
 
-    def _closed(self, s: dict) -> dict:
-        return {"line": s["line"], "start": s["begun"], "end": s["latest"], "updates": s["updates"]}
+    def fresh(self) -> dict:
+        return {"line": 0, "open": False, "begun": 0, "latest": 0, "spoken": False, "updates": 0, "timer": None}
+
+    def _closed(self, s: dict) -> tuple:
+        s["open"] = False
+        return s["line"], s["begun"], s["latest"], s["updates"]
+
+    def _due(self, s: dict) -> int | None:
+        return clock_ms(s["latest"] + (self.rule2 if s["spoken"] else self.rule1)) if s["open"] else None
 
     def handleInputRows(self, key, rows, timerValues):
-        state, out = self.load() or {"line": 0, "open": False}, []
-        for r in self.rows(rows):
-            t = int(r["at_us"])
-            if r["kind"] != UPDATE:
-                if state["open"]:
-                    out.append(self._closed(state))
-                state["open"] = False
+        s, out = self.load(), []
+        for t, spoken, kind in self.rows(rows, ["at_us", "spoken", "kind"]):
+            if kind != UPDATE:
+                if s["open"]:
+                    out.append(self._closed(s))
                 continue
-            if state["open"]:
-                silence = t - state["latest"]
-                ends = silence >= self.rule1 or (state["spoken"] and silence >= self.rule2) or t - state["begun"] >= self.rule3
-                if ends:
-                    out.append(self._closed(state))
-                    state["open"] = False
-            if not state["open"]:
-                state = {"line": state["line"] + 1, "open": True, "begun": t, "latest": t, "spoken": False, "updates": 0}
-            state["latest"] = max(state["latest"], t)
-            state["spoken"] = state["spoken"] or bool(r["spoken"])
-            state["updates"] += 1
-        self.save(state)
-        rule = self.rule2 if state.get("spoken") else self.rule1
-        self.retime(clock_ms(state["latest"] + rule) if state["open"] else None)
-        yield from self.out(key, out, ["stream_id", "line", "start", "end", "updates"])
+            if s["open"]:
+                silence = t - s["latest"]
+                if silence >= self.rule1 or (s["spoken"] and silence >= self.rule2) or t - s["begun"] >= self.rule3:
+                    out.append(self._closed(s))
+            if not s["open"]:
+                s.update(line=s["line"] + 1, open=True, begun=t, latest=t, spoken=False, updates=0)
+            s["latest"] = max(s["latest"], t)
+            s["spoken"] = s["spoken"] or bool(spoken)
+            s["updates"] += 1
+        self.retime(s, self._due(s))
+        self.save(s)
+        yield from self.out(key, out, self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state, out = self.load(), []
-        if state and state["open"]:
-            rule = self.rule2 if state["spoken"] else self.rule1
-            if expiredTimerInfo.getExpiryTimeInMs() >= clock_ms(state["latest"] + rule):
-                out.append(self._closed(state))
-                state["open"] = False
-                self.save(state)
-        yield from self.out(key, out, ["stream_id", "line", "start", "end", "updates"])
+        s, out = self.load(), []
+        s["timer"] = None
+        if s["open"] and expiredTimerInfo.getExpiryTimeInMs() >= self._due(s):
+            out.append(self._closed(s))
+        self.save(s)
+        yield from self.out(key, out, self.columns)
 
 
 def stream_lines(
@@ -158,45 +182,64 @@ def stream_lines(
 
 
 class GateProcessor(_Processor):
-    """Holds back quiet chunks, replays the last few when speech starts, and counts resets."""
+    """Holds back quiet chunks, replays the last few when speech starts, and counts resets.
+
+    The held chunks are a list that never has more than ``pre_roll`` entries. Columns of ``carry`` travel with a chunk;
+    with them the time at which a chunk was let through is handed on, as a replayed chunk may be older than the watermark.
+    """
 
     order = ["frame"]
-    schema = "stream_id bigint, frame bigint, audio_clock bigint, session bigint"
+    fields = {"quiet": "bigint", "clock": "bigint", "session": "bigint", "was": "boolean"}
 
-    def __init__(self, pre_roll: int, reset_gap: int):
-        self.pre_roll, self.reset_gap = pre_roll, reset_gap
+    def __init__(self, pre_roll: int, reset_gap: int, carry: Sequence[tuple[str, str]] = ()):
+        self.pre_roll, self.reset_gap, self.carry = pre_roll, reset_gap, [n for n, _ in carry]
+        more = "".join(f", {n} {t}" for n, t in carry)
+        self.held = "frame bigint, ms bigint" + more
+        self.schema = "stream_id bigint, frame bigint, audio_clock bigint, session bigint" + more + (", event_time timestamp" if carry else "")
+        self.columns = ["stream_id", "frame", "audio_clock", "session", *self.carry, *(["event_time"] if carry else [])]
 
-    def handleInputRows(self, key, rows, timerValues):
-        s = self.load() or {"held": [], "quiet": 0, "clock": 0, "session": 0, "was": False}
-        out = []
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getListState("held", self.held)
 
-        def admit(frame: int, ms: int) -> None:
-            s["clock"] += ms
-            out.append({"frame": frame, "audio_clock": s["clock"], "session": s["session"]})
+    def fresh(self) -> dict:
+        return {"quiet": 0, "clock": 0, "session": 0, "was": False}
 
-        for r in self.rows(rows):
-            frame, ms = int(r["frame"]), int(r["ms"])
-            if r["active"]:
+    def handleInputRows(self, key, rows, timerValues):
+        s, out = self.load(), []
+        before = held = [] if s["was"] else list(self.kept.get())
+        for frame, ms, active, when, *more in self.rows(rows, ["frame", "ms", "active", "event_time", *self.carry]):
+            if active:
                 if not s["was"]:
-                    if s["quiet"] - sum(m for _, m in s["held"]) >= self.reset_gap:
+                    if s["quiet"] - sum(h[1] for h in held) >= self.reset_gap:
                         s["session"] += 1
                     s["quiet"] = 0
-                    for held in s["held"]:
-                        admit(*held)
-                    s["held"] = []
-                admit(frame, ms)
+                for f, m, *rest in [*held, (frame, ms, *more)]:
+                    s["clock"] += m
+                    out.append((f, s["clock"], s["session"], *rest, *([when] if self.carry else [])))
+                held = []
             else:
-                s["held"] = [*s["held"], [frame, ms]][-self.pre_roll :]
+                held = [*held, (frame, ms, *more)][-self.pre_roll :] if self.pre_roll else []
                 s["quiet"] += ms
-            s["was"] = bool(r["active"])
+            s["was"] = bool(active)
+        if held is not before:
+            plain = [tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in h) for h in held]
+            self.kept.put(plain) if plain else self.kept.clear()
         self.save(s)
-        yield from self.out(key, out, ["stream_id", "frame", "audio_clock", "session"])
+        yield from self.out(key, out, self.columns)
+
 
+def stream_gate(
+    chunks: DataFrame, pre_roll: int = PRE_ROLL_CHUNKS, reset_gap_ms: int = 1500, lateness: str = "10 seconds", carry: Sequence[str] = ()
+) -> DataFrame:
+    """``chunks``: stream_id, frame, at_us, ms, active.  Needs rows of a stream in frame order across triggers.
 
-def stream_gate(chunks: DataFrame, pre_roll: int = PRE_ROLL_CHUNKS, reset_gap_ms: int = 1500, lateness: str = "10 seconds") -> DataFrame:
-    """``chunks``: stream_id, frame, at_us, ms, active.  Needs rows of a stream in frame order across triggers."""
+    With ``carry`` the named columns and the event time are handed on, for a stateful step after the gate.
+    """
     timed = with_event_time(chunks, F.col("at_us"), lateness)
-    return stateful(timed, "stream_id", GateProcessor(pre_roll, reset_gap_ms), GateProcessor.schema)
+    kinds = [(c, chunks.schema[c].dataType.simpleString()) for c in carry]
+    processor = GateProcessor(pre_roll, reset_gap_ms, kinds)
+    return stateful(timed, "stream_id", processor, processor.schema, "event_time" if carry else "")
 
 
 # -- caption lines ------------------------------------------------------------------------
@@ -205,8 +248,9 @@ def stream_gate(chunks: DataFrame, pre_roll: int = PRE_ROLL_CHUNKS, reset_gap_ms
 class CaptionProcessor(_Processor):
     """Lines of the open utterance of each stream; a timer applies changes that fall due in silence.
 
-    State holds the clocks and word counts of the open utterance and its changes. Lines follow from those arrays by
-    the rule of the batch form; what was not sent yet is emitted.
+    The history of word counts is a list, stamped when the count changes and trimmed to what a change can still ask for
+    (``decode_lag`` + ``settle`` + ``look_back`` seconds and one older stamp); waiting changes are a map that loses an
+    entry when it is applied. So state does not grow with an utterance but for the words of its open line.
     """
 
     order = ["clock_s", "kind", "seq", "change_s"]
@@ -215,66 +259,101 @@ class CaptionProcessor(_Processor):
         "stream_id bigint, emitted_s double, text string, start_s double, duration_s double, "
         "confidence double, cause string, change_s double, late_changes bigint"
     )
+    fields = {
+        "memory": "array<string>", "words": "array<string>", "known": "int", "shown": "int", "start": "double",
+        "clock": "double", "confidence": "double", "late": "bigint", "timer": "bigint",
+    }
 
-    def __init__(self, decode_lag: float, settle: float):
-        self.decode_lag, self.settle = decode_lag, settle
+    def __init__(self, decode_lag: float, settle: float, look_back: float = 3.0):
+        self.decode_lag, self.settle, self.look_back = decode_lag, settle, look_back
 
-    def fresh(self, memory=(), begun=0.0, late=0) -> dict:
-        return {"memory": list(memory), "begun": begun, "late": late, "ups": [], "marks": [], "sent": 0, "words": []}
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.stamps = handle.getListState("stamps", "clock_s double, known int")
+        self.waiting = handle.getMapState("waiting", "change_s double, seen_s double", "times int")
+
+    def fresh(self) -> dict:
+        return {"memory": [], "words": [], "known": 0, "shown": 0, "start": 0.0, "clock": None, "confidence": None, "late": 0, "timer": None}
 
-    def _new_lines(self, s: dict, texts: dict[int, list[str]], ended: bool) -> list[dict]:
-        clocks, known = (np.array([u[k] for u in s["ups"]]) for k in (0, 1))
-        at, seen = (np.array([m[k] for m in s["marks"]], dtype=float) for k in (0, 1))
-        if not len(clocks):
-            return []
-        lines, late = captions.word_ranges(clocks, known.astype(np.int64), ended, at, seen, s["begun"], self.decode_lag, self.settle)
+    def _due(self, mark: tuple) -> float:
+        return max(mark[1], mark[0] + (self.decode_lag + self.settle))
+
+    def _resolved(self, s: dict, stamps: list, waiting: dict, final: bool) -> list[tuple]:
+        """Lines of the changes that are due at the clock of the state, in the order of their times."""
         out = []
-        for place, low, high, start, change in lines[s["sent"] :]:
-            clock, _, confidence = s["ups"][place]
-            words = texts.get(place, s["words"])[low:high]
-            end = clock if change is None else change
-            out.append(
-                {"emitted_s": clock, "text": " ".join(words), "start_s": start, "duration_s": max(end - start, 0.0), "confidence": confidence,
-                 "cause": "final" if change is None else "change", "change_s": change, "late_changes": s["late"] + late}
-            )
-        s["sent"] = len(lines)
-        s["counted"] = late
+        for mark in sorted(m for m in waiting if final or s["clock"] >= self._due(m)):
+            for _ in range(waiting.pop(mark)):
+                if mark[0] <= s["start"]:
+                    s["late"] += 1
+                    continue
+                at = bisect.bisect_right(stamps, mark[0] + self.decode_lag, key=lambda e: e[0])
+                cut = min(stamps[at - 1][1] if at else 0, s["known"])
+                if cut > s["shown"]:
+                    out.append(self._line(s, cut, "change", mark[0]))
+                    s.update(words=s["words"][cut - s["shown"] :], shown=cut, start=mark[0])
         return out
 
+    def _line(self, s: dict, cut: int, cause: str, change: float | None) -> tuple:
+        text = " ".join(s["words"][: cut - s["shown"]])
+        end = s["clock"] if change is None else change
+        return s["clock"], text, s["start"], max(end - s["start"], 0.0), s["confidence"], cause, change, s["late"]
+
+    def _kept(self, stamps: list, clock: float) -> list:
+        """History without the stamps that are older than the newest at or before the cutoff."""
+        cutoff = clock - (self.decode_lag + self.settle + self.look_back)
+        return stamps[max(bisect.bisect_right(stamps, cutoff, key=lambda e: e[0]) - 1, 0) :]
+
     def handleInputRows(self, key, rows, timerValues):
-        s, out, texts = self.load() or self.fresh(), [], {}
-        for r in self.rows(rows):
-            if r["kind"] == captions.CHANGE:
-                s["marks"].append([r["change_s"], r["clock_s"]])
+        s, out = self.load(), []
+        stamps, waiting = list(self.stamps.get()), {tuple(k): v[0] for k, v in self.waiting.iterator()}
+        before = (list(stamps), dict(waiting))
+        for clock, kind, change, partial, final, confidence in self.rows(rows, ["clock_s", "kind", "change_s", "partial", "final", "confidence"]):
+            if kind == captions.CHANGE:
+                waiting[change, clock] = waiting.get((change, clock), 0) + 1
                 continue
-            ended = r["final"] is not None
-            raw = ((r["final"] if ended else r["partial"]) or "").split()
-            s["words"] = raw[captions.replayed(s["memory"], raw) :]
-            texts[len(s["ups"])] = s["words"]
-            s["ups"].append([r["clock_s"], len(s["words"]), r["confidence"]])
+            ended = final is not None
+            raw = ((final if ended else partial) or "").split()
+            fresh = raw[captions.replayed(s["memory"], raw) :]
+            if not ended and len(fresh) != s["known"]:
+                stamps = self._kept([*stamps, (clock, len(fresh))], clock)
+            s.update(clock=clock, confidence=confidence, known=len(fresh), words=fresh[s["shown"] :])
+            out += self._resolved(s, stamps, waiting, ended)
             if ended:
-                out += self._new_lines(s, texts, True)
-                s, texts = self.fresh(raw[-OVERLAP_WORDS:], r["clock_s"], s["late"] + s["counted"]), {}
-        out += self._new_lines(s, texts, False)
-        self.save(s)
-        self._wait(s)
+                if s["known"] > s["shown"]:
+                    out.append(self._line(s, s["known"], "final", None))
+                s.update(memory=raw[-OVERLAP_WORDS:], words=[], known=0, shown=0, start=clock)
+                stamps = []
+        self._store(s, stamps, waiting, before)
         yield from self.out(key, out, self.columns)
 
-    def _wait(self, s: dict) -> None:
-        latest = s["ups"][-1][0] if s["ups"] else s["begun"]
-        due = [t for t in (max(seen, at + self.decode_lag + self.settle) for at, seen in s["marks"]) if t > latest]
-        self.retime(clock_ms(min(due) * 1e6) if due else None)
+    def _store(self, s: dict, stamps: list, waiting: dict, before: tuple) -> None:
+        """Write what changed, and wait for the first change that falls due after the latest update."""
+        if stamps != before[0]:
+            same = len(before[0])
+            if stamps[:same] == before[0]:
+                self.stamps.appendList(stamps[same:])
+            elif stamps:
+                self.stamps.put(stamps)
+            else:
+                self.stamps.clear()
+        for mark in before[1].keys() - waiting.keys():
+            self.waiting.removeKey(mark)
+        for mark, times in waiting.items():
+            if before[1].get(mark) != times:
+                self.waiting.updateValue(mark, (times,))
+        due = [t for t in map(self._due, waiting) if s["clock"] is not None and t > s["clock"]]
+        self.retime(s, clock_ms(min(due) * 1e6) if due else None)
+        self.save(s)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         s = self.load()
-        if not s or not s["ups"]:
-            return
-        clock = (expiredTimerInfo.getExpiryTimeInMs() - clock_ms(0)) / 1000.0
+        s["timer"] = None
+        stamps, waiting = list(self.stamps.get()), {tuple(k): v[0] for k, v in self.waiting.iterator()}
+        before = (list(stamps), dict(waiting))
         # silence: the last words stand as an update at this time
-        s["ups"].append([max(clock, s["ups"][-1][0]), *s["ups"][-1][1:]])
-        out = self._new_lines(s, {}, False)
-        self.save(s)
-        self._wait(s)
+        s["clock"] = max((expiredTimerInfo.getExpiryTimeInMs() - clock_ms(0)) / 1000.0, s["clock"])
+        out = self._resolved(s, stamps, waiting, False)
+        self._store(s, stamps, waiting, before)
         yield from self.out(key, out, self.columns)
 
 
@@ -282,7 +361,16 @@ def stream_captions(
     updates: DataFrame, changes: DataFrame, decode_lag: float = DECODE_LAG_S, settle: float = SETTLE_S, lateness: str = "10 seconds"
 ) -> DataFrame:
     """Lines of live streams from recogniser updates and detected changes (columns as in the batch form)."""
-    rows = captions.merged(updates, changes, "stream_id", partial=F.col("partial"), final=F.col("final"))
+    return stream_caption_rows(caption_input(updates, changes), decode_lag, settle, lateness)
+
+
+def caption_input(updates: DataFrame, changes: DataFrame) -> DataFrame:
+    """Both inputs as rows of one shape."""
+    return captions.merged(updates, changes, "stream_id", partial=F.col("partial"), final=F.col("final"))
+
+
+def stream_caption_rows(rows: DataFrame, decode_lag: float = DECODE_LAG_S, settle: float = SETTLE_S, lateness: str = "10 seconds") -> DataFrame:
+    """The same from rows of ``caption_input``. A change may be detected up to three seconds after its words settled."""
     rows = with_event_time(rows, (F.col("clock_s") * 1e6).cast("long"), lateness)
     return stateful(rows, "stream_id", CaptionProcessor(decode_lag, settle), CaptionProcessor.schema)
 
@@ -303,21 +391,25 @@ class PartialProcessor(_Processor):
 
     order = ["at_us", "event_id"]
     schema = "stream_id bigint, at_us bigint, text string"
+    fields = {"drawn": "string", "next": "bigint", "committed": "string"}
 
     def __init__(self, interval_us: int):
         self.interval = interval_us
 
+    def fresh(self) -> dict:
+        return {"drawn": "", "next": None, "committed": ""}
+
     def handleInputRows(self, key, rows, timerValues):
-        state, out = self.load() or {"drawn": "", "next": None, "committed": ""}, []
-        for row in self.rows(rows):
-            left = unseen(row["text"] or "", state["committed"])
+        state, out = self.load(), []
+        for at, text, promote in self.rows(rows, ["at_us", "text", "promote"]):
+            left = unseen(text or "", state["committed"])
             if left is None:
-                left, state["committed"] = row["text"] or "", ""
-            if left != state["drawn"] and (state["next"] is None or row["at_us"] >= state["next"]):
-                state.update(drawn=left, next=int(row["at_us"]) + self.interval)
-                out.append({"at_us": int(row["at_us"]), "text": left})
-            if row["promote"]:
-                state.update(committed=" ".join(filter(None, [state["committed"], row["promote"]])), drawn="")
+                left, state["committed"] = text or "", ""
+            if left != state["drawn"] and (state["next"] is None or at >= state["next"]):
+                state.update(drawn=left, next=at + self.interval)
+                out.append((at, left))
+            if promote:
+                state.update(committed=" ".join(filter(None, [state["committed"], promote])), drawn="")
         self.save(state)
         yield from self.out(key, out, ["stream_id", "at_us", "text"])
 
@@ -361,10 +453,11 @@ class DetectProcessor(_Processor):
     one window as bytes, and four numbers.
     """
 
-    order = ["at_us", "seq"]
     schema = "stream_id bigint, time_s double, prob double, detected_at_s double"
+    fields = {"audio": "binary", "total": "bigint", "next": "bigint", "last": "double", "session": "bigint"}
 
-    def __init__(self, scorer: Callable[[], Callable], rate: int, window: int, hop: int, threshold: float, k: int, left: int, right: int, radius: int, gap_s: float, frame_s: float, catch_up: int):
+    def __init__(self, scorer: Callable[[], Callable], rate: int, window: int, hop: int, threshold: float, k: int, left: int, right: int, radius: int, gap_s: float, frame_s: float, catch_up: int, order: Sequence[str] = ("at_us", "seq")):
+        self.order = list(order)
         self.scorer, self.rate, self.window, self.hop = scorer, rate, window, hop
         self.peaks = dict(k=k, threshold=threshold, left=left, right=right, radius=radius)
         self.gap_s, self.frame_s, self.catch_up = gap_s, frame_s, catch_up
@@ -373,15 +466,19 @@ class DetectProcessor(_Processor):
         super().init(handle)
         self.score = self.scorer()
 
+    def fresh(self) -> dict:
+        return {"audio": b"", "total": 0, "next": self.window, "last": None, "session": 0}
+
     def handleInputRows(self, key, rows, timerValues):
-        state = self.load() or {"audio": "", "total": 0, "next": self.window, "last": None, "session": 0}
-        frame, out = pd.concat(list(rows)).sort_values(self.order, kind="stable"), []
-        for session, chunk in frame.groupby((frame["session"] != frame["session"].shift()).cumsum(), sort=False):
-            number = int(chunk["session"].iloc[0])
+        state, frame, out = self.load(), in_order(rows, self.order), []
+        sessions = frame["session"].to_numpy()
+        edges = [0, *(np.flatnonzero(sessions[1:] != sessions[:-1]) + 1).tolist(), len(frame)]
+        for low, high in zip(edges, edges[1:]):
+            number = int(sessions[low])
             if number != state["session"]:
-                state.update(audio="", next=state["total"] + self.window, session=number)
-            held = np.frombuffer(base64.b64decode(state["audio"]))
-            parts = [np.asarray(v, dtype=np.float64) for v in chunk["samples"]]
+                state.update(audio=b"", next=state["total"] + self.window, session=number)
+            held = np.frombuffer(bytes(state["audio"]))
+            parts = [np.asarray(v, dtype=np.float64) for v in frame["samples"].iloc[low:high]]
             audio = np.concatenate([held, *parts])
             begin = state["total"] - len(held)
             totals = state["total"] + np.cumsum([len(p) for p in parts])
@@ -395,14 +492,13 @@ class DetectProcessor(_Processor):
                 for t, p, e in zip(times.tolist(), value.tolist(), ends[at].tolist()):
                     if state["last"] is None or abs(t - state["last"]) >= self.gap_s:
                         state["last"] = t
-                        out.append({"time_s": t, "prob": p, "detected_at_s": e / self.rate})
-            state.update(total=int(totals[-1]), audio=base64.b64encode(audio[-self.window :].tobytes()).decode())
+                        out.append((t, p, e / self.rate))
+            state.update(total=int(totals[-1]), audio=audio[-self.window :].tobytes())
         self.save(state)
         yield from self.out(key, out, ["stream_id", "time_s", "prob", "detected_at_s"])
 
 
-def stream_changes(
-    chunks: DataFrame,
+def _detector(
     scorer: Callable[[], Callable],
     rate: int = 16000,
     window_s: float = 3.0,
@@ -415,15 +511,33 @@ def stream_changes(
     gap_s: float = 1.0,
     frame_s: float = FRAME_S,
     catch_up: int = 8,
-    lateness: str = "10 seconds",
-) -> DataFrame:
-    """``chunks``: stream_id, seq, at_us, session, samples (gated audio)."""
-    if hop_s <= 0:
-        raise ValueError("hop_s must be > 0")
+    order: Sequence[str] = ("at_us", "seq"),
+) -> DetectProcessor:
+    if int(hop_s * rate) < 1:
+        raise ValueError("a hop must be a sample or more")
     if left_s + right_s >= window_s:
-        raise ValueError("left_s + right_s must be < window_s")
-    processor = DetectProcessor(
-        scorer, rate, int(window_s * rate), int(hop_s * rate), threshold, k, int(left_s / frame_s), int(right_s / frame_s), max(1, int(radius_s / frame_s)), gap_s, frame_s, catch_up
+        raise ValueError("the margins leave nothing of the window")
+    frames = lambda seconds: int(seconds / frame_s)
+    return DetectProcessor(
+        scorer, rate, int(window_s * rate), int(hop_s * rate), threshold, k, frames(left_s), frames(right_s), max(1, frames(radius_s)), gap_s, frame_s, catch_up, order
     )
+
+
+def stream_changes(chunks: DataFrame, scorer: Callable[[], Callable], *settings, lateness: str = "10 seconds", **named) -> DataFrame:
+    """``chunks``: stream_id, seq, at_us, session, samples (gated audio); settings as in ``_detector``."""
+    processor = _detector(scorer, *settings, **named)
     timed = with_event_time(chunks, F.col("at_us"), lateness)
     return stateful(timed, "stream_id", processor, DetectProcessor.schema)
+
+
+def stream_live_changes(
+    chunks: DataFrame, scorer: Callable[[], Callable], *settings, pre_roll: int = PRE_ROLL_CHUNKS, reset_gap_ms: int = 1500, lateness: str = "10 seconds", **named
+) -> DataFrame:
+    """Raw chunks in, detected changes out: the gate and the detector are two stateful steps of one query.
+
+    ``chunks``: stream_id, frame, at_us, ms, active, samples. The gate hands on event time, so the detector's watermark
+    follows the gate's; it takes the admitted chunks by the gate's audio clock.
+    """
+    gated = stream_gate(chunks, pre_roll, reset_gap_ms, lateness, carry=["samples"])
+    processor = _detector(scorer, *settings, order=["audio_clock"], **named)
+    return stateful(gated, "stream_id", processor, DetectProcessor.schema)

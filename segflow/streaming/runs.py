@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,29 +19,37 @@ def parts_to_stream(spark: SparkSession, parts: list[DataFrame], label: str, fil
     return reader.parquet(path)
 
 
-def in_triggers(spark: SparkSession, df: DataFrame, at: str, label: str, triggers: int = 3) -> DataFrame:
-    """``df`` as a stream of at least ``triggers`` micro-batches in the order of ``at``.
+#: Rows that one trigger of a prepared stream takes at most, about.
+TRIGGER_ROWS = 500_000
+
+
+def in_triggers(spark: SparkSession, df: DataFrame, at: str, label: str, rows: int = TRIGGER_ROWS) -> DataFrame:
+    """``df`` as a stream of micro-batches of about ``rows`` rows, two at least, in the order of ``at``.
 
     Each part is dealt evenly over as many files as a trigger takes, so no row comes behind the watermark of a part
-    before it.
+    before it, and what a key has in memory is bounded by the size of a trigger, not by its history.
     """
-    rows = stable(df)
-    marks = rows.select(F.percentile_approx(at, [i / triggers for i in range(1, triggers)], F.lit(1000)).alias("m")).first()["m"] or []
+    frame = stable(df)
+    count = frame.count()
+    triggers = max(2, -(-count // rows))
+    marks = frame.select(F.percentile_approx(at, [i / triggers for i in range(1, triggers)], F.lit(max(1000, 10 * triggers))).alias("m")).first()["m"] or []
     edges = [None, *sorted(set(marks)), None]
-    files, parts = min(8, max(1, rows.count() // (8 * len(edges)))), []
+    files, parts = min(8, max(1, count // (8 * len(edges)))), []
     for low, high in zip(edges, edges[1:]):
-        part = rows if low is None else rows.where(F.col(at) >= low)
+        part = frame if low is None else frame.where(F.col(at) >= low)
         parts.append((part if high is None else part.where(F.col(at) < high)).repartition(files))
     return parts_to_stream(spark, parts, label, files)
 
 
-def drained(spark: SparkSession, stream: DataFrame, label: str, sink: Callable | None = None) -> DataFrame:
+def drained(spark: SparkSession, stream: DataFrame, label: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run the stream over what is available into a file sink and read the result.
 
+    With the paths of an earlier run the query goes on where that one stopped.
+
     Offsets, state and sink live in the shared folder, so a lost executor or driver
     resumes where it was.
     """
-    out, checkpoint = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-checkpoint")
+    out, checkpoint = out or scratch_path(spark, f"{label}-out"), checkpoint or scratch_path(spark, f"{label}-checkpoint")
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)

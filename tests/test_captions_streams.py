@@ -236,3 +236,44 @@ def test_a_commit_clears_the_screen(spark):
     got = drained(spark, processors.stream_partials(parts_to_stream(spark, [frame.coalesce(1)], "p")), "parts").collect()
     assert [(r.at_us, r.text) for r in sorted(got, key=lambda r: r.at_us)] == [(0, "a"), (2_000_000, "b")]
     assert processors.unseen("a b", "a") == "b" and processors.unseen("c", "a") is None
+
+
+def test_gate_and_detector_go_on_after_a_restart(spark, tmp_path):
+    rng, active, chunks = random.Random(12), False, []
+    for i in range(240):
+        active = active if rng.random() < 0.8 else not active
+        chunks.append((1, i, i * 100_000, 100, active, [rng.random() for _ in range(5)]))
+    df = spark.createDataFrame(chunks, "stream_id long, frame long, at_us long, ms long, active boolean, samples array<double>")
+    (tmp_path / "in").mkdir()
+    settings = dict(rate=10, window_s=3.0, hop_s=0.5, threshold=0.55, k=5, left_s=0.5, right_s=1.0, radius_s=0.31, gap_s=1.0, frame_s=0.1)
+    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = processors.stream_live_changes(read, lambda: lambda batch: batch, pre_roll=4, reset_gap_ms=500, **settings)
+    plain = lambda rows: sorted((round(r.time_s, 6), round(r.prob, 6), round(r.detected_at_s, 6)) for r in rows)
+    for low, high in ((0, 79), (80, 130), (131, 239)):  # a run of its own each, from the checkpoint of the one before
+        df.where(F.col("frame").between(low, high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = drained(spark, found, "live", str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    gated = literal_gate([(c[1], c[3], c[4]) for c in chunks], 4, 500)
+    rows = [(1, seq, clock * 1000, session, chunks[frame][5]) for seq, (frame, clock, session) in enumerate(gated)]
+    once = spark.createDataFrame(rows, "stream_id long, seq long, at_us long, session int, samples array<double>").coalesce(1)
+    want = drained(spark, processors.stream_changes(parts_to_stream(spark, [once], "once"), lambda: lambda batch: batch, **settings), "once")
+    assert plain(got.collect()) == plain(want.collect()) and got.count() > 3
+
+
+def test_state_of_an_endless_utterance_stays_small(spark, tmp_path):
+    rng, updates, changes, words = random.Random(14), [], [], []
+    for i in range(1, 601):
+        clock = round(i / 10, 3)
+        words = [*words, rng.choice("abcdefg")] if rng.random() < 0.7 else words
+        updates.append((1, i, clock, " ".join(words), None, 0.5))
+        if i % 20 == 0:
+            changes.append((1, round(clock - 1.003, 4), clock))
+    a, b = frames(spark, updates, changes)
+    merged = processors.caption_input(a, b)
+    parts = [merged.where((F.col("clock_s") > lo) & (F.col("clock_s") <= lo + 20)).coalesce(1) for lo in (0, 20, 40)]
+    stream = processors.stream_caption_rows(parts_to_stream(spark, parts, "endless", 1))
+    got = drained(spark, stream, "endless", str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    strip = lambda rows: sorted((r[0], r[2], r[3], r[5]) for r in rows)
+    assert strip(plain(got.collect())) == strip(literal(updates, changes)) and got.count() > 20
+    entries = lambda name: spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "checkpoint"))
+    assert 0 < entries("stamps").count() <= 41  # of 3.9 seconds, and one older
+    assert entries("waiting").count() <= 1

@@ -62,11 +62,27 @@ def test_transcript_fields(spark):
     assert b.endswith('"confidence":0.5,"duration_seconds":2.0,"segment_start_seconds":0.123}')
 
 
-def test_stream_transcript(spark, tmp_path):
-    spark.range(5).select(F.col("id").cast("string").alias("value")).coalesce(1).write.text(str(tmp_path / "in"))
-    source = spark.readStream.schema("value string").text(str(tmp_path / "in"))
-    sinks.stream_transcript(source, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.text(str(tmp_path / "out")).count() == 5
+def test_stream_transcript_writes_a_repeated_batch_once(spark, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), tmp_path / "cp"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+
+    def run(low, high):
+        spark.range(low, high).select(F.col("id").cast("string").alias("value")).coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+        sinks.stream_transcript(source, out, str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+
+    run(0, 5)
+    run(5, 8)
+    values = lambda: sorted(int(r.value) for r in sinks.read_transcript(spark, out).collect())
+    assert values() == list(range(8))
+    # the driver fails after the last batch was written and before it was committed: the batch comes again
+    for name in ("1", ".1.crc"):
+        (checkpoint / "commits" / name).unlink(missing_ok=True)
+    run(8, 9)
+    assert values() == list(range(9))
+    sinks.write_transcript_batch(spark.createDataFrame([("7",)], "value string"), 99, out)
+    sinks.write_transcript_batch(spark.createDataFrame([("7",)], "value string"), 99, out)
+    assert values().count(7) == 2  # one from batch 1, one from batch 99
 
 
 def test_frozen_set_is_made_once(spark, tmp_path):
@@ -79,3 +95,28 @@ def test_frozen_set_is_made_once(spark, tmp_path):
     path = str(tmp_path / "set")
     assert sinks.frozen_set(spark, path, make).count() == sinks.frozen_set(spark, path, make).count() == 3
     assert len(calls) == 1
+
+
+def test_frozen_set_is_tied_to_seed_recipe_and_content(spark, tmp_path):
+    path, make = str(tmp_path / "set"), lambda: spark.range(20)
+    assert sinks.frozen_set(spark, path, make, 1, ("a", 0.5)).count() == 20
+    for seed, recipe in ((2, ("a", 0.5)), (1, ("a", 0.6)), (None, None)):
+        with pytest.raises(ValueError, match="was made with"):
+            sinks.frozen_set(spark, path, make, seed, recipe)
+    folder = next(p for p in (tmp_path / "set").iterdir() if p.name.startswith("set-"))
+    spark.range(1).write.mode("append").parquet(str(folder))
+    with pytest.raises(ValueError, match="has changed"):
+        sinks.frozen_set(spark, path, make, 1, ("a", 0.5))
+
+
+def test_a_broken_first_write_is_made_again(spark, tmp_path):
+    path = str(tmp_path / "set")
+
+    def broken():
+        spark.range(7).write.parquet(f"{path}/set-left-behind")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        sinks.frozen_set(spark, path, broken, 1)
+    assert sinks.frozen_set(spark, path, lambda: spark.range(3), 1).count() == 3
+    assert sinks.frozen_set(spark, path, broken, 1).count() == 3
