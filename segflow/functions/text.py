@@ -29,11 +29,8 @@ def split_words(text: Column | str) -> Column:
 
 def decimals(text: Column | str, compat: bool = False) -> Column:
     """``3 point 1 4`` becomes ``3.14``.  ``compat`` also drops the space after the number."""
-    text = F.regexp_replace(
-        _col(text),
-        r"(?iU)\b(?=\d)(?<!\d\s{1,9}point\s{1,9})(\d+)\s+point\s+(?=\d+\b)",
-        "$1" + _POINT,
-    )
+    # a number that follows a point belongs to that match, so it begins no other one
+    text = F.regexp_replace(_col(text), r"(?iU)\b(\d+)\s+point\s+(\d+)\b", f"$1{_POINT}$2")
     text = F.regexp_replace(text, rf"(?U)({_POINT}|(?!^)\G)(\d+)\s+(?=\d+\b)", "$1$2")
     if compat:
         text = F.regexp_replace(text, rf"(?U)({_POINT}\d+)\s+(?=\w)", "$1")
@@ -42,8 +39,9 @@ def decimals(text: Column | str, compat: bool = False) -> Column:
 
 def thousands(text: Column | str, compat: bool = False) -> Column:
     """Commas in runs of four or more digits.  ``compat`` also cuts fraction digits."""
-    guard = "" if compat else r"(?<!\.\d{0,60})"
-    return F.regexp_replace(_col(text), rf"(?U)(?=\d{{4}}){guard}(\d)(?=(?:\d{{3}})+(?!\d))", "$1,")
+    # a run of digits is entered at its start, and goes on where the digits before a comma ended
+    start = r"(?<!\d)" if compat else r"(?<![.\d])"
+    return F.regexp_replace(_col(text), rf"(?U)(?:{start}|(?!^)\G)(\d{{1,3}}?)(?=(?:\d{{3}})+(?!\d))", "$1,")
 
 
 def digit_pairs(text: Column | str) -> Column:

@@ -26,6 +26,7 @@ def test_format_default(spark):
         "": "",
         "i think i": "I think I",
         "3 point 1 4 hello": "3.14 hello",
+        "0." + "1" * 70: "0." + "1" * 70, "3" + " " * 40 + "point" + " " * 40 + "1 point 4": "3.1 point 4", "1234567.1234567": "1,234,567.1234567",
         "3 point 14159": "3.14159",
         "12 34 56": "12 3456",
         "1234567": "1,234,567",
