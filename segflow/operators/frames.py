@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from segflow.functions import signals
-from segflow.operators.ordered import Ordered, head, lag, ordered, total
+from segflow.operators.joins import asof
+from segflow.operators.ordered import Ordered, head, lag, null_safe_join, ordered, total
 from segflow.operators.spacing import mark_spaced
+from segflow.session import stable
 
 #: Frames per cell; a cell and its neighbours' edges are what one window task sorts.
 CELL = 1 << 16
@@ -137,6 +142,49 @@ def newest_due(df: DataFrame, keys: Sequence[str], order: str, limit: int = 8) -
     return head(df, keys, [F.col(order).desc()], limit)
 
 
+# -- energy of sample ranges -----------------------------------------------------
+
+
+def energy_table(chunks: DataFrame, keys: Sequence[str], order: Sequence[str], samples: str) -> DataFrame:
+    """Two-level prefix sums (keys, begin, before, inner) of the squares of chunked streams.
+
+    A chunk is a block: ``begin`` is its first sample of the stream, ``before`` the energy before it and ``inner`` the
+    running energy inside it, from 0. Only lengths and sums are put in order; a chunk without samples is left out.
+    """
+    square = lambda v: v.cast("double") * v.cast("double")
+
+    @F.pandas_udf("array<double>")
+    def inner(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda v: np.concatenate([[0.0], np.cumsum(np.square(np.asarray(v, dtype=np.float64)))]))
+
+    sized = chunks.where(F.size(samples) > 0)
+    sums = sized.select(*keys, *order, F.size(samples).alias("__n"), F.aggregate(samples, F.lit(0.0), lambda acc, v: acc + square(v)).alias("__e"))
+    rows = ordered(sums, keys, order).scan(__upto=total("__n"), __sum=total("__e")).rows()
+    places = rows.select(*keys, *order, (F.col("__upto") - F.col("__n")).alias("begin"), (F.col("__sum") - F.col("__e")).alias("before"))
+    return null_safe_join(places, sized.select(*keys, *order, inner(samples).alias("inner")), [*keys, *order]).select(*keys, "begin", "before", "inner")
+
+
+def range_energy(table: DataFrame, ranges: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame:
+    """``ranges`` with ``energy`` and ``rms`` of the samples [low, high) of their stream, cut to the samples it has.
+
+    Both ends of a range are one lookup each: the block that a place is in, found in time order, and one value of it.
+    A range without samples has energy 0 and no level; a stream without samples too.
+    """
+    keys, names = list(keys), ranges.columns
+    ranges = stable(ranges.withColumn("__range", F.monotonically_increasing_id()))
+    ends = ranges.select(*keys, "__range", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.greatest(F.col(low), F.lit(0)).cast("long").alias("at")), F.struct(F.lit(1).alias("end"), F.greatest(F.col(high), F.lit(0)).cast("long").alias("at")))).alias("e"))
+    blocks = table.select(*keys, F.col("begin").alias("at"), "begin")
+    placed = asof(ends.select(*keys, "__range", "e.end", "e.at"), blocks, keys, "at", "begin", tie="__range")
+    found = null_safe_join(placed.where("begin is not null"), table, [*keys, "begin"])
+    inside = F.least(F.col("at") - F.col("begin"), F.size("inner") - 1).cast("int")
+    upto = F.struct((F.col("before") + F.get("inner", inside)).alias("sum"), (F.col("begin") + inside).alias("at"))
+    both = found.groupBy("__range").agg(F.max(F.when(F.col("end") == 0, upto)).alias("a"), F.max(F.when(F.col("end") == 1, upto)).alias("b"))
+    out = ranges.join(both, "__range", "left")
+    n = F.col("b.at") - F.col("a.at")
+    energy = F.when(n > 0, F.col("b.sum") - F.col("a.sum")).otherwise(F.lit(0.0))
+    return out.select(*names, energy.alias("energy"), F.when(n > 0, F.sqrt(F.greatest(energy, F.lit(0.0)) / n)).alias("rms"))
+
+
 # -- scoring -------------------------------------------------------------------
 
 Scorer = Callable[[np.ndarray], np.ndarray]
@@ -157,7 +205,7 @@ def score_windows(
     is an error.  ``noop`` gives no rows.
     """
     if name not in _SCORERS:
-        raise ValueError(f"Unknown algorithm {name!r}. Available: {sorted(_SCORERS)}")
+        raise ValueError(f"no scorer is registered as {name!r}, known are {sorted(_SCORERS)}")
     factory = _SCORERS[name]
     kept = [c for c in windows.columns if c != wave]
     if name == "noop":
@@ -182,6 +230,37 @@ def score_windows(
     return windows.mapInArrow(run, ddl)
 
 
+def predicted_windows(windows: DataFrame, wave: str, name: str, samples: int, frames: int, out: str = "p", batch: int = 256) -> DataFrame:
+    """The same by Spark's batch inference function: the model is made once per worker and gets tensors (batch, samples).
+
+    A window of another length or a score of another length is an error; a null window has a null score.
+    """
+    if name not in _SCORERS:
+        raise ValueError(f"no scorer is registered as {name!r}, known are {sorted(_SCORERS)}")
+    factory = _SCORERS[name]
+    if name == "noop":
+        return score_windows(windows, wave, name, frames, out)
+
+    def make():
+        scorer = factory()
+
+        def predict(matrix: np.ndarray) -> np.ndarray:
+            scores = np.asarray(scorer(matrix), dtype=np.float64)
+            if scores.shape != (len(matrix), frames):
+                raise ValueError(f"scorer output {scores.shape} is not ({len(matrix)}, {frames})")
+            return scores
+
+        return predict
+
+    score = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch, input_tensor_shapes=[[samples]])
+    kept = [c for c in windows.columns if c != wave]
+    full = windows.where(F.col(wave).isNotNull())
+    # the function reshapes what it gets, so lengths are looked at before
+    sound = F.when(F.size(wave) == samples, F.col(wave)).otherwise(F.raise_error(F.concat(F.lit(f"a window has {samples} samples, not "), F.size(wave).cast("string"))).cast(full.schema[wave].dataType))
+    scored = full.withColumn(wave, sound).select(*kept, score(F.col(wave)).alias(out))
+    return scored.unionByName(windows.where(F.col(wave).isNull()).select(*kept, F.lit(None).cast("array<double>").alias(out)))
+
+
 def replay_predictions(
     scored: DataFrame,
     keys: Sequence[str],

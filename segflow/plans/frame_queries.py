@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from segflow.functions import draw, signals
 from segflow.operators import frames as fr
 from segflow.operators import metrics, turns
-from segflow.operators.ordered import lag, ordered, percentiles
+from segflow.operators.ordered import lag, lead, ordered, percentiles
 from segflow.operators.spacing import mark_spaced, spaced
 from segflow.plans import inputs as I
-from segflow.plans.registry import Tables, query
+from segflow.plans.registry import ORACLES, Tables, query
 
 HOUR_US = 3_600_000_000
 SPAN, HOP = 12, 4  # frames per sliding window, frames between windows
@@ -96,6 +96,17 @@ def embedded(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", signals.as_doubles("embedding").alias("x"))
 
 
+#: Each vector and the one after it, the first after the last.
+_NEXT = "nx AS (SELECT vec_id, coalesce(lead(vec_id) OVER (ORDER BY vec_id), min(vec_id) OVER ()) AS next_id FROM embeddings)"
+
+
+def followed(t: Tables) -> DataFrame:
+    """(vec_id, next_id): every vector with the one after it, the last with the first."""
+    ids = t.embeddings.select("vec_id")
+    rows = ordered(ids, [], ["vec_id"]).scan(next_id=lead("vec_id")).rows()
+    return rows.crossJoin(F.broadcast(ids.agg(F.min("vec_id").alias("__first")))).select("vec_id", F.coalesce("next_id", "__first").alias("next_id"))
+
+
 def exploded(df: DataFrame, array: str, name: str = "v") -> DataFrame:
     """Array as rows (i, value)."""
     return df.select("vec_id", F.posexplode(array).alias("i", name))
@@ -268,6 +279,12 @@ def window_scores(t: Tables) -> DataFrame:
     return exploded(fr.score_windows(embedded(t), "x", "mean_level", 16), "p")
 
 
+@query("f13_batch_scores", ORACLES["f13_window_scores"])
+def batch_scores(t: Tables) -> DataFrame:
+    """The same scorer through batch inference on tensors of one shape."""
+    return exploded(fr.predicted_windows(embedded(t), "x", "mean_level", 64, 16), "p")
+
+
 _REPLAY_PEAKS = f"""{_SLIDING}, k AS (SELECT stream_id, window_no, i AS frame, p[i + 1] AS confidence, window_no * 1.0::DOUBLE + i * 0.25::DOUBLE AS at_s
   FROM sliding, unnest(range(0, {SPAN})) u(i) WHERE p[i + 1] >= 0.1 AND p[i + 1] = list_max(p[greatest(i - 3, 0) + 1:i + 4])),
 n AS (SELECT stream_id, count(*) * 0.25::DOUBLE AS duration_s FROM frames GROUP BY 1)"""
@@ -329,3 +346,21 @@ def emission_latency(t: Tables) -> DataFrame:
 def energy_prefix(t: Tables) -> DataFrame:
     """RMS over a sample range: the range is cut first, so only its samples are read."""
     return embedded(t).select("vec_id", signals.rms(F.slice("x", 9, 40)).alias("rms_active"))
+
+
+_RANGED = "r AS (SELECT k, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS part FROM (SELECT DISTINCT vec_id % 7 AS k FROM embeddings)), q AS (SELECT k, part, (part * part * 37 + k * 11)::BIGINT AS low, (part * part * 37 + k * 11 + part * 90)::BIGINT AS high FROM r)"
+
+
+@query(
+    "w4_range_levels",
+    f"""WITH {_EMB}, s AS (SELECT vec_id % 7 AS k, v, row_number() OVER (PARTITION BY vec_id % 7 ORDER BY vec_id, i) - 1 AS pos FROM (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e)), {_RANGED}
+SELECT q.k, part, low, high, round(coalesce(sum(v * v), 0), 6)::DOUBLE AS energy, round(sqrt(sum(v * v) / count(v)), 6)::DOUBLE AS rms FROM q LEFT JOIN s ON s.k = q.k AND pos >= low AND pos < high GROUP BY ALL""",
+)
+def range_levels(t: Tables) -> DataFrame:
+    """Eight ranges of each of seven streams of vectors, over block borders, from a table of prefix sums."""
+    chunks = embedded(t).withColumn("k", F.col("vec_id") % 7)
+    part = F.col("part")
+    ranges = chunks.select("k").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    low = (part * part * 37 + F.col("k") * 11).cast("long")
+    ranges = ranges.select("k", "part", low.alias("low"), (low + part * 90).alias("high"))
+    return fr.range_energy(fr.energy_table(chunks, ["k"], ["vec_id"], "x"), ranges, ["k"], "low", "high")

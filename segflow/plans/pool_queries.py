@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from segflow.functions import draw
 from segflow.operators import checks, splits, windows
 from segflow.operators.joins import join_small, with_default
+from segflow.operators.ordered import number, ordered
 from segflow.plans import inputs as I
+from segflow.plans.frame_queries import _NEXT, followed
 from segflow.plans.inputs import RATE, u_sql
 from segflow.plans.registry import Tables, query
+from segflow.session import stable
 
 # Clip limits in samples.
 MIN_CLIP, MAX_CLIP, PER_SPEAKER = int(3.5 * RATE), 10 * RATE, 20
@@ -360,9 +363,9 @@ specs AS (SELECT spec_id, kind, floor(a * {SPEAKERS})::BIGINT AS spk_a, CASE WHE
   FROM kinded)"""
 
 
-def specs(t: Tables, recipe: windows.Recipe = windows.Recipe()) -> DataFrame:
+def specs(t: Tables, recipe: windows.Recipe = windows.Recipe(), responses: int = RESPONSES) -> DataFrame:
     """One window specification per event."""
-    return windows.window_specs(t.events.select("event_id"), "event_id", SPEAKERS, RESPONSES, recipe)
+    return windows.window_specs(t.events.select("event_id"), "event_id", SPEAKERS, responses, recipe)
 
 
 @query(
@@ -413,8 +416,8 @@ def small_clips(t: Tables) -> DataFrame:
     return rows.select("clip", "spk", F.size("pcm").alias("len"), "pcm")
 
 
-def small_sides(t: Tables):
-    asked = specs(t, SMALL).withColumn("spk_b", F.when(F.col("kind") == "change", (F.col("spk_a") + 1) % SPEAKERS).otherwise(F.col("spk_a")))
+def small_sides(t: Tables, responses: int = RESPONSES):
+    asked = specs(t, SMALL, responses).withColumn("spk_b", F.when(F.col("kind") == "change", (F.col("spk_a") + 1) % SPEAKERS).otherwise(F.col("spk_a")))
     clips = small_clips(t)
     entries = windows.catalogue(clips, "spk", "clip", "len")
     return asked, entries, clips
@@ -440,7 +443,7 @@ def _sides_sql(least_active: float) -> str:
     """Tables a6, b6 (all tries) and a8, b8 (the tries that are kept) of both sides; B avoids the clip that A took."""
     return f"""{_SPECS}, rule AS (SELECT {least_active}::DOUBLE AS least_active),
 emb AS (SELECT vec_id AS clip, vec_id % {SPEAKERS} AS spk, (CASE WHEN vec_id % 2 = 0 THEN embedding ELSE list_concat(embedding, embedding) END)::DOUBLE[] AS pcm FROM embeddings),
-ent AS (SELECT spk, list(clip ORDER BY clip) AS cs, list(len(pcm) ORDER BY clip) AS ls FROM emb GROUP BY 1),
+ent AS (SELECT spk, list(clip ORDER BY len(pcm), clip) AS cs, list(len(pcm) ORDER BY len(pcm), clip) AS ls FROM emb GROUP BY 1),
 sp AS (SELECT spec_id, kind, spk_a, CASE WHEN kind = 'change' THEN (spk_a + 1) % {SPEAKERS} ELSE spk_a END AS spk_b,
   round((CASE WHEN kind = 'nochange' THEN 3.0 ELSE at_s - gap END) * 40)::INT AS need_a, round((CASE WHEN kind = 'nochange' THEN 0.0 ELSE 3.0 - at_s END) * 40)::INT AS need_b FROM specs),
 {_tries_sql('a')}, taken AS (SELECT spec_id, clip AS taken FROM a8 WHERE pieces = 1), {_tries_sql('b', 'taken')}"""
@@ -487,10 +490,11 @@ def assembled_windows(t: Tables) -> DataFrame:
     """Whole windows: gathered, levelled, faded, placed, reverberated, noised and guarded."""
     from segflow.functions import signals
 
-    asked, entries, clips = small_sides(t)
+    bank = stable(ordered(responses(t), [], ["rir_id"]).scan(__at=number()).rows())
+    asked, entries, clips = small_sides(t, bank.count())
     sides = windows.window_sides(asked, entries, "spk", clips, "clip", "pcm", SMALL)[1]
     df = windows.channels(asked, sides, SMALL)
-    bank = responses(t)
+    bank = bank.select((F.col("__at") - 1).alias("rir_id"), "response")
     df = windows.reverberated(df, bank, "seg_a", "rir_a", span=("a_from", "a_to"))
     df = windows.reverberated(df, bank, "seg_b", "rir_b", span=("b_from", "b_to"))
     df = df.join(windows.with_noise(asked, noise_bank(t), SMALL).select("spec_id", "noise"), "spec_id")
@@ -502,9 +506,8 @@ def assembled_windows(t: Tables) -> DataFrame:
 
 
 def responses(t: Tables) -> DataFrame:
-    """The first embeddings as impulse responses: aligned, faded, unit energy, numbered from 0."""
-    ids = t.embeddings.where(F.col("vec_id") < RESPONSES)
-    return ids.select(F.col("vec_id").alias("rir_id"), windows.prepared_response(F.col("embedding").cast("array<double>"), 32, 8).alias("response"))
+    """The embeddings as impulse responses: aligned, faded, unit energy."""
+    return t.embeddings.select(F.col("vec_id").alias("rir_id"), windows.prepared_response(F.col("embedding").cast("array<double>"), 32, 8).alias("response"))
 
 
 def noise_bank(t: Tables) -> DataFrame:
@@ -526,25 +529,24 @@ def window_turns(t: Tables) -> DataFrame:
 
 @query(
     "g10_reverb_mix",
-    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-r0 AS (SELECT vec_id AS rir, x[list_position(list_transform(x, lambda v: abs(v)), list_max(list_transform(x, lambda v: abs(v)))):][:32] AS h FROM e WHERE vec_id < {RESPONSES}),
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), {_NEXT},
+r0 AS (SELECT vec_id AS rir, x[list_position(list_transform(x, lambda v: abs(v)), list_max(list_transform(x, lambda v: abs(v)))):][:32] AS h FROM e),
 r1 AS (SELECT rir, list_transform(range(0, len(h)), lambda i: h[i + 1] * CASE WHEN i >= len(h) - least(len(h), 8) THEN 0.5 * (1 + cos(pi() * (i - (len(h) - least(len(h), 8))) / greatest(least(len(h), 8) - 1, 1))) ELSE 1 END) AS h FROM r0),
 r2 AS (SELECT rir, list_transform(range(0, 32), lambda i: coalesce(h[i + 1], 0) / sqrt(list_sum(list_transform(h, lambda v: v * v))) * (1 - i / 31)) AS h FROM r1),
-j AS (SELECT vec_id, x, h, 0.2 + (0.6::DOUBLE - 0.2::DOUBLE) * {u_sql(5, 'vec_id')} AS wet FROM e JOIN r2 ON vec_id % {RESPONSES} = rir),
+j AS (SELECT vec_id, x, h, 0.2 + (0.6::DOUBLE - 0.2::DOUBLE) * {u_sql(5, 'vec_id')} AS wet FROM e JOIN nx USING (vec_id) JOIN r2 ON next_id = rir),
 c AS (SELECT *, list_transform(range(0, len(x)), lambda i: list_sum(list_transform(range(0, least(i, 31) + 1), lambda k: x[i - k + 1] * h[k + 1]))) AS y FROM j),
 m AS (SELECT *, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x) + 1e-9) / sqrt(list_sum(list_transform(y, lambda v: v * v)) / len(y) + 1e-9) AS g FROM c),
 z AS (SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: (1 - wet) * x[i] + wet * y[i] * g) AS z FROM m)
 SELECT vec_id, round(sqrt(list_sum(list_transform(z, lambda v: v * v)) / len(z)), 6) AS rms, round(z[1], 6) AS first, round(z[64], 6) AS last FROM z""",
 )
 def reverb_mix(t: Tables) -> DataFrame:
-    """Every embedding convolved with one of the responses at a drawn wet share."""
+    """Every embedding convolved with the response made of the one after it, at a drawn wet share."""
     from segflow.functions import signals
 
     waves = t.embeddings.select(
         "vec_id",
         F.col("embedding").cast("array<double>").alias("wave"),
-        (F.col("vec_id") % RESPONSES).alias("rir_a"),
         draw.between(0.2, 0.6, 5, "vec_id").alias("wet"),
-    )
+    ).join(followed(t).withColumnRenamed("next_id", "rir_a"), "vec_id")
     out = windows.reverberated(waves, responses(t), "wave", "rir_a")
     return out.select("vec_id", signals.rms("wave").alias("rms"), F.get("wave", F.lit(0)).alias("first"), F.get("wave", F.lit(63)).alias("last"))

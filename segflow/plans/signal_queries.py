@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segflow.functions import signals as s
 from segflow.plans.registry import Tables, query
-from segflow.plans.frame_queries import _EMB, embedded, exploded
+from segflow.plans.frame_queries import _EMB, _NEXT, embedded, exploded, followed
 from segflow.operators import lines
 from segflow.operators.joins import join_small
 from segflow.plans import inputs as I
@@ -77,27 +77,27 @@ def faded(t: Tables) -> DataFrame:
 
 @query(
     "g7_noise_mix",
-    f"""WITH {_EMB}, p AS (SELECT a.vec_id, list_concat(a.x, a.x) AS x, list_transform(range(0, 2 * len(a.x)), lambda i: b.x[i % len(b.x) + 1]) AS n FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+    f"""WITH {_EMB}, {_NEXT}, p AS (SELECT a.vec_id, list_concat(a.x, a.x) AS x, list_transform(range(0, 2 * len(a.x)), lambda i: b.x[i % len(b.x) + 1]) AS n FROM e a JOIN nx USING (vec_id) JOIN e b ON b.vec_id = next_id),
 q AS (SELECT *, {_POWER} AS loud, {_POWER.replace('x,', 'n,').replace('(x)', '(n)')} AS hum FROM p),
 y AS (SELECT vec_id, CASE WHEN loud < 1e-9 OR hum < 1e-9 THEN x ELSE list_transform(range(1, len(x) + 1), lambda i: x[i] + n[i] * sqrt(loud / pow(10, 1.5) / hum)) END AS y FROM q) {_UNNEST}""",
 )
 def noise_mix(t: Tables) -> DataFrame:
     """Each signal, played twice, with the next one (tiled to its length) as noise at 15 dB."""
-    noise = embedded(t).select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("n"))
-    both = embedded(t).withColumn("x", F.concat("x", "x")).join(noise, "vec_id").withColumn("n", s.tiled("n", F.size("x")))
+    noise = embedded(t).select(F.col("vec_id").alias("next_id"), F.col("x").alias("n"))
+    both = embedded(t).withColumn("x", F.concat("x", "x")).join(followed(t), "vec_id").join(noise, "next_id").withColumn("n", s.tiled("n", F.size("x")))
     return exploded(both.select("vec_id", s.mixed("x", "n", 15.0).alias("y")), "y")
 
 
 @query(
     "g8_two_segments",
-    f"""WITH {_EMB}, c AS (SELECT a.vec_id, list_transform(range(0, 124), lambda i: CASE WHEN i < 64 THEN a.x[i + 1] ELSE 0 END + CASE WHEN i >= 60 THEN b.x[i - 60 + 1] ELSE 0 END) AS x
-  FROM e a JOIN e b ON b.vec_id = a.vec_id + 1), p AS (SELECT vec_id, x, {_PEAK} AS top FROM c),
+    f"""WITH {_EMB}, {_NEXT}, c AS (SELECT a.vec_id, list_transform(range(0, 124), lambda i: CASE WHEN i < 64 THEN a.x[i + 1] ELSE 0 END + CASE WHEN i >= 60 THEN b.x[i - 60 + 1] ELSE 0 END) AS x
+  FROM e a JOIN nx USING (vec_id) JOIN e b ON b.vec_id = next_id), p AS (SELECT vec_id, x, {_PEAK} AS top FROM c),
 y AS (SELECT vec_id, CASE WHEN top > 0.99 THEN list_transform(x, lambda v: v / top * 0.99) ELSE x END AS y FROM p) {_UNNEST}""",
 )
 def two_segments(t: Tables) -> DataFrame:
     """A from sample 0, B from sample 60, overlapping by four samples."""
-    b = embedded(t).select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("b"))
-    both = embedded(t).select("vec_id", F.col("x").alias("a")).join(b, "vec_id")
+    b = embedded(t).select(F.col("vec_id").alias("next_id"), F.col("x").alias("b"))
+    both = embedded(t).select("vec_id", F.col("x").alias("a")).join(followed(t), "vec_id").join(b, "next_id")
     return exploded(both.select("vec_id", s.assembled("a", "b", 60, 124).alias("y")), "y")
 
 

@@ -179,3 +179,33 @@ def test_class_weight_equals_integral(spark):
     row = checks.class_weight(grid, "tc").first()
     assert row.soft_frames == pytest.approx(mass, rel=1e-4)
     assert row.full == pytest.approx((300 - 0.4 * mass) / (0.4 * mass), rel=1e-4)
+
+
+def test_range_energy_over_blocks(form, spark):
+    rng = np.random.default_rng(21)
+    chunks = [(k, i, [float(v) for v in rng.normal(size=int(rng.integers(0, 9)))]) for k in ("a", "b", None) for i in range(40)]
+    streams = {k: np.concatenate([np.array(c[2]) for c in chunks if c[0] == k]) for k in ("a", "b", None)}
+    asked = [(k, n, low, low + int(rng.integers(-2, 60))) for k in ("a", "b", None, "none") for n, low in enumerate([-5, 0, 3, 17, 60, 150, 160, 400])]
+    df = spark.createDataFrame(chunks, "k string, i int, x array<double>")
+    ranges = spark.createDataFrame(asked, "k string, n int, low int, high int")
+    table = frames.energy_table(df, ["k"], ["i"], "x")
+    got = {(r.k, r.n): (r.energy, r.rms) for r in frames.range_energy(table, ranges, ["k"], "low", "high").collect()}
+    assert len(got) == len(asked)
+    for k, n, low, high in asked:
+        x = streams.get(k, np.zeros(0))[max(low, 0) : max(high, 0)]
+        assert got[k, n] == (pytest.approx(np.sum(x**2), abs=1e-9), pytest.approx(np.sqrt(np.mean(x**2)), abs=1e-9) if len(x) else None)
+
+
+def test_batch_inference_lengths_and_nulls(spark):
+    frames.register_scorer("halves", lambda: lambda batch: batch.reshape(len(batch), 2, -1).mean(axis=2))
+    rows = [(i, [float(i + j) for j in range(6)]) for i in range(10)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, x array<double>").repartition(3)
+    got = {r.id: r.p for r in frames.predicted_windows(df, "x", "halves", 6, 2, batch=4).collect()}
+    assert got == {i: [i + 1.0, i + 4.0] for i in range(10)} | {99: None}
+    with pytest.raises(Exception, match="scorer output"):
+        frames.predicted_windows(df, "x", "halves", 6, 3).collect()
+    with pytest.raises(Exception, match="a window has 6 samples, not 5"):
+        frames.predicted_windows(spark.createDataFrame([(1, [0.0] * 5)], "id int, x array<double>"), "x", "halves", 6, 2).collect()
+    assert frames.predicted_windows(df, "x", "noop", 6, 2).count() == 0
+    with pytest.raises(ValueError, match="no scorer"):
+        frames.predicted_windows(df, "x", "unknown", 6, 2)

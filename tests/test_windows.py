@@ -180,3 +180,16 @@ def test_numbered_pairs_visit_every_pair_once(spark, n):
     pairs = [tuple(sorted((r.speaker_a, r.speaker_b))) for r in rows]
     assert len(set(pairs[:size])) == size and pairs[size:] == pairs[:5]
     assert all(0 <= a < b < n for a, b in pairs)
+
+
+def test_clips_are_numbered_by_length_in_both_forms(form, spark):
+    rng = np.random.default_rng(31)
+    clips = [(c, 0 if rng.random() < 0.6 else int(rng.integers(1, 4)), int(rng.integers(1, 12))) for c in range(300)]
+    index = windows.catalogue(spark.createDataFrame(clips, "clip long, spk int, len int"), "spk", "clip", "len")
+    own = {s: sorted((n, c) for c, k, n in clips if k == s) for s in range(4)}
+    got = {(r.spk, r.place): (r.len, r.clip) for r in index.collect()}
+    assert got == {(s, i): e for s, rows in own.items() for i, e in enumerate(rows)}
+    asked = spark.createDataFrame([(s, need) for s in range(5) for need in range(1, 14)], "spk int, need int")
+    for r in windows.fitting_from(asked, index, "spk").collect():
+        longer = [i for i, (n, _) in enumerate(own.get(r.spk, [])) if n >= r.need]
+        assert r["from"] == (longer[0] if longer else None)
