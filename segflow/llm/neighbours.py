@@ -159,7 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most twice ``examples`` rows of two numbers
     # copies and near copies are one example: their common words would seem telling
     sample = texts(docs).where("doc_id is not null").join(drawn, "doc_id").mapInArrow(_twins, "doc_id long, toxic int, text string, one long, two long")
-    sample = stored(sample.dropDuplicates(["one", "toxic"]).dropDuplicates(["two", "toxic"]).select("doc_id", "toxic", "text"), "examples")
+    for twin in ("one", "two"):  # the row with the least id stays, whatever order the rows come in
+        first = F.min(F.struct("doc_id", "text", "one", "two")).alias("first")
+        sample = sample.groupBy(twin, "toxic").agg(first).select("toxic", "first.*")
+    sample = stored(sample.select("doc_id", "toxic", "text"), "examples")
 
     def count(stream):
         for batch in stream:
