@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from segflow.llm.common import SPACE, chunks, text_buffers
 
@@ -34,10 +35,19 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
+    made.encode_special_tokens = True  # for parts of texts without such strings; the others are encoded whole
     return made, {}
 
 
+@lru_cache(maxsize=4)
+def _untouched(path: str):
+    """The tokenizer as it is, and the strings that it takes as one token each."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    return made, sorted({t.content for t in made.get_added_tokens_decoder().values() if t.content})
+
+
 @lru_cache(maxsize=4)
 def _folds_case(path: str) -> bool:
     """Whether the tokenizer itself takes capital letters for small ones; then words are told apart after that."""
@@ -135,11 +145,31 @@ def _table(path: str, cache: dict, parts: list[str], counts: np.ndarray, remembe
     return ids, start, length
 
 
+def _ranges(path: str, column, offsets: np.ndarray):
+    """(first, last, whole): ranges of documents; one that holds a token's own string is a range of its own."""
+    special = np.zeros(len(column), bool)
+    for text in _untouched(path)[1]:
+        special |= pc.match_substring(column, text, ignore_case=True).to_numpy(zero_copy_only=False)
+    for first, last in chunks(offsets, BATCH_BYTES):
+        edges = sorted({first, last, *(k + d for k in (first + np.flatnonzero(special[first:last])).tolist() for d in (0, 1))})
+        for low, high in zip(edges, edges[1:]):
+            yield low, high, bool(special[low])
+
+
 def batches(path: str, column, end_id: int, remember: int = CACHE_WORDS):
-    """For ranges of documents: (first, last, ids of all of them, offsets by document); ``end_id`` closes each."""
+    """For ranges of documents: (first, last, ids of all of them, offsets by document); ``end_id`` closes each.
+
+    The ids are those of the library's call for the whole text. A text with a string that the tokenizer takes as one
+    token is given to the library as it is; others are cut where no token can reach across.
+    """
     cache = tokenizer(path)[1]
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     data, offsets = text_buffers(column)
-    for first, last in chunks(offsets, BATCH_BYTES):
+    for first, last, whole in _ranges(path, column, offsets):
+        if whole:
+            ids = _untouched(path)[0].encode(column[first].as_py(), add_special_tokens=False).ids
+            yield first, last, np.array([*ids, end_id], np.uint32), np.array([0, len(ids) + 1])
+            continue
         own = np.ascontiguousarray(data[offsets[first] : offsets[last]])
         at = offsets[first : last + 1] - offsets[first]
         if _folds_case(path):

@@ -13,7 +13,6 @@ from segflow.llm.queries import tokenizer_path
 
 def encoded(name, rows):
     made = Tokenizer.from_file(tokenizer_path(name))
-    made.encode_special_tokens = True
     return [e.ids + [2] for e in made.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
 
 
@@ -25,9 +24,11 @@ def crc(ids):
 def test_ids_equal_those_of_whole_texts(name):
     import pyarrow as pa
 
-    rows = odd_rows() + [(0, t) for t in ("", "  a  b ", "\n\n x\t y", "it's don't I'LL", "a.b,c  ", "x \x01 y", " \x01", "Σας ΣΑΣ. x", "1 23 a1,b2 ...!!! x", "a  b 　c")]
-    (first, last, flat, at), = tokens.batches(tokenizer_path(name), pa.array([t or "" for _, t in rows]), 2)
-    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == encoded(name, rows)
+    rows = odd_rows() + [(0, t) for t in ("", "  a  b ", "\n\n x\t y", "it's don't I'LL", "a.b,c  ", "x \x01 y", " \x01", "Σας ΣΑΣ. x", "1 23 a1,b2 ...!!! x", "a  b 　c", "x<|endoftext|>y <|ENDOFTEXT|>", "[UNK]<unk></s> a", "plain again")]
+    found = []
+    for _, _, flat, at in tokens.batches(tokenizer_path(name), pa.array([t or "" for _, t in rows]), 2):
+        found += [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+    assert found == encoded(name, rows)
 
 
 def test_packing(spark):
