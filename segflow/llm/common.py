@@ -33,7 +33,7 @@ def texts(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def stored(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
+def stored(df: DataFrame, label: str, rows_per_file: int = 0, codec: str = "zstd") -> DataFrame:
     """Write ``df`` below the cluster's shared folder and read it from there: cuts lineage, survives lost executors.
 
     ``rows_per_file`` bounds what a reader holds of rows of several megabytes (0: no bound). What was shuffled for
@@ -43,7 +43,7 @@ def stored(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
     path = scratch_path(spark, label)
     if _SCOPE:
         _SCOPE[-1].append(path)
-    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    df.write.option("compression", codec).option("maxRecordsPerFile", rows_per_file).parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()

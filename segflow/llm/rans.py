@@ -26,9 +26,9 @@ BLOCK_TOKENS = 1 << 18
 SEGMENT_TOKENS = 1 << 22
 #: Segments in a file; Spark reads the rows of a file in batches.
 FILE_SEGMENTS = 16
-#: Splitters of the id ranges; a range may hold many segments.
+#: Bytes of text of an id range, and the most that one has when there are over RANGES of the first size.
+RANGE_BYTES, MOST_RANGE_BYTES = 8 << 20, 64 << 20
 RANGES = 4096
-RANGE_BYTES = 8 << 20
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIQIII")
 _POINT = np.dtype([("first", "<u8"), ("byte", "<u8"), ("tokens", "<u4"), ("words", "<u4"), ("crc", "<u4")])
@@ -123,13 +123,13 @@ def read_segment(model: Model, data: bytes, blocks=None) -> tuple[np.ndarray, np
 
 
 def _ranges(docs: DataFrame) -> list[int]:
-    """Ids that split the documents into ranges of about RANGE_BYTES of text, at most RANGES of them."""
+    """Ids that split the documents into ranges of RANGE_BYTES to MOST_RANGE_BYTES of text, however many these are."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
-    parts = min(RANGES, 1 + total // RANGE_BYTES)
+    parts = 1 + max(min(RANGES, total // RANGE_BYTES), total // MOST_RANGE_BYTES)
     if parts == 1:
         return []
-    found = sized.where("doc_id is not null").select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], F.lit(10_000), ).alias("q")).first()["q"]
+    found = sized.where("doc_id is not null").select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], F.lit(max(10_000, 4 * parts))).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
@@ -180,10 +180,11 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2) -> tuple[DataFrame
 
     The table counts every token of every document; it has one number per id of the tokenizer, so it is bounded.
     """
+    # coded segments do not get smaller by a compression of the file, ids hardly
     size = max(tokenizer(path)[0].get_vocab_size(), end_id + 1)
     wide = size > 1 << 16
     kind = np.dtype("<u4" if wide else "<u2")
-    raw = stored(raw_segments(docs, path, end_id, wide), "token-ids", FILE_SEGMENTS)
+    raw = stored(raw_segments(docs, path, end_id, wide), "token-ids", FILE_SEGMENTS, "snappy")
 
     def count(stream):
         total = np.zeros(size, np.int64)
@@ -206,14 +207,14 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2) -> tuple[DataFrame
                 columns = [pa.array([b], pa.int32()), pa.array([p], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([segment], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "tokens", "segment"])
 
-    return stored(raw.mapInArrow(code, "bucket int, part int, tokens long, segment binary"), "token-files", FILE_SEGMENTS), model
+    return stored(raw.mapInArrow(code, "bucket int, part int, tokens long, segment binary"), "token-files", FILE_SEGMENTS, "uncompressed"), model
 
 
 def read_tokens(files: DataFrame, model: Model) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the coded segments alone."""
     bucket = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     heads = files.select("bucket", "part", "tokens")
-    sums = heads.groupBy("bucket").agg(F.sum("tokens").alias("n"))  # at most RANGES + 1 rows
+    sums = heads.groupBy("bucket").agg(F.sum("tokens").alias("n"))  # one row for each range of 8 to 64 MB
     whole = Window.partitionBy().orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("bucket", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("before"))
     places = heads.select("bucket", "part", F.coalesce(F.sum("tokens").over(bucket), F.lit(0)).alias("inside")).join(sums, "bucket")
