@@ -28,6 +28,28 @@ def test_a_text_of_a_third_of_all_rows_is_split(spark):
     assert len({r["shard"] for r in out if r["size"] == 10}) > 1
 
 
+def test_only_the_hot_text_of_a_slot_is_split(spark):
+    rows = [(i, "same text") for i in range(500)] + [(1000 + 2 * i + k, prose(i, 30)) for i in range(400) for k in range(2)]
+    shards = {}
+    for r in sharding.shard(table(spark, rows), 16, slots=4).collect():
+        shards.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert len(shards.pop(zlib.crc32(b"same text"))) > 1
+    assert all(len(s) == 1 for s in shards.values())
+
+
+def test_a_stored_map_is_edited_to_the_next_version(spark):
+    rows = [(i, prose(i, 30)) for i in range(600)]
+    first = sharding.shard(table(spark, rows), 4).cache()
+    more = rows + [(1000 + i, prose(1000 + i, 30)) for i in range(60)]
+    second = sharding.shard(table(spark, more), 4, before=sharding.map_of(first)).collect()
+    assert {r["map_version"] for r in second} == {2}
+    before = {r["doc_id"]: r["shard"] for r in first.collect()}
+    moved = [r for r in second if r["doc_id"] in before and before[r["doc_id"]] != r["shard"]]
+    load = [sum(r["size"] for r in second if r["shard"] == s) for s in range(4)]
+    assert len(moved) < 60 and max(load) - min(load) < 0.05 * sum(load)
+    assert {r["map_version"] for r in sharding.shard(table(spark, rows), 4).collect()} == {1}
+
+
 def test_edited_map_moves_only_what_it_must():
     sizes = [(h, -1, 100 + h % 7) for h in range(512)]
     old = sharding.balanced(sizes, 16)
