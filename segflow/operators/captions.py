@@ -8,9 +8,14 @@ utterance are a running maximum over its changes, and lines are the words betwee
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from segflow.functions import text as text_functions
 from segflow.operators.lines import DECODE_LAG_S, SETTLE_S
@@ -18,6 +23,7 @@ from segflow.operators.ordered import lag, last, ordered, total
 
 CHANGE, UPDATE = 0, 1
 
+_FIELDS = ("emitted_s", "seq", "known", "low", "high", "start_s", "duration_s", "confidence", "cause", "change_s")
 _LINE = "struct<emitted_s:double,seq:bigint,known:int,low:int,high:int,start_s:double,duration_s:double,confidence:double,cause:string,change_s:double>"
 
 
@@ -50,47 +56,36 @@ def utterances(
     grouped = rows.groupBy(key, F.coalesce("__before", F.lit(0)).alias("utterance")).agg(
         F.array_sort(F.collect_list(update)).alias("ups"), F.collect_list(change).alias("marks"), F.coalesce(F.max("__last.at"), F.lit(0.0)).alias("begun_s")
     )
-    grouped = grouped.where(F.size("ups") > 0).withColumn("closing", F.try_element_at("ups", F.lit(-1)))
-    grouped = grouped.withColumn("closed", F.col("closing.ended") | F.lit(flush))
-    resolved = F.filter(F.transform("marks", lambda m: _resolved(m, decode_lag, settle)), lambda r: r["clock_s"].isNotNull())
-    folded = grouped.withColumn("cuts", F.array_sort(resolved)).withColumn("folded", _folded())
-    done, shown = F.col("folded.lines"), F.col("folded.shown")
-    rest = _line(F.col("closing"), shown, F.col("closing.known"), F.col("folded.start"), F.col("closing.clock_s"), F.when(F.col("closing.ended"), "final").otherwise("flush"), F.lit(None).cast("double"))
-    whole = F.when(F.col("closed") & (F.col("closing.known") > shown), F.concat(done, F.array(rest))).otherwise(done)
-    return folded.select(key, "utterance", "begun_s", whole.alias("lines"), F.col("folded.late").alias("late"), F.col("closing.again").alias("replayed"), F.col("closing.ended").alias("ended"))
-
-
-def _resolved(mark: Column, decode_lag: float, settle: float) -> Column:
-    """(clock, seq, time, cut, confidence) of a change: where it is applied and the words known when it was decoded."""
-    due = F.greatest(mark["seen"], mark["at"] + (decode_lag + settle))
-    after = F.get(F.filter("ups", lambda u: u["clock_s"] >= due), F.lit(0))
-    place = F.coalesce(after, F.when(F.col("closed"), F.col("closing")))
-    heard = F.try_element_at(F.filter("ups", lambda u: ~u["ended"] & (u["clock_s"] <= mark["at"] + decode_lag)), F.lit(-1))["known"]
-    cut = F.least(F.coalesce(heard, F.lit(0)), place["known"])
-    return F.struct(place["clock_s"].alias("clock_s"), place["seq"].alias("seq"), mark["at"].alias("at"), cut.alias("cut"), place["confidence"].alias("confidence"), place["known"].alias("known"))
-
-
-def _line(place: Column, low: Column, high: Column, start: Column, end: Column, cause: Column, change: Column) -> Column:
-    length = F.greatest(end - start, F.lit(0.0))
-    return F.struct(
-        place["clock_s"].alias("emitted_s"), place["seq"].alias("seq"), place["known"].alias("known"), low.alias("low"), high.alias("high"), start.alias("start_s"),
-        length.alias("duration_s"), place["confidence"].alias("confidence"), cause.alias("cause"), change.alias("change_s"),
-    )
-
-
-def _folded() -> Column:
-    """Cuts of an utterance in the order of their application: a change at or before the start of the open line is
-    late, one that adds no words moves nothing."""
-    zero = F.struct(F.lit(0).alias("shown"), F.col("begun_s").alias("start"), F.lit(0).cast("long").alias("late"), F.array().cast(f"array<{_LINE}>").alias("lines"))
-
-    def step(state: Column, cut: Column) -> Column:
-        late, more = cut["at"] <= state["start"], cut["cut"] > state["shown"]
-        line = _line(cut, state["shown"], cut["cut"], state["start"], cut["at"], F.lit("change"), cut["at"])
-        moved = F.struct(cut["cut"].alias("shown"), cut["at"].alias("start"), state["late"].alias("late"), F.concat(state["lines"], F.array(line)).alias("lines"))
-        missed = F.struct(state["shown"].alias("shown"), state["start"].alias("start"), (state["late"] + 1).alias("late"), state["lines"].alias("lines"))
-        return F.when(late, missed).when(more, moved).otherwise(state)
-
-    return F.aggregate("cuts", zero, step)
+    kind = grouped.schema[key].dataType.simpleString()
+    shape = f"{key} {kind}, utterance bigint, begun_s double, lines array<{_LINE}>, late bigint, replayed int, ended boolean"
+    grouped = grouped.where(F.size("ups") > 0).select(key, "utterance", "begun_s", "ups", "marks")
+    kind = to_arrow_type(StructType.fromDDL(f"v array<{_LINE}>")["v"].dataType)
+    return grouped.mapInArrow(lambda batches: _folded(batches, decode_lag, settle, flush, kind), shape)
+
+
+def _folded(batches: Iterable[pa.RecordBatch], decode_lag: float, settle: float, flush: bool, lines_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Lines of each utterance from its sorted updates and its changes."""
+    for batch in batches:
+        ups, marks = batch.column("ups"), batch.column("marks")
+        parts = [np.asarray(c.offsets) for c in (ups, marks)]
+        names = ("clock_s", "seq", "known", "ended", "again")
+        clock, seq, known, ended, again = (ups.values.field(n).to_numpy(zero_copy_only=False) for n in names)
+        confidence = ups.values.field("confidence").to_pylist()
+        at, seen = (marks.values.field(n).to_numpy(zero_copy_only=False) for n in ("at", "seen"))
+        lines, late, closing = [], [], []
+        for (low, high), (first, last), begun in zip(zip(parts[0], parts[0][1:]), zip(parts[1], parts[1][1:]), batch.column("begun_s").to_pylist()):
+            done = bool(ended[high - 1])
+            found, missed = word_ranges(clock[low:high], known[low:high], done, at[first:last], seen[first:last], begun, decode_lag, settle, done or flush)
+            own = []
+            for place, begin, end, start, change in found:
+                k = low + place
+                stop, cause = (clock[k], "final" if done else "flush") if change is None else (change, "change")
+                own.append((clock[k], seq[k], known[k], begin, end, start, max(stop - start, 0.0), confidence[k], cause, change))
+            lines.append([dict(zip(_FIELDS, line)) for line in own])
+            late.append(missed)
+            closing.append(high - 1)
+        columns = [*(batch.column(k) for k in range(3)), pa.array(lines, lines_type), pa.array(late, pa.int64()), pa.array(again[closing], pa.int32()), pa.array(ended[closing].astype(bool))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:3], "lines", "late", "replayed", "ended"])
 
 
 def replayed(memory: list[str], words: list[str]) -> int:
@@ -99,16 +94,16 @@ def replayed(memory: list[str], words: list[str]) -> int:
     return max((k for k in range(1, min(len(a), len(b)) + 1) if a[-k:] == b[:k]), default=0)
 
 
-def word_ranges(clocks: np.ndarray, known: np.ndarray, ended: bool, at: np.ndarray, seen: np.ndarray, begun: float, decode_lag: float, settle: float):
+def word_ranges(clocks: np.ndarray, known: np.ndarray, ended: bool, at: np.ndarray, seen: np.ndarray, begun: float, decode_lag: float, settle: float, closed: bool):
     """The rule of :func:`utterances` for the arrays of one utterance: ([(place, low, high, start, change)], late).
 
-    ``clocks`` and ``known`` are those of its updates, ``at`` and ``seen`` of its changes; with ``ended`` the last
-    update closes it. What earlier updates resolved does not depend on later ones, so a growing utterance only appends.
+    ``clocks`` and ``known`` are those of its updates, ``at`` and ``seen`` of its changes. With ``ended`` the last
+    update is its final text; with ``closed`` the last update resolves what waits. Both lookups are binary searches.
     """
     n = len(clocks)
     place = np.searchsorted(clocks, np.maximum(seen, at + (decode_lag + settle)))
     heard = np.searchsorted(clocks[: n - ended], at + decode_lag, "right")
-    if ended:
+    if closed:
         place = np.minimum(place, n - 1)
     ready = np.flatnonzero(place < n)
     ready = ready[np.lexsort((at[ready], place[ready]))]
@@ -120,7 +115,7 @@ def word_ranges(clocks: np.ndarray, known: np.ndarray, ended: bool, at: np.ndarr
         elif high > low:
             lines.append((p, low, high, start, t))
             low, start = high, t
-    if ended and known[-1] > low:
+    if closed and known[-1] > low:
         lines.append((n - 1, low, int(known[-1]), start, None))
     return lines, late
 
