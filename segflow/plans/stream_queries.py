@@ -81,6 +81,14 @@ def stream_captions(t: Tables) -> DataFrame:
     return out.select("stream_id", "text", "start_s", "duration_s", "cause", "change_s")
 
 
+@query("k12_stream_counts", f"SELECT sum(splits)::BIGINT AS splits, sum(late_changes)::BIGINT AS late_changes, sum(lines)::BIGINT AS lines FROM ({ORACLES['k12_session_counts']})")
+def stream_counts(t: Tables) -> DataFrame:
+    """Session counters as observed metrics of the caption stream, read from its progress."""
+    source, totals = in_triggers(t.spark, p.caption_input(*L.recogniser_rows(t)), "clock_s", "counted"), {}
+    drained(t.spark, p.session_observed(p.stream_caption_rows(source)), "counted", totals=totals)
+    return t.spark.createDataFrame([tuple(totals[n] for n in ("splits", "late_changes", "lines"))], "splits bigint, late_changes bigint, lines bigint")
+
+
 @query("k10_stream_throttle", ORACLES["k10_partial_throttle"])
 def stream_throttle(t: Tables) -> DataFrame:
     """Redraw limit as a stateful stream."""

@@ -254,14 +254,14 @@ class CaptionProcessor(_Processor):
     """
 
     order = ["clock_s", "kind", "seq", "change_s"]
-    columns = ["stream_id", "emitted_s", "text", "start_s", "duration_s", "confidence", "cause", "change_s", "late_changes"]
+    columns = ["stream_id", "emitted_s", "text", "start_s", "duration_s", "confidence", "cause", "change_s", "late_changes", "late_since"]
     schema = (
         "stream_id bigint, emitted_s double, text string, start_s double, duration_s double, "
-        "confidence double, cause string, change_s double, late_changes bigint"
+        "confidence double, cause string, change_s double, late_changes bigint, late_since bigint"
     )
     fields = {
         "memory": "array<string>", "words": "array<string>", "known": "int", "shown": "int", "start": "double",
-        "clock": "double", "confidence": "double", "late": "bigint", "timer": "bigint",
+        "clock": "double", "confidence": "double", "late": "bigint", "told": "bigint", "timer": "bigint",
     }
 
     def __init__(self, decode_lag: float, settle: float, look_back: float = 3.0):
@@ -273,7 +273,7 @@ class CaptionProcessor(_Processor):
         self.waiting = handle.getMapState("waiting", "change_s double, seen_s double", "times int")
 
     def fresh(self) -> dict:
-        return {"memory": [], "words": [], "known": 0, "shown": 0, "start": 0.0, "clock": None, "confidence": None, "late": 0, "timer": None}
+        return {"memory": [], "words": [], "known": 0, "shown": 0, "start": 0.0, "clock": None, "confidence": None, "late": 0, "told": 0, "timer": None}
 
     def _due(self, mark: tuple) -> float:
         return max(mark[1], mark[0] + (self.decode_lag + self.settle))
@@ -296,7 +296,8 @@ class CaptionProcessor(_Processor):
     def _line(self, s: dict, cut: int, cause: str, change: float | None) -> tuple:
         text = " ".join(s["words"][: cut - s["shown"]])
         end = s["clock"] if change is None else change
-        return s["clock"], text, s["start"], max(end - s["start"], 0.0), s["confidence"], cause, change, s["late"]
+        since, s["told"] = s["late"] - s["told"], s["late"]
+        return s["clock"], text, s["start"], max(end - s["start"], 0.0), s["confidence"], cause, change, s["late"], since
 
     def _kept(self, stamps: list, clock: float) -> list:
         """History without the stamps that are older than the newest at or before the cutoff."""
@@ -370,11 +371,20 @@ def caption_input(updates: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def stream_caption_rows(rows: DataFrame, decode_lag: float = DECODE_LAG_S, settle: float = SETTLE_S, lateness: str = "10 seconds") -> DataFrame:
-    """The same from rows of ``caption_input``. A change may be detected up to three seconds after its words settled."""
+    """The same from rows of ``caption_input``. A change may be detected up to three seconds after its words settled.
+
+    ``late_changes`` counts the stream's late changes so far, ``late_since`` those since its line before.
+    """
     rows = with_event_time(rows, (F.col("clock_s") * 1e6).cast("long"), lateness)
     return stateful(rows, "stream_id", CaptionProcessor(decode_lag, settle), CaptionProcessor.schema)
 
 
+def session_observed(lines: DataFrame, name: str = "session") -> DataFrame:
+    """``lines`` of a caption stream, with its counters in the progress of the query: lines, splits and late changes."""
+    split = (F.col("cause") == "change").cast("long")
+    return lines.observe(name, F.count(F.lit(1)).alias("lines"), F.sum(split).alias("splits"), F.sum("late_since").alias("late_changes"))
+
+
 # -- partial texts ------------------------------------------------------------------------
 
 

@@ -41,15 +41,18 @@ def in_triggers(spark: SparkSession, df: DataFrame, at: str, label: str, rows: i
     return parts_to_stream(spark, parts, label, files)
 
 
-def drained(spark: SparkSession, stream: DataFrame, label: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def drained(spark: SparkSession, stream: DataFrame, label: str, out: str | None = None, checkpoint: str | None = None, totals: dict | None = None) -> DataFrame:
     """Run the stream over what is available into a file sink and read the result.
 
-    With the paths of an earlier run the query goes on where that one stopped.
+    With the paths of an earlier run the query goes on where that one stopped. ``totals`` gets the sums of the metrics
+    that the stream observes.
 
     Offsets, state and sink live in the shared folder, so a lost executor or driver
     resumes where it was.
     """
     out, checkpoint = out or scratch_path(spark, f"{label}-out"), checkpoint or scratch_path(spark, f"{label}-checkpoint")
+    if totals is not None:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -59,4 +62,9 @@ def drained(spark: SparkSession, stream: DataFrame, label: str, out: str | None
         .start()
     )
     query.awaitTermination()
+    if totals is not None:
+        for progress in query.recentProgress:  # one for each micro-batch
+            for metrics in progress.observedMetrics.values():
+                for name, value in metrics.asDict().items():
+                    totals[name] = totals.get(name, 0) + (value or 0)
     return spark.read.schema(stream.schema).parquet(out)
