@@ -148,8 +148,9 @@ def _frequent(chunk: DataFrame, size: int, least: int, below: np.ndarray | None)
             _, one, total = _grouped(key, part.weight[at])
             yield pa.RecordBatch.from_arrays([pa.array(signed(key[one])), pa.array(total)], names=["key", "n"])
 
-    keys = chunk.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
-    keys = stored(keys, "frequent")
+    counted = lambda: chunk.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # nothing here refers to what was shuffled once the keys are stored, so Spark can delete it before the next pass
+    keys = stored(counted().where(F.col("n") >= least).select("key"), "frequent")
     bits = 1 << min(MOST_BITS, max(16, (64 * keys.count()).bit_length()))
     slots = [F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(bits - 1)) for shift in PROBES]
     slots = keys.select(F.explode(F.array(*slots)).alias("slot"))
