@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -235,6 +234,8 @@ def predicted_windows(windows: DataFrame, wave: str, name: str, samples: int, fr
 
     A window of another length or a score of another length is an error; a null window has a null score.
     """
+    from pyspark.ml.functions import predict_batch_udf  # a large package that other workers need not load
+
     if name not in _SCORERS:
         raise ValueError(f"no scorer is registered as {name!r}, known are {sorted(_SCORERS)}")
     factory = _SCORERS[name]
