@@ -127,6 +127,7 @@ def branch_and_bound(best: _Best, queries: np.ndarray, columns: np.ndarray, ids:
         return
     queries, columns = queries.astype(np.float64), columns.astype(np.float64)
     left = [np.sqrt(np.concatenate([np.cumsum((v * v)[::-1], axis=0)[::-1], np.zeros((1, v.shape[1]))])) for v in (queries, columns)]
+    left[0] *= 1 + 1e-12  # no rounding makes a bound too small
     score = np.zeros((queries.shape[1], columns.shape[1]))
     q = None
     for low in range(0, dims, STEP):
